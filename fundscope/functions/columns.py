@@ -40,9 +40,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _part(c: Column, pattern: str, idx: int) -> Column:
-    # regexp_extract gives '' when the text does not match; '' -> NULL -> int
-    return F.nullif(F.regexp_extract(c, pattern, idx), F.lit("")).cast("int")
+def _parts(c: Column, pattern: str, n: int) -> list[Column]:
+    # one regex test, one split; text that does not match gives NULL parts
+    ok = c.rlike(pattern)
+    arr = F.split(F.trim(c), r"[/\s:]+")
+    return [F.when(ok, arr.getItem(i).cast("int")) for i in range(n)]
 
 
 def parse_day_first_timestamp(c: str | Column) -> Column:
@@ -51,17 +53,14 @@ def parse_day_first_timestamp(c: str | Column) -> Column:
     Built from the parts, so the result does not depend on the session time zone
     (no daylight-saving gaps) and bad text never raises under ANSI mode.
     """
-    c = col(c)
-    p = [_part(c, _DAY_FIRST_TS, i) for i in range(1, 6)]
-    return F.try_make_timestamp_ntz(p[2], p[1], p[0], p[3], p[4], F.lit(0))
+    d, m, y, hh, mi = _parts(col(c), _DAY_FIRST_TS, 5)
+    return F.try_make_timestamp_ntz(y, m, d, hh, mi, F.lit(0))
 
 
 def parse_day_first_date(c: str | Column) -> Column:
     """``dd/mm/yyyy`` text -> DATE; NULL for invalid dates such as 31/04."""
-    c = col(c)
-    p = [_part(c, _DAY_FIRST_DATE, i) for i in range(1, 4)]
-    ts = F.try_make_timestamp_ntz(p[2], p[1], p[0], F.lit(0), F.lit(0), F.lit(0))
-    return ts.cast("date")
+    d, m, y = _parts(col(c), _DAY_FIRST_DATE, 3)
+    return F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def merged_state(state: str | Column = "state") -> Column:
