@@ -19,18 +19,18 @@ from fundscope.operators import cleaning as CL
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
-from fundscope.plans.workload import Tables, test_tables
-from fundscope.sources import fixtures
+from fundscope.plans.workload import Tables, driver_tables
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 def _t(spark: SparkSession, sf_dir: str) -> Tables:
-    return test_tables(spark, sf_dir, stored=True)
+    return driver_tables(spark, sf_dir, stored=True)
 
 
-def _raw(spark: SparkSession, sf_dir: str):
-    return fixtures.raw_tables(spark, sf_dir)
+def _raw_project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_info as read from the file: text dates, corrupt country still present."""
+    return _t(spark, sf_dir).raw_project_info
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -48,7 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_counts": lambda s, d: I.row_counts({"pledge": _t(s, d).pledge,
                                                  "project_info": _t(s, d).project_info}),
         "pledge_rows": lambda s, d: X.preview(_t(s, d).pledge),
-        "project_info_rows": lambda s, d: X.preview(_raw(s, d).project_info),
+        "project_info_rows": lambda s, d: X.preview(_raw_project_info(s, d)),
         "pk_project_info": lambda s, d: I.check_primary_key(_t(s, d).project_info, "ID"),
         "pk_pledge": lambda s, d: I.check_primary_key(_t(s, d).pledge, "ID"),
         "pk_country": lambda s, d: I.check_primary_key(_t(s, d).country, "countrycode"),
@@ -57,8 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                                "country", "code"),
         "cascade_delete": lambda s, d: I.cascade_delete(
             _t(s, d).pledge, X.suspicious_rows(_t(s, d).project_info), "ID"),
-        "parse_dates": lambda s, d: CL.load_project_info(_raw(s, d).project_info),
-        "unparseable_dates": lambda s, d: CL.unparseable_dates(_raw(s, d).project_info),
+        "parse_dates": lambda s, d: CL.load_project_info(_raw_project_info(s, d)),
+        "unparseable_dates": lambda s, d: CL.unparseable_dates(_raw_project_info(s, d)),
         # -- profiling ------------------------------------------------------------------
         "state_frequency": lambda s, d: X.value_frequency(_t(s, d).pledge, "state"),
         "country_frequency": lambda s, d: X.value_frequency(_t(s, d).project_info, "country", "country_count"),

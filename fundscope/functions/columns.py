@@ -127,8 +127,9 @@ def mean_half_up(total: str | Column, count: str | Column, scale: int) -> Column
 
 
 def money_cents(c: str | Column) -> Column:
-    """A DECIMAL(p,2) money column as whole cents (exact)."""
-    return (col(c) * F.lit(100)).cast("decimal(38,0)")
+    """A DECIMAL(p,2) money column as whole cents, BIGINT (exact; sums of it stay in
+    long arithmetic and raise on overflow under ANSI mode instead of wrapping)."""
+    return (col(c) * F.lit(100)).cast("long")
 
 
 def money_avg_half_up(c: str | Column, scale: int) -> Column:

@@ -52,19 +52,23 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
                       partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` without a single-partition window.
 
-    Rows are range-partitioned on the order keys, numbered inside their partition,
-    and offset by the cumulative count of the earlier partitions (one row per
-    partition, so the offset table is tiny and broadcast).
+    Rows are range-partitioned on the order keys and sorted inside each
+    partition; ``monotonically_increasing_id`` then holds (partition index,
+    position in partition). The per-partition counts (one row per partition, a
+    tiny broadcast table) give each partition's offset. Both uses read the same
+    range exchange, which Spark computes once and reuses.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "__local", F.row_number().over(Window.partitionBy("__pid").orderBy(*cols)))
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    mid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+             .withColumn("__mid", F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col("__mid"), 33)
+    local = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = mid.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",
-        (F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))
-    out = local.join(F.broadcast(offsets), "__pid")
-    return (out.withColumn(name, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("long"))
-               .drop("__pid", "__local", "__off"))
+        F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("__off"))
+    out = mid.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid")
+    return (out.withColumn(name, F.col("__off") + local + F.lit(1))
+               .drop("__pid", "__off", "__mid"))

@@ -33,11 +33,12 @@ class Tables:
     pledge: DataFrame
     country: DataFrame
     enriched: DataFrame
+    raw_project_info: DataFrame | None = None
 
 
 def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) -> Tables:
     pi = load_project_info(raw_project_info)
-    return Tables(pi, pledge, country, enrich(pi, pledge, country))
+    return Tables(pi, pledge, country, enrich(pi, pledge, country), raw_project_info)
 
 
 def materialize(spark: SparkSession, tables: Tables, root: str | None = None) -> Tables:
@@ -57,7 +58,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None) ->
     co = put(tables.country, "country")
     # the base is built from the stored tables, not from the load plans again
     en = put(enrich(pi, pl, co), "enriched", partition_by="launch_year")
-    return Tables(pi, pl, co, en.select(*enrich_columns()))
+    return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info)
 
 
 def enrich_columns() -> list[str]:
@@ -82,7 +83,7 @@ def _fingerprint(sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def test_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tables:
+def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tables:
     """The workload over the driver's tables in ``sf_dir`` (see ``sources.fixtures``).
 
     ``stored=True`` loads and cleans once per session and data folder; later
