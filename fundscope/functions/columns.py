@@ -31,35 +31,35 @@ LAUNCHED_FORMAT = "dd/MM/yyyy HH:mm"
 DEADLINE_FORMAT = "dd/MM/yyyy"
 # ---------------------------------------------------------------------------
 
-# One or two digits for day, month, hour and minute are accepted.
-_DAY_FIRST_TS = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{1,2})\s*$"
-_DAY_FIRST_DATE = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _parts(c: Column, pattern: str, n: int) -> list[Column]:
-    # one regex test, one split; text that does not match gives NULL parts
-    ok = c.rlike(pattern)
-    arr = F.split(F.trim(c), r"[/\s:]+")
-    return [F.when(ok, arr.getItem(i).cast("int")) for i in range(n)]
+def _parts(c: Column, n: int) -> list[Column]:
+    """Split day-first text into ``n`` integer parts (NULL parts unless exactly n fields).
+
+    The split stays outside any conditional, so Spark evaluates it once per row;
+    the field-count check only chooses the element index.
+    """
+    arr = F.split(F.trim(c), r"/|:|\s+")
+    exact = F.size(arr) == F.lit(n)
+    return [F.try_element_at(arr, F.when(exact, F.lit(i + 1))).try_cast("int") for i in range(n)]
 
 
 def parse_day_first_timestamp(c: str | Column) -> Column:
     """``dd/mm/yyyy hh:mm`` text -> TIMESTAMP_NTZ; NULL for text that is not a valid time.
 
-    Built from the parts, so the result does not depend on the session time zone
-    (no daylight-saving gaps) and bad text never raises under ANSI mode.
+    One or two digits are accepted for day, month, hour and minute. Built from
+    the parts, so the result does not depend on the session time zone (no
+    daylight-saving gaps) and bad text never raises under ANSI mode.
     """
-    d, m, y, hh, mi = _parts(col(c), _DAY_FIRST_TS, 5)
+    d, m, y, hh, mi = _parts(col(c), 5)
     return F.try_make_timestamp_ntz(y, m, d, hh, mi, F.lit(0))
 
 
 def parse_day_first_date(c: str | Column) -> Column:
     """``dd/mm/yyyy`` text -> DATE; NULL for invalid dates such as 31/04."""
-    d, m, y = _parts(col(c), _DAY_FIRST_DATE, 3)
+    d, m, y = _parts(col(c), 3)
     return F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 

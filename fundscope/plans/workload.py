@@ -99,7 +99,10 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tabl
             return hit
         root = f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
         # the mapping's joins run once; both fact tables are projections of this copy
-        fixtures.order_facts(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/order_facts")
+        # (spread over the cluster's task slots: the source files may be single row groups)
+        n = spark.sparkContext.defaultParallelism
+        (fixtures.order_facts(spark, sf_dir).repartition(n, "o_orderkey")
+         .write.mode("overwrite").parquet(f"{root}/order_facts"))
         facts = spark.read.parquet(f"{root}/order_facts")
         raw = fixtures.raw_tables(spark, sf_dir, facts=facts)
         t = materialize(spark, build(raw.project_info, raw.pledge, raw.country), root)
