@@ -9,6 +9,7 @@ whole tables. ``oracle_sql`` holds the DuckDB statement for each key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,10 @@ from fundscope.operators import cleaning as CL
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
-from fundscope.plans.workload import Tables, driver_tables
+from fundscope.plans.workload import Tables, driver_files, driver_tables
+from fundscope.sources.delimited import read_pledge, read_project_info
+from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
+from fundscope.streaming.incremental import load_available
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -42,6 +46,44 @@ def _success_rate(t: Tables) -> DataFrame:
     return V.success_rate(t.enriched, ordered=False)
 
 
+def _views(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
+    """Temp views over this data folder's stored base (names unique per store)."""
+    t = _t(spark, sf_dir)
+    prefix = f"fs{abs(hash(t.root)) % 10 ** 9}_"
+    return prefix, V.register_views(spark, t.enriched, prefix)
+
+
+def _load_project_info_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_project_info(spark, driver_files(spark, sf_dir)["project_info"], schema=RAW_PROJECT_INFO_FILE)
+    return CL.load_project_info(raw)
+
+
+def _stream_load_project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental (streaming, available-now) load of the delimited files into a new Parquet table."""
+    files = driver_files(spark, sf_dir)
+    run = f"{_t(spark, sf_dir).root}/stream-{uuid.uuid4().hex[:10]}"
+    return load_available(spark, files["project_info"], RAW_PROJECT_INFO_FILE, f"{run}/table",
+                          f"{run}/checkpoint", transform=CL.load_project_info)
+
+
+def _category_leaderboard_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, v = _views(spark, sf_dir)
+    return spark.sql(f"""
+        SELECT main_category, state_merged,
+               AVG(CAST(percentage AS FLOAT)) AS avg_success_rate,
+               SUM(CAST(total_no AS FLOAT)) AS project_count
+        FROM {v["v_success_rate"]}
+        WHERE state_merged = 'successful' AND year <> 1970 AND year <> 2018
+        GROUP BY main_category, state_merged
+        ORDER BY avg_success_rate DESC""")
+
+
+def _growth_rate_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix, v = _views(spark, sf_dir)
+    A.register_growth_rate_function(spark, v["enriched"], name=f"{prefix}growth_rate")
+    return spark.sql(f"SELECT {prefix}growth_rate('BUILDING/1', '1995', '2000') AS growth_rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # -- set-up: load, scans, counts, keys, dates --------------------------------
@@ -58,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cascade_delete": lambda s, d: I.cascade_delete(
             _t(s, d).pledge, X.suspicious_rows(_t(s, d).project_info), "ID"),
         "parse_dates": lambda s, d: CL.load_project_info(_raw_project_info(s, d)),
+        "load_pledge_csv": lambda s, d: read_pledge(s, driver_files(s, d)["pledge"]),
+        "load_project_info_csv": _load_project_info_csv,
+        "stream_load_project_info": _stream_load_project_info,
         "unparseable_dates": lambda s, d: CL.unparseable_dates(_raw_project_info(s, d)),
         # -- profiling ------------------------------------------------------------------
         "state_frequency": lambda s, d: X.value_frequency(_t(s, d).pledge, "state"),
@@ -97,6 +142,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_leaderboard": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d))),
         "category_leaderboard_country": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d)),
                                                                             country="NATION_5"),
+        "category_leaderboard_sql": _category_leaderboard_sql,
+        "growth_rate_sql_function": _growth_rate_sql_function,
     }
     return q
 

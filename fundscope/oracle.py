@@ -134,6 +134,14 @@ def statements() -> dict[str, str]:
     yl = "CAST(year(launched_date) AS INTEGER)"
     growth_counts = ("count(CASE WHEN launch_year = 1995 THEN 1 END) AS start_no, "
                      "count(CASE WHEN launch_year = 2000 THEN 1 END) AS end_no")
+    leaderboard = (
+        "SELECT main_category, state_merged, avg(CAST(percentage AS FLOAT)) AS avg_success_rate, "
+        "sum(CAST(total_no AS FLOAT)) AS project_count FROM v_success_rate "
+        "WHERE state_merged = 'successful' AND year <> 1970 AND year <> 2018 {extra}"
+        "GROUP BY main_category, state_merged")
+    growth_one = (f"SELECT {_growth('start_no', 'end_no')} AS growth_rate FROM ("
+                  f" SELECT {growth_counts} FROM en"
+                  " WHERE main_category = 'BUILDING/1' AND launch_year IN (1995, 2000) AND launch_year <> 1970) g")
     return {
         # -- set-up --------------------------------------------------------
         "row_counts": _q("SELECT 'pledge' AS table_name, count(*) AS row_count FROM pledge "
@@ -153,6 +161,9 @@ def statements() -> dict[str, str]:
         "cascade_delete": _q("SELECT p.* FROM pledge p WHERE NOT EXISTS (SELECT 1 FROM project_info i "
                              "WHERE year(i.launched_date) = 1970 AND i.ID = p.ID)"),
         "parse_dates": _q("SELECT * FROM project_info"),
+        "load_pledge_csv": _q("SELECT * FROM pledge"),
+        "load_project_info_csv": _q("SELECT * FROM project_info"),
+        "stream_load_project_info": _q("SELECT * FROM project_info"),
         "unparseable_dates": _q(
             "SELECT count(CASE WHEN launched IS NOT NULL AND try_strptime(launched, '%d/%m/%Y %H:%M') IS NULL "
             "THEN 1 END) AS bad_launched, "
@@ -225,10 +236,7 @@ def statements() -> dict[str, str]:
             f"SELECT main_category, start_no, end_no, {_growth('start_no', 'end_no')} AS growth_rate FROM ("
             f" SELECT main_category, {growth_counts} FROM en"
             " WHERE launch_year IN (1995, 2000) AND launch_year <> 1970 GROUP BY main_category) g"),
-        "growth_rate_scalar": _q(
-            f"SELECT {_growth('start_no', 'end_no')} AS growth_rate FROM ("
-            f" SELECT {growth_counts} FROM en"
-            " WHERE main_category = 'BUILDING/1' AND launch_year IN (1995, 2000) AND launch_year <> 1970) g"),
+        "growth_rate_scalar": _q(growth_one),
         "success_rate": _q("SELECT * FROM v_success_rate"),
         "success_rate_full": _q("SELECT * FROM success_rate_full"),
         "goal_vs_pledge": _q("SELECT ID, country, main_category, state_merged, launched_date, usd_goal_real, "
@@ -237,14 +245,8 @@ def statements() -> dict[str, str]:
             "SELECT " + half_up("sum(CAST(round(percentage * 100) AS BIGINT))",
                                 "count(percentage) * 100", 6)
             + " AS avg_success_rate FROM success_rate_full WHERE state = 'successful'"),
-        "category_leaderboard": _q(
-            "SELECT main_category, state_merged, avg(CAST(percentage AS FLOAT)) AS avg_success_rate, "
-            "sum(CAST(total_no AS FLOAT)) AS project_count FROM v_success_rate "
-            "WHERE state_merged = 'successful' AND year <> 1970 AND year <> 2018 "
-            "GROUP BY main_category, state_merged"),
-        "category_leaderboard_country": _q(
-            "SELECT main_category, state_merged, avg(CAST(percentage AS FLOAT)) AS avg_success_rate, "
-            "sum(CAST(total_no AS FLOAT)) AS project_count FROM v_success_rate "
-            "WHERE state_merged = 'successful' AND year <> 1970 AND year <> 2018 AND country = 'NATION_5' "
-            "GROUP BY main_category, state_merged"),
+        "category_leaderboard": _q(leaderboard.format(extra="")),
+        "category_leaderboard_country": _q(leaderboard.format(extra="AND country = 'NATION_5' ")),
+        "category_leaderboard_sql": _q(leaderboard.format(extra="")),
+        "growth_rate_sql_function": _q(growth_one),
     }

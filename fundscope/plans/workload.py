@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.cleaning import enrich, load_project_info
 from ..session import checkpoint_root
 from ..sources import fixtures
+from ..sources.delimited import write_delimited
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,7 @@ class Tables:
     country: DataFrame
     enriched: DataFrame
     raw_project_info: DataFrame | None = None
+    root: str | None = None
 
 
 def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) -> Tables:
@@ -58,7 +60,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None) ->
     co = put(tables.country, "country")
     # the base is built from the stored tables, not from the load plans again
     en = put(enrich(pi, pl, co), "enriched", partition_by="launch_year")
-    return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info)
+    return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info, root)
 
 
 def enrich_columns() -> list[str]:
@@ -108,3 +110,22 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tabl
         t = materialize(spark, build(raw.project_info, raw.pledge, raw.country), root)
         _STORED[key] = t
         return t
+
+
+_FILES: dict[tuple, dict[str, str]] = {}
+
+
+def driver_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The raw project_info and pledge tables written once as delimited text files
+    (the layout the load step reads: CRLF rows, header, no quoting); name -> folder."""
+    t = driver_tables(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, t.root)
+    with _LOCK:
+        hit = _FILES.get(key)
+        if hit is not None:
+            return hit
+        out = {"project_info": f"{t.root}/files/project_info", "pledge": f"{t.root}/files/pledge"}
+        write_delimited(t.raw_project_info, out["project_info"])
+        write_delimited(t.pledge, out["pledge"])
+        _FILES[key] = out
+        return out

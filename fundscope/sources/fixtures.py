@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import COUNTRY_SENTINEL, DEADLINE_FORMAT, LAUNCHED_FORMAT
 
@@ -52,6 +53,17 @@ def country_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                      _code(F.col("n_nationkey")).alias("code")))
 
 
+# column layout of the raw project_info file written from these tables
+RAW_PROJECT_INFO_FILE = T.StructType([
+    T.StructField("ID", T.LongType(), True),
+    T.StructField("main_category", T.StringType(), True),
+    T.StructField("category", T.StringType(), True),
+    T.StructField("launched", T.StringType(), True),
+    T.StructField("deadline", T.StringType(), True),
+    T.StructField("country", T.StringType(), True),
+])
+
+
 @dataclass(frozen=True)
 class RawTables:
     project_info: DataFrame
