@@ -56,18 +56,19 @@ def country_repair_preview(project_info: DataFrame, pledge: DataFrame,
 def repair_country(project_info: DataFrame, pledge: DataFrame, sentinel: str = C.COUNTRY_SENTINEL) -> DataFrame:
     """project_info with the missing country filled in from the pledge currency.
 
-    Only rows whose country is missing take part in the join; the others pass
-    through without a shuffle. A project with several pledge rows takes the
-    smallest currency (one row per project is kept). A project without a pledge
-    row keeps a NULL country.
+    Only rows whose country is missing take part in the joins; the others pass
+    through without a shuffle. The missing rows are joined to their pledges
+    first and aggregated after, so the pledge table is never aggregated as a
+    whole. A project with several pledge rows takes the smallest currency (one
+    row per project is kept). A project without a pledge row keeps a NULL country.
     """
     pi = null_sentinel(project_info, "country", sentinel)
     cols = pi.columns
     present = pi.where(F.col("country").isNotNull())
     missing = pi.where(F.col("country").isNull())
-    currency = pledge.groupBy("ID").agg(F.min("currency").alias("__currency"),
-                                        F.count(F.lit(1)).alias("__n"))
-    fixed = (missing.join(currency, "ID", "left")
+    pledged = (missing.select("ID").join(pledge.select("ID", "currency"), "ID")
+               .groupBy("ID").agg(F.min("currency").alias("__currency"), F.count(F.lit(1)).alias("__n")))
+    fixed = (missing.join(pledged, "ID", "left")
                     .withColumn("country", F.when(F.col("__n").isNotNull(),
                                                   C.country_from_currency("__currency")))
                     .select(*cols))

@@ -43,9 +43,19 @@ def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) ->
     return Tables(pi, pledge, country, enrich(pi, pledge, country), raw_project_info)
 
 
-def materialize(spark: SparkSession, tables: Tables, root: str | None = None) -> Tables:
-    """Write the tables under ``root`` (default: a new folder in the checkpoint dir) and read them back."""
+def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
+                buckets: int | None = None) -> Tables:
+    """Write the tables under ``root`` (default: a new folder in the checkpoint dir) and read them back.
+
+    ``project_info`` and ``pledge`` are stored bucketed and sorted by ``ID`` with the
+    same bucket count (one shuffle each, at load), so every later join of the two
+    on ``ID`` (the enrichment, the repair, the checks) reads co-located buckets
+    without shuffling either side. Bucket count: ``buckets`` or the session's
+    shuffle partition count.
+    """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
+    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = uuid.uuid5(uuid.NAMESPACE_URL, root).hex[:12]
 
     def put(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{root}/{name}"
@@ -55,8 +65,15 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None) ->
         w.parquet(path)
         return spark.read.parquet(path)
 
-    pi = put(tables.project_info, "project_info")
-    pl = put(tables.pledge, "pledge")
+    def put_bucketed(df: DataFrame, name: str) -> DataFrame:
+        table = f"fundscope_{tag}_{name}"
+        (df.repartition(b, "ID").write.mode("overwrite")
+           .bucketBy(b, "ID").sortBy("ID")
+           .option("path", f"{root}/{name}").saveAsTable(table))
+        return spark.table(table)
+
+    pi = put_bucketed(tables.project_info, "project_info")
+    pl = put_bucketed(tables.pledge, "pledge")
     co = put(tables.country, "country")
     # the base is built from the stored tables, not from the load plans again
     en = put(enrich(pi, pl, co), "enriched", partition_by="launch_year")

@@ -90,3 +90,16 @@ def test_currency_list_distinct_then_numbered(spark):
     rows = X.currency_list(t.pledge).collect()
     assert [r.currency_count for r in rows] == list(range(1, len(rows) + 1))
     assert [r.currency for r in rows] == sorted(r.currency for r in rows)
+
+
+def test_project_pledge_join_is_colocated_without_broadcast(spark):
+    """At scale neither side is broadcast; the bucketed tables join without a shuffle."""
+    t = driver_tables(spark, SF01)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(CL.enrich(t.project_info, t.pledge, t.country))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    smj = p[p.index("SortMergeJoin"):]
+    assert "Exchange" not in smj and "Bucketed: true" in smj
