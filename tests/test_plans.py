@@ -101,5 +101,14 @@ def test_project_pledge_join_is_colocated_without_broadcast(spark):
         p = _plan(CL.enrich(t.project_info, t.pledge, t.country))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    smj = p[p.index("SortMergeJoin"):]
-    assert "Exchange" not in smj and "Bucketed: true" in smj
+    lines = p.splitlines()
+    i = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    depth = lines[i].index("SortMergeJoin")
+    sub = [lines[i]]
+    for line in lines[i + 1:]:
+        body = line.lstrip(" :+-")
+        if len(line) - len(body) <= depth:
+            break
+        sub.append(line)
+    smj = "\n".join(sub)
+    assert "Exchange" not in smj and smj.count("Bucketed: true") == 2
