@@ -20,7 +20,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import enrich, load_project_info
+from ..operators.analysis import register_growth_rate_function
+from ..operators.cleaning import enrich, load_project_info, merge_state
+from ..operators.views import register_views
 from ..session import checkpoint_root
 from ..sources import fixtures
 from ..sources.delimited import write_delimited
@@ -146,3 +148,20 @@ def driver_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         write_delimited(t.pledge, out["pledge"])
         _FILES[key] = out
         return out
+
+
+def register_workload(spark: SparkSession, tables: Tables, prefix: str = "") -> dict[str, str]:
+    """Expose the workload to SQL: temp views ``project_info``, ``pledge`` (with
+    ``state_merged``), ``country``, ``enriched``, ``v_success_rate``,
+    ``success_rate_full``, ``goal_vs_pledge`` and the temporary function
+    ``growth_rate(category, start_year, end_year)``; names get ``prefix``.
+    Returns name -> registered name.
+    """
+    names = register_views(spark, tables.enriched, prefix)
+    for name, df in (("project_info", tables.project_info), ("pledge", merge_state(tables.pledge)),
+                     ("country", tables.country)):
+        names[name] = f"{prefix}{name}"
+        df.createOrReplaceTempView(names[name])
+    names["growth_rate"] = f"{prefix}growth_rate"
+    register_growth_rate_function(spark, names["enriched"], names["growth_rate"])
+    return names

@@ -54,10 +54,13 @@ def start_incremental_load(spark: SparkSession, folder: str, schema: T.StructTyp
 
 def load_available(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str,
                    transform: Callable[[DataFrame], DataFrame] | None = None,
-                   timeout_sec: int | None = None) -> DataFrame:
+                   timeout_sec: int | None = 3600) -> DataFrame:
     """Load every file not loaded yet, wait for it, and return the stored table."""
     q = start_incremental_load(spark, folder, schema, target, checkpoint, transform, available_now=True)
-    q.awaitTermination(timeout_sec)
+    finished = q.awaitTermination(timeout_sec) if timeout_sec else q.awaitTermination()
+    if finished is False:
+        q.stop()
+        raise TimeoutError(f"incremental load of {folder} did not finish in {timeout_sec} s")
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(_output_schema(spark, folder, schema, transform)).parquet(target)
