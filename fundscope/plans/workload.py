@@ -56,7 +56,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     shuffle partition count.
     """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
-    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = buckets or _default_buckets(spark)
     tag = uuid.uuid5(uuid.NAMESPACE_URL, root).hex[:12]
 
     def put(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -82,6 +82,11 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info, root)
 
 
+def _default_buckets(spark: SparkSession) -> int:
+    v = str(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(v) if v.isdigit() else spark.sparkContext.defaultParallelism
+
+
 def enrich_columns() -> list[str]:
     return ["ID", "main_category", "category", "launched", "launched_date", "launch_year", "deadline",
             "country_code", "country", "currency", "state", "state_merged", "usd_goal_real",
