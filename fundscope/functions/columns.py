@@ -26,9 +26,7 @@ FAILED = "failed"
 OTHER = "other"
 # placeholder year of broken launch dates
 PLACEHOLDER_YEAR = 1970
-# day-first text formats of the raw files
-LAUNCHED_FORMAT = "dd/MM/yyyy HH:mm"
-DEADLINE_FORMAT = "dd/MM/yyyy"
+# day-first text formats of the raw files: launched "dd/mm/yyyy hh:mm", deadline "dd/mm/yyyy"
 # ---------------------------------------------------------------------------
 
 def col(c: str | Column) -> Column:
@@ -63,6 +61,21 @@ def parse_day_first_date(c: str | Column) -> Column:
     return F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def format_day_first(c: str | Column, with_time: bool = True) -> Column:
+    """TIMESTAMP_NTZ / DATE -> ``dd/mm/yyyy[ hh:mm]`` text, from the value's own fields
+    (no conversion through the session time zone)."""
+    v = col(c)
+    date = F.concat(_two(F.dayofmonth(v)), F.lit("/"), _two(F.month(v)), F.lit("/"),
+                    F.lpad(F.year(v).cast("string"), 4, "0"))
+    if not with_time:
+        return date
+    return F.concat(date, F.lit(" "), _two(F.hour(v)), F.lit(":"), _two(F.minute(v)))
+
+
 def merged_state(state: str | Column = "state") -> Column:
     """failed/canceled/suspended -> failed; undefined/live -> other; anything else unchanged."""
     s = col(state)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import COUNTRY_SENTINEL, DEADLINE_FORMAT, LAUNCHED_FORMAT
+from ..functions.columns import COUNTRY_SENTINEL, format_day_first
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -109,8 +109,8 @@ def raw_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None)
         k.alias("ID"),
         segment_priority.alias("main_category"),
         F.concat(segment_priority, F.lit("/"), (k % 4).cast("string")).alias("category"),
-        F.date_format(launched, LAUNCHED_FORMAT).alias("launched"),
-        F.date_format(F.col("deadline_date"), DEADLINE_FORMAT).alias("deadline"),
+        format_day_first(launched).alias("launched"),
+        format_day_first(F.col("deadline_date"), with_time=False).alias("deadline"),
         F.when(k % CORRUPT_COUNTRY_EVERY == 0, F.lit(COUNTRY_SENTINEL))
          .otherwise(_code(F.col("c_nationkey"))).alias("country"),
     )
