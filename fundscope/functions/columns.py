@@ -76,6 +76,15 @@ def format_day_first(c: str | Column, with_time: bool = True) -> Column:
     return F.concat(date, F.lit(" "), _two(F.hour(v)), F.lit(":"), _two(F.minute(v)))
 
 
+def text_equals(c: str | Column, value: str, case_insensitive: bool = False) -> Column:
+    """String equality; binary by default, or under the UTF8_LCASE collation
+    (the case-insensitive comparison of the usual collations of SQL servers)."""
+    v = col(c)
+    if case_insensitive:
+        v = F.collate(v, "UTF8_LCASE")
+    return v == F.lit(value)
+
+
 def merged_state(state: str | Column = "state") -> Column:
     """failed/canceled/suspended -> failed; undefined/live -> other; anything else unchanged."""
     s = col(state)

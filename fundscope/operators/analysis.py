@@ -84,11 +84,13 @@ def growth_rates(enriched: DataFrame, start_year: int | str, end_year: int | str
 
 
 def growth_rate(enriched: DataFrame, category: str, start_year: int | str, end_year: int | str,
-                skip_year: int = C.PLACEHOLDER_YEAR) -> DataFrame:
-    """The scalar form: one row, ``growth_rate`` of one main category (NULL when a year is absent)."""
+                skip_year: int = C.PLACEHOLDER_YEAR, case_insensitive: bool = False) -> DataFrame:
+    """The scalar form: one row, ``growth_rate`` of one main category (NULL when a year is absent).
+    ``case_insensitive`` compares the category under the UTF8_LCASE collation."""
     s, e = int(start_year), int(end_year)
     y = F.col("launch_year")
-    f = enriched.where((F.col("main_category") == F.lit(category)) & y.isin(s, e) & (y != F.lit(skip_year)))
+    f = enriched.where(C.text_equals("main_category", category, case_insensitive)
+                       & y.isin(s, e) & (y != F.lit(skip_year)))
     g = f.agg(F.count(F.when(y == s, 1)).alias("start_no"), F.count(F.when(y == e, 1)).alias("end_no"))
     return g.select(_growth(F.col("start_no"), F.col("end_no")).alias("growth_rate"))
 
@@ -121,7 +123,7 @@ def avg_success_rate(full: DataFrame, state: str = C.SUCCESS) -> DataFrame:
 
 def category_leaderboard(rates: DataFrame, country: str | None = None, year: int | None = None,
                          skip_years: Sequence[int] = (C.PLACEHOLDER_YEAR, 2018),
-                         state: str = C.SUCCESS) -> DataFrame:
+                         state: str = C.SUCCESS, case_insensitive: bool = False) -> DataFrame:
     """Per main category: mean success percentage over cells and the sum of cell totals.
 
     ``rates`` is ``success_rate``. Optional drill-down on one country and/or year;
@@ -131,7 +133,7 @@ def category_leaderboard(rates: DataFrame, country: str | None = None, year: int
     for y in skip_years:
         f = f.where(F.col("year") != F.lit(y))
     if country is not None:
-        f = f.where(F.col("country") == F.lit(country))
+        f = f.where(C.text_equals("country", country, case_insensitive))
     if year is not None:
         f = f.where(F.col("year") == F.lit(int(year)))
     return (f.groupBy("main_category", "state_merged")

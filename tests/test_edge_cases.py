@@ -156,6 +156,8 @@ def test_growth_rate_cases(spark):
     assert A.growth_rate(en, "H", 2010, 2012).collect()[0][0] is None     # end year absent
     assert A.growth_rate(en, "G", 1970, 2012).collect()[0][0] is None     # placeholder year
     assert A.growth_rate(en, "nope", 2010, 2012).collect()[0][0] is None
+    assert A.growth_rate(en, "g", 2010, 2012).collect()[0][0] is None                    # binary by default
+    assert A.growth_rate(en, "g", 2010, 2012, case_insensitive=True).collect()[0][0] == Decimal("1.50")
     g = {r.main_category: r.growth_rate for r in A.growth_rates(en, 2010, 2012).collect()}
     assert g == {"G": Decimal("1.50"), "H": None}
     en.createOrReplaceTempView("t_growth_en")
