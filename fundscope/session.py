@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,27 +29,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when the setting is absent (local tests) a
-    fresh scratch folder is created and registered.
+    Read from the session. Only when the setting is absent AND the master is
+    local (tests) a fresh scratch folder is created and registered; on a
+    cluster a missing setting is an error.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not visible to other executors: refuse
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="fundscope-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> None:
-    """Create a local folder (no-op for remote file systems, Spark creates those)."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-    if path.startswith("/"):
-        os.makedirs(path, exist_ok=True)

@@ -87,9 +87,10 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    # nation/region are 25 and 5 rows: bounded, broadcast
-    cust = (customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-                    .join(F.broadcast(region), F.col("n_regionkey") == region.r_regionkey)
+    # no join hints: Catalyst broadcasts nation/region because their measured size is
+    # under the broadcast threshold, and plans a shuffle join otherwise
+    cust = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+                    .join(region, F.col("n_regionkey") == region.r_regionkey)
                     .select("c_custkey", "c_nationkey", "c_mktsegment", "r_name"))
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
     return (oc.join(per_order, oc.o_orderkey == per_order.l_orderkey)
