@@ -149,13 +149,13 @@ def mean_half_up(total: str | Column, count: str | Column, scale: int) -> Column
 
 
 def money_cents(c: str | Column) -> Column:
-    """A DECIMAL(p,2) money column as whole cents, BIGINT (exact; sums of it stay in
-    long arithmetic and raise on overflow under ANSI mode instead of wrapping)."""
-    return (col(c) * F.lit(100)).cast("long")
+    """A money column (dollars with cents, DOUBLE or DECIMAL) as whole cents, BIGINT.
+    Sums of it stay exact in long arithmetic and raise on overflow under ANSI mode."""
+    return F.round(col(c) * F.lit(100)).cast("long")
 
 
 def money_avg_half_up(c: str | Column, scale: int) -> Column:
-    """Aggregate: mean of a DECIMAL(p,2) money column rounded half-up to ``scale``; DOUBLE."""
+    """Aggregate: mean of a money column, computed on whole cents and rounded half-up to ``scale``; DOUBLE."""
     return half_up_div(F.sum(money_cents(c)), F.count(col(c)) * F.lit(100), scale)
 
 

@@ -15,8 +15,8 @@ WITH
 li AS (
   SELECT l_orderkey,
          CAST(max(l_shipdate) AS DATE) AS deadline_date,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))))
-              AS DECIMAL(18,2)) AS rev
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)))
+           AS rev_e4
   FROM lineitem GROUP BY l_orderkey),
 country AS (
   SELECT 'C' || CAST(n_nationkey + 10 AS VARCHAR) AS countrycode, n_name AS countryname,
@@ -39,8 +39,8 @@ pledge AS (
                         ELSE 'failed' END
          END AS state,
          CASE WHEN r_name = 'EUROPE' THEN 'EUR' ELSE CAST(c_nationkey + 10 AS VARCHAR) || 'D' END AS currency,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS usd_goal_real,
-         li.rev AS usd_pledged_real
+         o_totalprice AS usd_goal_real,
+         {pledged} AS usd_pledged_real
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
        JOIN region ON r_regionkey = n_regionkey JOIN li ON li.l_orderkey = o_orderkey),
 project_info AS (
@@ -113,7 +113,7 @@ def half_up_int(num: str, den: str, scale: int) -> str:
 
 
 def money_avg(col: str, scale: int) -> str:
-    return half_up(f"sum({col} * 100)", f"count({col}) * 100", scale)
+    return half_up(f"sum(CAST(round({col} * 100) AS BIGINT))", f"count({col}) * 100", scale)
 
 
 def _growth(s: str, e: str) -> str:
@@ -123,7 +123,8 @@ def _growth(s: str, e: str) -> str:
             f"CAST(CAST({r2} AS DOUBLE) / 100.0 AS DECIMAL(10,2)) END)")
 
 
-_BASE = BASE.replace("{pct}", half_up("no_of_projects * 100", "total_no", 2))
+_BASE = (BASE.replace("{pct}", half_up("no_of_projects * 100", "total_no", 2))
+             .replace("{pledged}", half_up("li.rev_e4", "10000", 2)))
 
 
 def _q(body: str) -> str:
@@ -189,9 +190,9 @@ def statements() -> dict[str, str]:
                             "FROM pledge GROUP BY currency"),
         "countries_per_currency": _q("SELECT currency, count(DISTINCT country) AS countries_per_currency "
                                      "FROM pledge p JOIN project_info i ON p.ID = i.ID GROUP BY currency"),
-        "goal_range": _q(f"SELECT CAST(min(usd_goal_real) AS DOUBLE) AS min_goal_usd, "
+        "goal_range": _q(f"SELECT min(usd_goal_real) AS min_goal_usd, "
                          f"{money_avg('usd_goal_real', 6)} AS avg_goal_usd, "
-                         f"CAST(max(usd_goal_real) AS DOUBLE) AS max_goal_usd FROM pledge"),
+                         f"max(usd_goal_real) AS max_goal_usd FROM pledge"),
         # -- cleaning ------------------------------------------------------
         "country_repair_preview": _q(
             "SELECT nullif(i.country, '\"N') AS country, p.currency, "

@@ -2,7 +2,8 @@
 
 The mapping plants the defects the cleaning steps exist for: a corrupt country
 value, a 1970 placeholder launch date, an ambiguous currency (EUR) and a lookup
-that lacks some codes. Money is exact ``DECIMAL(18,2)``. Dates are rendered as
+that lacks some codes. Money is dollars with cents (the pledged sum is computed
+exactly and rounded half-up to cents). Dates are rendered as
 the day-first text of the raw files, so the date parser runs on every load.
 
 ``raw_tables`` builds both fact tables from ONE pass over ``lineitem`` and
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import COUNTRY_SENTINEL, format_day_first
+from ..functions.columns import COUNTRY_SENTINEL, format_day_first, half_up_div
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -126,7 +127,8 @@ def raw_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None)
         state.alias("state"),
         F.when(F.col("r_name") == EURO_REGION, F.lit("EUR"))
          .otherwise(F.concat(_code(F.col("c_nationkey")), F.lit("D"))).alias("currency"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("usd_goal_real"),
-        (F.col("rev_e4").cast("decimal(20,0)") / F.lit(10000)).cast("decimal(18,2)").alias("usd_pledged_real"),
+        F.col("o_totalprice").alias("usd_goal_real"),
+        # exact sum rounded half-up to whole cents
+        half_up_div(F.col("rev_e4"), F.lit(10000), 2).alias("usd_pledged_real"),
     )
     return RawTables(project_info, pledge, country_lookup(spark, sf_dir))

@@ -36,12 +36,12 @@ def test_unquoted_read_keeps_sentinel_and_shifts_on_commas(spark, scratch):
     assert rows[2].category == ' c"'
 
 
-def test_pledge_read_decimal_money(spark, scratch):
+def test_pledge_read_money(spark, scratch):
     p = os.path.join(scratch, "pledge.csv")
     _write(p, ["ID,state,currency,usd_goal_real,usd_pledged_real", "1,failed,GBP,1000.5,12.25",
                "2,live,\\N,bad,3"])
     rows = {r.ID: r for r in read_pledge(spark, p).collect()}
-    assert rows[1].usd_goal_real == Decimal("1000.50")
+    assert rows[1].usd_goal_real == 1000.5
     assert rows[2].currency is None and rows[2].usd_goal_real is None
 
 
@@ -66,8 +66,8 @@ def _pi(spark, rows):
 
 
 def _pl(spark, rows):
-    return spark.createDataFrame(rows, "ID long, state string, currency string, usd_goal_real decimal(18,2), "
-                                       "usd_pledged_real decimal(18,2)")
+    return spark.createDataFrame(rows, "ID long, state string, currency string, usd_goal_real double, "
+                                       "usd_pledged_real double")
 
 
 def test_country_repair_cases(spark):
@@ -75,8 +75,8 @@ def test_country_repair_cases(spark):
     d = dt.date(2015, 1, 1)
     pi = _pi(spark, [(1, "A", "a", t, d, '"N', d), (2, "A", "a", t, d, '"N', d), (3, "A", "a", t, d, '"N', d),
                      (4, "A", "a", t, d, "DE", d), (5, "A", "a", t, d, '"N', d)])
-    pl = _pl(spark, [(1, "failed", "GBP", Decimal(1), Decimal(1)), (2, "failed", "EUR", Decimal(1), Decimal(1)),
-                     (3, "failed", None, Decimal(1), Decimal(1)), (4, "failed", "EUR", Decimal(1), Decimal(1))])
+    pl = _pl(spark, [(1, "failed", "GBP", 1.0, 1.0), (2, "failed", "EUR", 1.0, 1.0),
+                     (3, "failed", None, 1.0, 1.0), (4, "failed", "EUR", 1.0, 1.0)])
     fixed = {r.ID: r.country for r in CL.repair_country(pi, pl).collect()}
     assert fixed == {1: "GB", 2: "Unknown", 3: "Unknown", 4: "DE", 5: None}
     prev = {(r.currency, r.country_new) for r in CL.country_repair_preview(pi, pl).collect()}
@@ -108,8 +108,8 @@ def _en(spark, rows):
                                      "launched_date date")
     return (df.withColumn("country_code", F.col("country")).withColumn("launch_year", F.year("launched_date"))
               .withColumn("deadline", F.date_add("launched_date", 30))
-              .withColumn("usd_goal_real", F.lit(Decimal("10.00")).cast("decimal(18,2)"))
-              .withColumn("usd_pledged_real", F.lit(Decimal("5.00")).cast("decimal(18,2)")))
+              .withColumn("usd_goal_real", F.lit(10.0))
+              .withColumn("usd_pledged_real", F.lit(5.0)))
 
 
 def test_dense_rank_ties_kept(spark):
@@ -182,8 +182,7 @@ def test_keys_and_cascade(spark):
 
 def test_means_are_exact_half_up(spark):
     # 1.005 is a tie at 2 decimals: binary doubles would round it either way
-    pl = _pl(spark, [(1, "failed", "X", Decimal("1.00"), Decimal("1.00")),
-                     (2, "failed", "X", Decimal("1.01"), Decimal("1.01"))])
+    pl = _pl(spark, [(1, "failed", "X", 1.00, 1.00), (2, "failed", "X", 1.01, 1.01)])
     r = A.goal_vs_pledged_summary(CL.merge_state(pl)).collect()[0]
     assert r.avg_goal_usd == 1.01
     g = X.goal_range(pl).collect()[0]
