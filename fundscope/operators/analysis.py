@@ -98,19 +98,29 @@ def growth_rate(enriched: DataFrame, category: str, start_year: int | str, end_y
 def register_growth_rate_function(spark: SparkSession, view: str, name: str = "growth_rate") -> None:
     """SQL form: ``growth_rate(category, start_year, end_year)`` over the enriched view ``view``.
 
-    Each count is its own scalar subquery; the division stays outside them.
-    Years may be given as strings ('2009').
+    The two counts are scalar subqueries with the parameters only in their WHERE
+    clauses, passed once each to a helper function (``<name>_of``) that does the
+    arithmetic, so each count is evaluated once. Spark decorrelates each count into
+    a join of the one calling row with a per-(category, year) aggregate of the
+    filtered view: a nested-loop join whose sides are bounded by the number of
+    launch years. Years may be given as strings ('2009'). The set form
+    ``growth_rates`` is the scalable way to compare all categories.
     """
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}_of(s BIGINT, e BIGINT)
+        RETURNS DECIMAL(10,2)
+        RETURN CASE WHEN s > 0 AND e > 0
+                    THEN CAST(ROUND(ROUND(CAST(e - s AS DECIMAL(20,0)) / s, 4), 2) AS DECIMAL(10,2))
+               END
+    """)
+
     def count_sql(param: str) -> str:
         return (f"(SELECT count(1) FROM {view} v WHERE v.main_category = p_category "
                 f"AND v.launch_year = CAST({param} AS INT) AND v.launch_year <> {C.PLACEHOLDER_YEAR})")
-    s, e = count_sql("p_start_year"), count_sql("p_end_year")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(p_category STRING, p_start_year STRING, p_end_year STRING)
         RETURNS DECIMAL(10,2)
-        RETURN CASE WHEN {s} > 0 AND {e} > 0
-                    THEN CAST(ROUND(ROUND(CAST({e} - {s} AS DECIMAL(20,0)) / {s}, 4), 2) AS DECIMAL(10,2))
-               END
+        RETURN {name}_of({count_sql("p_start_year")}, {count_sql("p_end_year")})
     """)
 
 

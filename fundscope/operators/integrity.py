@@ -8,6 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import checked_small
+
+
+def _keys_side(df: DataFrame) -> DataFrame:
+    """The key side of an anti join: broadcast when its row count is checked small
+    (a hot key on the probe side then never lands in one shuffle task), else shuffled."""
+    return F.broadcast(df) if checked_small(df) else df
+
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: ``table_name``, ``row_count``."""
@@ -37,7 +45,7 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, cols: str | Sequence[
     pkeys = _cols(parent_cols) if parent_cols else keys
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
     p = parent.select(*[F.col(pk).alias(k) for pk, k in zip(pkeys, keys)])
-    return child.where(present).join(p, keys, "left_anti")
+    return child.where(present).join(_keys_side(p), keys, "left_anti")
 
 
 def cascade_delete(child: DataFrame, removed_parent: DataFrame, cols: str | Sequence[str]) -> DataFrame:
@@ -46,4 +54,4 @@ def cascade_delete(child: DataFrame, removed_parent: DataFrame, cols: str | Sequ
     Rows with a NULL key reference no parent and stay.
     """
     keys = _cols(cols)
-    return child.join(removed_parent.select(*keys), keys, "left_anti")
+    return child.join(_keys_side(removed_parent.select(*keys)), keys, "left_anti")
