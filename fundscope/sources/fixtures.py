@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import COUNTRY_SENTINEL, format_day_first, half_up_div
+from ..functions.columns import COUNTRY_SENTINEL, format_day_first
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -128,7 +128,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None)
         F.when(F.col("r_name") == EURO_REGION, F.lit("EUR"))
          .otherwise(F.concat(_code(F.col("c_nationkey")), F.lit("D"))).alias("currency"),
         F.col("o_totalprice").alias("usd_goal_real"),
-        # exact sum rounded half-up to whole cents
-        half_up_div(F.col("rev_e4"), F.lit(10000), 2).alias("usd_pledged_real"),
+        # exact sum (1/10000 units, never negative) rounded half-up to whole cents in long arithmetic
+        (F.expr("(rev_e4 + 50) div 100") / F.lit(100.0)).alias("usd_pledged_real"),
     )
     return RawTables(project_info, pledge, country_lookup(spark, sf_dir))
