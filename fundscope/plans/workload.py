@@ -87,6 +87,22 @@ def _default_buckets(spark: SparkSession) -> int:
     return int(v) if v.isdigit() else spark.sparkContext.defaultParallelism
 
 
+def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
+               country: str | DataFrame, project_info_schema=None, pledge_schema=None,
+               root: str | None = None) -> Tables:
+    """The whole set-up from raw files: read the delimited project_info and pledge
+    files (declared schemas, no quoting), load the country lookup, parse dates,
+    and store the loaded tables and the enriched base (see ``materialize``)."""
+    from ..schemas import PLEDGE_RAW, PROJECT_INFO_RAW
+    from ..sources.country import country_dim
+    from ..sources.delimited import read_delimited
+
+    raw_pi = read_delimited(spark, project_info, project_info_schema or PROJECT_INFO_RAW)
+    pl = read_delimited(spark, pledge, pledge_schema or PLEDGE_RAW)
+    co = country_dim(spark, country)
+    return materialize(spark, build(raw_pi, pl, co), root)
+
+
 def enrich_columns() -> list[str]:
     return ["ID", "main_category", "category", "launched", "launched_date", "launch_year", "deadline",
             "country_code", "country", "currency", "state", "state_merged", "usd_goal_real",

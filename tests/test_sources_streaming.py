@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF01
 from fundscope.operators import cleaning as CL
 from fundscope.operators import views as V
-from fundscope.plans.workload import driver_files, driver_tables
+from fundscope.plans.workload import driver_files, driver_tables, load_files
 from fundscope.sources.delimited import read_project_info, write_delimited
 from fundscope.sources.extract import write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
@@ -64,3 +64,12 @@ def test_write_extract_single_file_only_when_small(spark, scratch):
     p3 = os.path.join(scratch, "full_parquet")
     write_extract(V.success_rate_full(t.enriched), p3, "parquet", partition_by="year")
     assert spark.read.parquet(p3).count() == V.success_rate_full(t.enriched).count()
+
+
+def test_load_files_reproduces_the_workload(spark):
+    t = driver_tables(spark, SF01)
+    files = driver_files(spark, SF01)
+    w = load_files(spark, files["project_info"], files["pledge"], t.country,
+                   project_info_schema=RAW_PROJECT_INFO_FILE)
+    assert w.enriched.exceptAll(t.enriched).count() == 0 and w.enriched.count() == t.enriched.count()
+    assert w.project_info.exceptAll(t.project_info).count() == 0
