@@ -22,9 +22,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import COUNTRY_SENTINEL, format_day_first
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-          "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
 # ---------------------------------------------------------------------------
 # Fixed values of the mapping (the DuckDB oracle uses the same ones)
 # ---------------------------------------------------------------------------
