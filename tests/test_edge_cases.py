@@ -141,6 +141,9 @@ def test_one_sided_cell_and_thirds(spark):
     assert full[("A", "successful")].test == 2015
     assert all(full[("C", s)].total_no == 0 for s in ("successful", "failed"))
     assert all(full[("D", s)].test is None and full[("D", s)].total_no == 0 for s in ("successful", "failed"))
+    by_join = {(r.main_category, r.state): (r.total_no, r.percentage, r.test)
+               for r in V.success_rate_full(en, by_join=True).collect()}
+    assert by_join == {k: (r.total_no, r.percentage, r.test) for k, r in full.items()}
     by_window = {(r.main_category, r.state_merged, r.total_no, r.percentage)
                  for r in V.success_rate(en, by_window=True).collect()}
     assert by_window == {(r.main_category, r.state_merged, r.total_no, r.percentage) for r in rates.values()}

@@ -85,6 +85,15 @@ def test_success_rate_window_variant_matches(spark):
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
+def test_success_rate_full_join_variant_matches(spark):
+    t = driver_tables(spark, SF01)
+    a = V.success_rate_full(t.enriched)
+    b = V.success_rate_full(t.enriched, by_join=True)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    p = _plan(b)
+    assert "NestedLoopJoin" not in p and "Cartesian" not in p
+
+
 def test_currency_list_distinct_then_numbered(spark):
     t = driver_tables(spark, SF01)
     rows = X.currency_list(t.pledge).collect()
