@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parallelism
+
 # A lookup with at most this many rows is broadcast (the country list has 250).
 MAX_BROADCAST_ROWS = 200_000
 # Number of salt buckets used when the lookup is too large to broadcast.
@@ -59,7 +61,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
     range exchange, which Spark computes once and reuses.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(df.sparkSession)
     mid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
              .withColumn("__mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("__mid"), 33)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.analysis import register_growth_rate_function
 from ..operators.cleaning import enrich, load_project_info, merge_state
 from ..operators.views import register_views
-from ..session import checkpoint_root
+from ..session import checkpoint_root, parallelism, session_key
 from ..sources import fixtures
 from ..sources.delimited import write_delimited
 
@@ -84,7 +84,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
 
 def _default_buckets(spark: SparkSession) -> int:
     v = str(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return int(v) if v.isdigit() else spark.sparkContext.defaultParallelism
+    return int(v) if v.isdigit() else parallelism(spark)
 
 
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
@@ -134,7 +134,7 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tabl
     if not stored:
         raw = fixtures.raw_tables(spark, sf_dir)
         return build(raw.project_info, raw.pledge, raw.country)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    key = (session_key(spark), os.path.abspath(sf_dir), _fingerprint(sf_dir))
     with _LOCK:
         hit = _STORED.get(key)
         if hit is not None:
@@ -142,7 +142,7 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tabl
         root = f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
         # the mapping's joins run once; both fact tables are projections of this copy
         # (spread over the cluster's task slots: the source files may be single row groups)
-        n = spark.sparkContext.defaultParallelism
+        n = parallelism(spark)
         (fixtures.order_facts(spark, sf_dir).repartition(n, "o_orderkey")
          .write.mode("overwrite").parquet(f"{root}/order_facts"))
         facts = spark.read.parquet(f"{root}/order_facts")
@@ -159,7 +159,7 @@ def driver_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The raw project_info and pledge tables written once as delimited text files
     (the layout the load step reads: CRLF rows, header, no quoting); name -> folder."""
     t = driver_tables(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, t.root)
+    key = (session_key(spark), t.root)
     with _LOCK:
         hit = _FILES.get(key)
         if hit is not None:

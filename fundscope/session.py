@@ -26,6 +26,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """The cluster's default parallelism (task slots)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        v = str(spark.conf.get("spark.default.parallelism", "") or "")
+        return int(v) if v.isdigit() else 8
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identifies one live session (application + session object)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = spark.conf.get("spark.app.id", None)
+    return (app, id(spark))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -34,14 +52,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     cluster a missing setting is an error.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        pass
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc is not None else str(spark.conf.get("spark.master", ""))
+        if not master.startswith("local"):
             # a machine-local folder is not visible to other executors: refuse
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="fundscope-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path.rstrip("/")

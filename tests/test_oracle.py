@@ -31,3 +31,10 @@ def test_entry_smoke(spark):
     assert len(rows) > 0
     assert df.columns == ["country", "main_category", "no_of_projects", "state_merged", "top_no"]
     assert compare(spark, SF001, "top_categories_per_country", _con(SF001))["ok"]
+
+
+def test_queries_work_in_a_new_session_of_the_same_application(spark):
+    other = spark.newSession()
+    df = E.queries()["category_leaderboard_sql"](other, SF01)
+    assert df.count() == 25
+    assert E.queries()["growth_rate_sql_function"](other, SF01).count() == 1
