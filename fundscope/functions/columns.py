@@ -149,14 +149,17 @@ def mean_half_up(total: str | Column, count: str | Column, scale: int) -> Column
 
 
 def money_cents(c: str | Column) -> Column:
-    """A money column (dollars with cents, DOUBLE or DECIMAL) as whole cents, BIGINT.
-    Sums of it stay exact in long arithmetic and raise on overflow under ANSI mode."""
+    """A money column (dollars with cents, DOUBLE or DECIMAL) as whole cents, BIGINT."""
     return F.round(col(c) * F.lit(100)).cast("long")
 
 
 def money_avg_half_up(c: str | Column, scale: int) -> Column:
-    """Aggregate: mean of a money column, computed on whole cents and rounded half-up to ``scale``; DOUBLE."""
-    return half_up_div(F.sum(money_cents(c)), F.count(col(c)) * F.lit(100), scale)
+    """Aggregate: mean of a money column, computed on whole cents and rounded half-up to ``scale``; DOUBLE.
+
+    The cents are summed as DECIMAL(38,0): exact at any row count (a BIGINT sum of
+    cents could overflow around 10^11 rows), and still long arithmetic while small.
+    """
+    return half_up_div(F.sum(money_cents(c).cast("decimal(38,0)")), F.count(col(c)) * F.lit(100), scale)
 
 
 def money_to_double(c: str | Column) -> Column:
