@@ -82,16 +82,15 @@ v_success_rate AS (
               FROM en WHERE state_merged IN ('successful', 'failed')
               GROUP BY country_code, country, launch_year, main_category, state_merged) a) b),
 scaffold AS (
-  SELECT d.country, d.launch_year AS year, d.main_category, s.state
+  SELECT country, launch_year AS year, main_category, unnest(['successful', 'failed']) AS state
   FROM (SELECT DISTINCT country_code, country, launch_year, main_category FROM en
-        WHERE state_merged <> 'other') d
-  CROSS JOIN (SELECT 'successful' AS state UNION ALL SELECT 'failed') s),
+        WHERE state_merged <> 'other') d),
 success_rate_full AS (
   SELECT s.country, s.year, s.main_category, s.state,
          coalesce(r.total_no, 0) AS total_no,
          coalesce(r.percentage, 0.0) AS percentage,
          r.year AS test
-  FROM v_success_rate r RIGHT JOIN scaffold s
+  FROM scaffold s LEFT JOIN v_success_rate r
     ON r.country = s.country AND r.year = s.year AND r.main_category = s.main_category
    AND r.state_merged = s.state)
 """
