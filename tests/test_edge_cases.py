@@ -198,3 +198,14 @@ def test_country_dim_from_csv(spark, scratch):
     rows = {r.countrycode: r for r in country_dim(spark, p).collect()}
     assert rows["BES"].countryname == "Bonaire, Sint Eustatius and Saba" and rows["GBR"].code == "GB"
     assert [f.name for f in country_dim(spark, p).schema] == [f.name for f in schemas.COUNTRY]
+
+
+def test_repair_with_several_pledges_keeps_one_row_per_project(spark):
+    t = dt.datetime(2015, 1, 1)
+    d = dt.date(2015, 1, 1)
+    pi = _pi(spark, [(1, "A", "a", t, d, '"N', d), (2, "A", "a", t, d, "DE", d)])
+    pl = _pl(spark, [(1, "failed", "USD", 1.0, 1.0), (1, "failed", "GBP", 1.0, 1.0), (2, "failed", "EUR", 1.0, 1.0),
+                     (2, "successful", "EUR", 1.0, 1.0)])
+    fixed = CL.repair_country(pi, pl).collect()
+    assert sorted((r.ID, r.country) for r in fixed) == [(1, "GB"), (2, "DE")]   # smallest currency wins
+    assert I.check_primary_key(pl, "ID").count() == 2                              # the check flags both IDs
