@@ -22,6 +22,7 @@ from fundscope.operators import integrity as I
 from fundscope.operators import views as V
 from fundscope.plans.workload import Tables, driver_files, driver_tables
 from fundscope.sources.delimited import read_pledge, read_project_info
+from fundscope.sources.extract import write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
 from fundscope.streaming.incremental import load_available
 
@@ -66,6 +67,15 @@ def _stream_load_project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
                           f"{run}/checkpoint", transform=CL.load_project_info)
 
 
+def _extract_success_rate_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-32: the dashboard extract of the densified rates, written as CSV and read back."""
+    t = _t(spark, sf_dir)
+    df = V.success_rate_full(t.enriched)
+    path = f"{t.root}/extracts/success_rate_full-{uuid.uuid4().hex[:10]}"
+    write_extract(df, path, "csv")
+    return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
 def _category_leaderboard_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, v = _views(spark, sf_dir)
     return spark.sql(f"""
@@ -138,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "success_rate": lambda s, d: V.success_rate(_t(s, d).enriched),
         "success_rate_full": lambda s, d: V.success_rate_full(_t(s, d).enriched),
         "goal_vs_pledge": lambda s, d: V.goal_vs_pledge(_t(s, d).enriched),
+        "extract_success_rate_full": _extract_success_rate_full,
         "avg_success_rate": lambda s, d: A.avg_success_rate(V.success_rate_full(_t(s, d).enriched)),
         "category_leaderboard": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d))),
         "category_leaderboard_country": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d)),
