@@ -52,8 +52,8 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     ``project_info`` and ``pledge`` are stored bucketed and sorted by ``ID`` with the
     same bucket count (one shuffle each, at load), so every later join of the two
     on ``ID`` (the enrichment, the repair, the checks) reads co-located buckets
-    without shuffling either side. Bucket count: ``buckets`` or the session's
-    shuffle partition count.
+    without shuffling either side. Bucket count: ``buckets``, else the session's
+    shuffle partition count capped at four per task slot.
     """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
     b = buckets or _default_buckets(spark)
@@ -83,8 +83,11 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
 
 
 def _default_buckets(spark: SparkSession) -> int:
+    """Shuffle partitions, capped at four per task slot (a session left at Spark's
+    default of 200 on a small machine would otherwise write 200 tiny files per table)."""
     v = str(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return int(v) if v.isdigit() else parallelism(spark)
+    slots = parallelism(spark)
+    return min(int(v), 4 * slots) if v.isdigit() else slots
 
 
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
