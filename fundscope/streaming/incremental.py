@@ -36,12 +36,14 @@ def read_delimited_stream(spark: SparkSession, folder: str, schema: T.StructType
 def start_incremental_load(spark: SparkSession, folder: str, schema: T.StructType, target: str,
                            checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
                            available_now: bool = True, processing_time: str = "1 minute",
-                           partition_by: str | None = None) -> StreamingQuery:
+                           partition_by: str | None = None,
+                           max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the load; returns the running query (``awaitTermination`` it for available-now runs).
 
     ``checkpoint`` must be in shared storage (e.g. below ``spark.checkpoint.dir``).
+    ``max_files_per_trigger`` bounds the size of each micro-batch.
     """
-    df = read_delimited_stream(spark, folder, schema)
+    df = read_delimited_stream(spark, folder, schema, max_files_per_trigger=max_files_per_trigger)
     if transform is not None:
         df = transform(df)
     w = (df.writeStream.format("parquet").outputMode("append")
