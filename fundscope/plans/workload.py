@@ -46,14 +46,17 @@ def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) ->
 
 
 def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
-                buckets: int | None = None) -> Tables:
+                buckets: int | None = None, bucketed: bool = True) -> Tables:
     """Write the tables under ``root`` (default: a new folder in the checkpoint dir) and read them back.
 
     ``project_info`` and ``pledge`` are stored bucketed and sorted by ``ID`` with the
     same bucket count (one shuffle each, at load), so every later join of the two
     on ``ID`` (the enrichment, the repair, the checks) reads co-located buckets
     without shuffling either side. Bucket count: ``buckets``, else the session's
-    shuffle partition count capped at four per task slot.
+    shuffle partition count capped at four per task slot. ``ID`` is the project key,
+    so no bucket is hot; if the pledge table had one ID repeated on a large share of
+    rows (``check_primary_key`` on pledge reports it), store with ``bucketed=False``:
+    the joins then shuffle, and AQE's skew-join handling can split the hot partition.
     """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
     b = buckets or _default_buckets(spark)
@@ -74,8 +77,12 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
            .option("path", f"{root}/{name}").saveAsTable(table))
         return spark.table(table)
 
-    pi = put_bucketed(tables.project_info, "project_info")
-    pl = put_bucketed(tables.pledge, "pledge")
+    if bucketed:
+        pi = put_bucketed(tables.project_info, "project_info")
+        pl = put_bucketed(tables.pledge, "pledge")
+    else:
+        pi = put(tables.project_info, "project_info")
+        pl = put(tables.pledge, "pledge")
     co = put(tables.country, "country")
     # the base is built from the stored tables, not from the load plans again; each task's
     # rows are sorted by year, country and category (no shuffle), so Parquet row-group
@@ -95,7 +102,7 @@ def _default_buckets(spark: SparkSession) -> int:
 
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
                country: str | DataFrame, project_info_schema=None, pledge_schema=None,
-               root: str | None = None) -> Tables:
+               root: str | None = None, buckets: int | None = None, bucketed: bool = True) -> Tables:
     """The whole set-up from raw files: read the delimited project_info and pledge
     files (declared schemas, no quoting), load the country lookup, parse dates,
     and store the loaded tables and the enriched base (see ``materialize``)."""
@@ -106,7 +113,7 @@ def load_files(spark: SparkSession, project_info: str | list[str], pledge: str |
     raw_pi = read_delimited(spark, project_info, project_info_schema or PROJECT_INFO_RAW)
     pl = read_delimited(spark, pledge, pledge_schema or PLEDGE_RAW)
     co = country_dim(spark, country)
-    return materialize(spark, build(raw_pi, pl, co), root)
+    return materialize(spark, build(raw_pi, pl, co), root, buckets, bucketed)
 
 
 def enrich_columns() -> list[str]:

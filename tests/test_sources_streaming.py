@@ -73,3 +73,6 @@ def test_load_files_reproduces_the_workload(spark):
                    project_info_schema=RAW_PROJECT_INFO_FILE)
     assert w.enriched.exceptAll(t.enriched).count() == 0 and w.enriched.count() == t.enriched.count()
     assert w.project_info.exceptAll(t.project_info).count() == 0
+    plain = load_files(spark, files["project_info"], files["pledge"], t.country,
+                       project_info_schema=RAW_PROJECT_INFO_FILE, bucketed=False)
+    assert plain.enriched.exceptAll(t.enriched).count() == 0 and plain.enriched.count() == t.enriched.count()
