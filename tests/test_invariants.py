@@ -33,3 +33,13 @@ def test_repair_leaves_no_missing_country_with_a_pledge(spark):
     assert with_pledge.where(F.col("country").isNull()).count() == 0
     assert fixed.count() == t.project_info.count()
     assert fixed.where(F.col("country") == '"N').count() == 0
+
+
+def test_lazy_pipeline_equals_stored_pipeline(spark):
+    stored = driver_tables(spark, SF01)
+    lazy = driver_tables(spark, SF01, stored=False)
+    assert lazy.enriched.count() == stored.enriched.count()
+    assert lazy.enriched.exceptAll(stored.enriched.select(*lazy.enriched.columns)).count() == 0
+    a = V.success_rate_full(lazy.enriched)
+    b = V.success_rate_full(stored.enriched)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
