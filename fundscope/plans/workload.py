@@ -45,8 +45,17 @@ def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) ->
     return Tables(pi, pledge, country, enrich(pi, pledge, country), raw_project_info)
 
 
+def use_database(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """``USE name``: create the database if absent (located in the shared folder) and make it current."""
+    location = f"{root or checkpoint_root(spark)}/{name}.db"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{location}'")
+    spark.catalog.setCurrentDatabase(name)
+    return name
+
+
 def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
-                buckets: int | None = None, bucketed: bool = True) -> Tables:
+                buckets: int | None = None, bucketed: bool = True,
+                database: str | None = None) -> Tables:
     """Write the tables under ``root`` (default: a new folder in the checkpoint dir) and read them back.
 
     ``project_info`` and ``pledge`` are stored bucketed and sorted by ``ID`` with the
@@ -57,6 +66,7 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     so no bucket is hot; if the pledge table had one ID repeated on a large share of
     rows (``check_primary_key`` on pledge reports it), store with ``bucketed=False``:
     the joins then shuffle, and AQE's skew-join handling can split the hot partition.
+    ``database``: the catalog tables are created in it (see ``use_database``).
     """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
     b = buckets or _default_buckets(spark)
@@ -70,8 +80,13 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
         w.parquet(path)
         return spark.read.parquet(path)
 
+    if database:
+        use_database(spark, database)
+
     def put_bucketed(df: DataFrame, name: str) -> DataFrame:
         table = f"fundscope_{tag}_{name}"
+        if database:
+            table = f"`{database}`.{table}"
         (df.repartition(b, "ID").write.mode("overwrite")
            .bucketBy(b, "ID").sortBy("ID")
            .option("path", f"{root}/{name}").saveAsTable(table))
@@ -102,7 +117,8 @@ def _default_buckets(spark: SparkSession) -> int:
 
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
                country: str | DataFrame, project_info_schema=None, pledge_schema=None,
-               root: str | None = None, buckets: int | None = None, bucketed: bool = True) -> Tables:
+               root: str | None = None, buckets: int | None = None, bucketed: bool = True,
+               database: str | None = None) -> Tables:
     """The whole set-up from raw files: read the delimited project_info and pledge
     files (declared schemas, no quoting), load the country lookup, parse dates,
     and store the loaded tables and the enriched base (see ``materialize``)."""
@@ -113,7 +129,7 @@ def load_files(spark: SparkSession, project_info: str | list[str], pledge: str |
     raw_pi = read_delimited(spark, project_info, project_info_schema or PROJECT_INFO_RAW)
     pl = read_delimited(spark, pledge, pledge_schema or PLEDGE_RAW)
     co = country_dim(spark, country)
-    return materialize(spark, build(raw_pi, pl, co), root, buckets, bucketed)
+    return materialize(spark, build(raw_pi, pl, co), root, buckets, bucketed, database)
 
 
 def enrich_columns() -> list[str]:

@@ -73,6 +73,13 @@ def test_load_files_reproduces_the_workload(spark):
                    project_info_schema=RAW_PROJECT_INFO_FILE)
     assert w.enriched.exceptAll(t.enriched).count() == 0 and w.enriched.count() == t.enriched.count()
     assert w.project_info.exceptAll(t.project_info).count() == 0
+    current = spark.catalog.currentDatabase()
     plain = load_files(spark, files["project_info"], files["pledge"], t.country,
                        project_info_schema=RAW_PROJECT_INFO_FILE, bucketed=False)
+    in_db = load_files(spark, files["project_info"], files["pledge"], t.country,
+                       project_info_schema=RAW_PROJECT_INFO_FILE, database="fundscope_test_db")
+    assert spark.catalog.currentDatabase() == "fundscope_test_db"
+    assert any(tb.name.endswith("_pledge") for tb in spark.catalog.listTables("fundscope_test_db"))
+    assert in_db.enriched.exceptAll(t.enriched).count() == 0
+    spark.catalog.setCurrentDatabase(current)
     assert plain.enriched.exceptAll(t.enriched).count() == 0 and plain.enriched.count() == t.enriched.count()
