@@ -147,6 +147,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "growth_rate_scalar": lambda s, d: A.growth_rate(_t(s, d).enriched, "BUILDING/1", "1995", "2000"),
         "success_rate": lambda s, d: V.success_rate(_t(s, d).enriched),
         "success_rate_full": lambda s, d: V.success_rate_full(_t(s, d).enriched),
+        # the same two views in their window / scaffold-join formulations (for comparison)
+        "success_rate_by_window": lambda s, d: V.success_rate(_t(s, d).enriched, by_window=True),
+        "success_rate_full_by_join": lambda s, d: V.success_rate_full(_t(s, d).enriched, by_join=True),
         "goal_vs_pledge": lambda s, d: V.goal_vs_pledge(_t(s, d).enriched),
         "extract_success_rate_full": _extract_success_rate_full,
         "avg_success_rate": lambda s, d: A.avg_success_rate(V.success_rate_full(_t(s, d).enriched)),

@@ -239,6 +239,8 @@ def statements() -> dict[str, str]:
         "growth_rate_scalar": _q(growth_one),
         "success_rate": _q("SELECT * FROM v_success_rate"),
         "success_rate_full": _q("SELECT * FROM success_rate_full"),
+        "success_rate_by_window": _q("SELECT * FROM v_success_rate"),
+        "success_rate_full_by_join": _q("SELECT * FROM success_rate_full"),
         "extract_success_rate_full": _q("SELECT * FROM success_rate_full"),
         "goal_vs_pledge": _q("SELECT ID, country, main_category, state_merged, launched_date, usd_goal_real, "
                              "usd_pledged_real FROM en WHERE state_merged <> 'other'"),
