@@ -29,6 +29,7 @@ PLACEHOLDER_YEAR = 1970
 # day-first text formats of the raw files: launched "dd/mm/yyyy hh:mm", deadline "dd/mm/yyyy"
 # ---------------------------------------------------------------------------
 
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
