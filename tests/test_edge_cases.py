@@ -209,3 +209,17 @@ def test_repair_with_several_pledges_keeps_one_row_per_project(spark):
     fixed = CL.repair_country(pi, pl).collect()
     assert sorted((r.ID, r.country) for r in fixed) == [(1, "GB"), (2, "DE")]   # smallest currency wins
     assert I.check_primary_key(pl, "ID").count() == 2                              # the check flags both IDs
+
+
+def test_dates_do_not_depend_on_the_session_time_zone(spark):
+    from fundscope.functions import columns as C
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")   # clocks jumped 00:00 -> 01:00 that day
+    try:
+        df = spark.createDataFrame([("04/11/2018 00:30", "04/11/2018")], "l string, d string")
+        r = df.select(C.parse_day_first_timestamp("l").alias("ts"), C.parse_day_first_date("d").alias("dd")).collect()[0]
+        assert r.ts == dt.datetime(2018, 11, 4, 0, 30) and r.dd == dt.date(2018, 11, 4)
+        back = df.select(C.format_day_first(C.parse_day_first_timestamp("l")).alias("t")).collect()[0].t
+        assert back == "04/11/2018 00:30"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
