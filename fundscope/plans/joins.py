@@ -54,15 +54,22 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
                       partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` without a single-partition window.
 
-    Rows are range-partitioned on the order keys and sorted inside each
-    partition; ``monotonically_increasing_id`` then holds (partition index,
-    position in partition). The per-partition counts (one row per partition, a
+    Rows are range-partitioned on the order keys (plus tiebreakers) and sorted
+    inside each partition; ``monotonically_increasing_id`` then holds (partition
+    index, position in partition). The per-partition counts (one row per partition, a
     tiny broadcast table) give each partition's offset. Both uses read the same
     range exchange, which Spark computes once and reuses.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    # Ties may be numbered in any order, so two tiebreakers follow the order keys: a hash
+    # of the whole row and the row's position. Rows with an equal (even hot) key, or
+    # identical copies, then spread over several range partitions instead of one.
+    keys = cols + [F.col("__h"), F.col("__pos")]
     n = partitions or parallelism(df.sparkSession)
-    mid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    mid = (df.withColumn("__h", F.xxhash64(*[F.col(c) for c in df.columns]))
+             .withColumn("__pos", F.monotonically_increasing_id())
+             .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+             .drop("__h", "__pos")
              .withColumn("__mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("__mid"), 33)
     local = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))

@@ -65,3 +65,20 @@ def test_salted_lookup_spreads_the_hot_key(spark):
             else:
                 spark.conf.set(k, v)
     assert spread > 4
+
+
+def test_global_row_number_spreads_a_hot_key(spark):
+    from pyspark.sql import Window
+    from fundscope.plans.joins import global_row_number
+    df = spark.range(0, 9000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"))   # a third of rows k = 5
+    out = global_row_number(df, ["k"], "rn", partitions=8)
+    rows = out.collect()
+    assert sorted(r.rn for r in rows) == list(range(1, 9001))
+    by_rn = [r.k for r in sorted(rows, key=lambda r: r.rn)]
+    assert by_rn == sorted(by_rn)                                    # numbering follows the key order
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("k")).cast("long"))
+    assert {(r.k, r.rn) for r in ref.where(F.col("k") != 5).collect()} == \
+           {(r.k, r.rn) for r in rows if r.k != 5}                   # untied keys get the same numbers
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(k" in plan and "__h" in plan
