@@ -62,6 +62,18 @@ def main(argv):
              "| query | " + " | ".join(cols) + " |", "| --- | " + " | ".join("---" for _ in cols) + " |"]
     for name, s in rows:
         lines.append(f"| `{name}` | " + " | ".join(str(s[c]) for c in cols) + " |")
+    from fundscope.operators import analysis as A
+    from fundscope.operators import cleaning as CL
+    from fundscope.operators import views as V
+    t = driver_tables(spark, sf_dir)
+    shown = [("enrichment (project x pledge x lookup)", CL.enrich(t.project_info, t.pledge, t.country)),
+             ("top_categories_per_country", A.top_categories_per_country(t.enriched)),
+             ("success_rate_full", V.success_rate_full(t.enriched))]
+    for title, df in shown:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = re.sub(r"Location: InMemoryFileIndex\([^)]*\)\[[^\]]*\]", "Location: <store>", plan)
+        plan = re.sub(r"#\d+L?", "", plan)
+        lines += ["", f"## Physical plan: {title}", "", "```", plan.rstrip(), "```"]
     open(out, "w").write("\n".join(lines) + "\n")
     print("\n".join(lines))
 
