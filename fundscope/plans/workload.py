@@ -154,11 +154,11 @@ def _fingerprint(sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tables:
+def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh: bool = False) -> Tables:
     """The workload over the driver's tables in ``sf_dir`` (see ``sources.fixtures``).
 
     ``stored=True`` loads and cleans once per session and data folder; later
-    calls reuse the stored Parquet tables.
+    calls reuse the stored Parquet tables (``refresh=True`` builds a new store).
     """
     if not stored:
         raw = fixtures.raw_tables(spark, sf_dir)
@@ -166,7 +166,7 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Tabl
     key = (session_key(spark), os.path.abspath(sf_dir), _fingerprint(sf_dir))
     with _LOCK:
         hit = _STORED.get(key)
-        if hit is not None:
+        if hit is not None and not refresh:
             return hit
         root = f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
         # the mapping's joins run once; both fact tables are projections of this copy
