@@ -6,10 +6,11 @@ that lacks some codes. Money is dollars with cents (the pledged sum is computed
 exactly and rounded half-up to cents). Dates are rendered as
 the day-first text of the raw files, so the date parser runs on every load.
 
-``raw_tables`` builds both fact tables from ONE pass over ``lineitem`` and
-``orders``: the per-order line aggregate (deadline and pledged sum together) is
-shuffled once on the order key and joined to orders on that same key, so the
-output stays hash-partitioned by ``ID``.
+``order_facts`` is ONE pass over ``lineitem`` and ``orders``: the per-order line
+aggregate (deadline and pledged sum together, partially aggregated before its
+shuffle) joined to orders on the order key and to the customer's nation and
+region. ``raw_tables`` projects both fact tables from it; ``plans.workload``
+stores it once, so the mapping's joins run once per session.
 """
 
 from __future__ import annotations
