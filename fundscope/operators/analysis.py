@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def top_categories_per_country(enriched: DataFrame, k: int = 5, state: str = C.SUCCESS) -> DataFrame:
+def top_categories_per_country(enriched: DataFrame, k: int = 5, state: str = C.SUCCESS,
+                               ordered: bool = True) -> DataFrame:
     """Main categories ranked by number of projects in ``state`` within each country;
     the k best ranks are kept, ties included (dense rank)."""
     counts = (enriched.where(F.col("state_merged") == F.lit(state))
@@ -23,24 +24,24 @@ def top_categories_per_country(enriched: DataFrame, k: int = 5, state: str = C.S
               .agg(F.count(F.col("ID")).alias("no_of_projects")))
     rank = F.dense_rank().over(Window.partitionBy("country").orderBy(F.col("no_of_projects").desc()))
     # ``<= k`` (not IN (1..k)) lets Spark put a WindowGroupLimit under the window
-    return (counts.withColumn("top_no", rank).where(F.col("top_no") <= k)
-            .select("country", "main_category", "no_of_projects", "state_merged", "top_no")
-            .orderBy("country", "top_no"))
+    out = (counts.withColumn("top_no", rank).where(F.col("top_no") <= k)
+           .select("country", "main_category", "no_of_projects", "state_merged", "top_no"))
+    return out.orderBy("country", "top_no") if ordered else out
 
 
-def avg_project_length(enriched: DataFrame, skip_year: int = C.PLACEHOLDER_YEAR) -> DataFrame:
+def avg_project_length(enriched: DataFrame, skip_year: int = C.PLACEHOLDER_YEAR, ordered: bool = True) -> DataFrame:
     """Mean days from launch to deadline per country and merged state (4 decimals, exact),
     without placeholder-year rows and without state 'other'."""
     days = F.datediff(F.col("deadline"), F.col("launched_date"))
     f = enriched.where((F.year("launched_date") != F.lit(skip_year))
                        & (F.col("state_merged") != F.lit(C.OTHER)))
-    return (f.groupBy("country_code", "country", "state_merged")
-             .agg(C.mean_half_up(F.sum(days), F.count(days), 4).alias("avg_project_length"))
-             .select("country", "avg_project_length", "state_merged")
-             .orderBy("country", "state_merged"))
+    out = (f.groupBy("country_code", "country", "state_merged")
+           .agg(C.mean_half_up(F.sum(days), F.count(days), 4).alias("avg_project_length"))
+           .select("country", "avg_project_length", "state_merged"))
+    return out.orderBy("country", "state_merged") if ordered else out
 
 
-def goal_vs_pledged_summary(df: DataFrame, by: str | None = None) -> DataFrame:
+def goal_vs_pledged_summary(df: DataFrame, by: str | None = None, ordered: bool = True) -> DataFrame:
     """Mean goal and mean pledged money (2 decimals, exact) per merged state.
 
     ``by=None``: over the pledge table (with ``state_merged``) alone.
@@ -53,9 +54,9 @@ def goal_vs_pledged_summary(df: DataFrame, by: str | None = None) -> DataFrame:
         return f.groupBy("state_merged").agg(*aggs)
     if by != "country":
         raise ValueError("by must be None or 'country'")
-    return (f.groupBy("country_code", "country", "state_merged").agg(*aggs)
-             .select("country", "state_merged", "avg_goal_usd", "avg_pledged_usd")
-             .orderBy(F.col("avg_goal_usd").desc()))
+    out = (f.groupBy("country_code", "country", "state_merged").agg(*aggs)
+           .select("country", "state_merged", "avg_goal_usd", "avg_pledged_usd"))
+    return out.orderBy(F.col("avg_goal_usd").desc()) if ordered else out
 
 
 def _growth(start_no, end_no) -> F.Column:
@@ -133,7 +134,8 @@ def avg_success_rate(full: DataFrame, state: str = C.SUCCESS) -> DataFrame:
 
 def category_leaderboard(rates: DataFrame, country: str | None = None, year: int | None = None,
                          skip_years: Sequence[int] = (C.PLACEHOLDER_YEAR, 2018),
-                         state: str = C.SUCCESS, case_insensitive: bool = False) -> DataFrame:
+                         state: str = C.SUCCESS, case_insensitive: bool = False,
+                         ordered: bool = True) -> DataFrame:
     """Per main category: mean success percentage over cells and the sum of cell totals.
 
     ``rates`` is ``success_rate``. Optional drill-down on one country and/or year;
@@ -146,7 +148,7 @@ def category_leaderboard(rates: DataFrame, country: str | None = None, year: int
         f = f.where(C.text_equals("country", country, case_insensitive))
     if year is not None:
         f = f.where(F.col("year") == F.lit(int(year)))
-    return (f.groupBy("main_category", "state_merged")
-             .agg(F.avg(F.col("percentage").cast("float")).alias("avg_success_rate"),
-                  F.sum(F.col("total_no").cast("float")).alias("project_count"))
-             .orderBy(F.col("avg_success_rate").desc()))
+    out = (f.groupBy("main_category", "state_merged")
+           .agg(F.avg(F.col("percentage").cast("float")).alias("avg_success_rate"),
+                F.sum(F.col("total_no").cast("float")).alias("project_count")))
+    return out.orderBy(F.col("avg_success_rate").desc()) if ordered else out

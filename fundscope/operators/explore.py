@@ -19,10 +19,11 @@ def preview(df: DataFrame, n: int | None = None) -> DataFrame:
     return df if n is None else df.limit(n)
 
 
-def value_frequency(df: DataFrame, column: str, alias: str = "project_count", desc: bool = False) -> DataFrame:
+def value_frequency(df: DataFrame, column: str, alias: str = "project_count", desc: bool = False,
+                    ordered: bool = True) -> DataFrame:
     """Each value of ``column`` with ``COUNT(column)`` (the NULL group counts 0), sorted by the count."""
     out = df.groupBy(column).agg(F.count(F.col(column)).alias(alias))
-    return out.orderBy(F.col(alias).desc() if desc else F.col(alias).asc())
+    return out.orderBy(F.col(alias).desc() if desc else F.col(alias).asc()) if ordered else out
 
 
 def distinct_count(df: DataFrame, column: str, alias: str | None = None) -> DataFrame:
@@ -35,10 +36,10 @@ def date_range(project_info: DataFrame, column: str = "launched") -> DataFrame:
     return project_info.agg(F.min(column).alias("start_date"), F.max(column).alias("end_date"))
 
 
-def launch_years(project_info: DataFrame, column: str = "launched") -> DataFrame:
+def launch_years(project_info: DataFrame, column: str = "launched", ordered: bool = True) -> DataFrame:
     """Distinct launch years, ascending."""
-    return (project_info.select(F.year(F.col(column).cast("date")).alias("year"))
-            .distinct().orderBy("year"))
+    out = project_info.select(F.year(F.col(column).cast("date")).alias("year")).distinct()
+    return out.orderBy("year") if ordered else out
 
 
 def suspicious_rows(project_info: DataFrame, year: int = C.PLACEHOLDER_YEAR,
@@ -63,11 +64,11 @@ def currency_list(pledge: DataFrame) -> DataFrame:
     return global_row_number(cur, ["currency"], name="currency_count").orderBy("currency")
 
 
-def countries_per_currency(project_info: DataFrame, pledge: DataFrame) -> DataFrame:
+def countries_per_currency(project_info: DataFrame, pledge: DataFrame, ordered: bool = True) -> DataFrame:
     """How many distinct countries use each currency (which currencies identify one country)."""
     j = pledge.select("ID", "currency").join(project_info.select("ID", "country"), "ID")
-    return (j.groupBy("currency").agg(F.count_distinct("country").alias("countries_per_currency"))
-             .orderBy("currency"))
+    out = j.groupBy("currency").agg(F.count_distinct("country").alias("countries_per_currency"))
+    return out.orderBy("currency") if ordered else out
 
 
 def goal_range(pledge: DataFrame, column: str = "usd_goal_real") -> DataFrame:
