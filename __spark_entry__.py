@@ -26,6 +26,12 @@ from fundscope.sources.extract import write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
 from fundscope.streaming.incremental import load_available
 
+try:  # the training-data operators live in a subpackage that may be left out
+    import corpus_pipeline
+    from fundscope.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -159,8 +165,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_leaderboard_sql": _category_leaderboard_sql,
         "growth_rate_sql_function": _growth_rate_sql_function,
     }
+    if llm is not None:
+        q |= llm.queries()
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    sql = oracle.statements()
+    if llm is not None:
+        sql |= llm.SQL
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
