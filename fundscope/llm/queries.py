@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundscope.llm import chat, decontaminate, minhash, mixing, sharding, topk, warc
+from fundscope.llm import chat, decontaminate, minhash, mixing, repeats, sharding, topk, warc
 from fundscope.llm.common import scratch_path, table, utf8_bytes
 
 SHARDS = 40
@@ -73,9 +73,17 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    removed = F.aggregate("repeat_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", utf8_bytes(F.col("text")).alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("repeat_spans").cast("long").alias("n_spans"),
+                      F.sha2(F.coalesce("kept_bytes", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_decontaminate, op4_mixing, op5_warc,
-                                    op7_chat_format, op8_topk)}
+                                    op7_chat_format, op8_topk, op10_repeats)}
 
 
 # -- the same results in DuckDB SQL ----------------------------------------------------------------
