@@ -72,7 +72,9 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def stretches(texts: list[bytes], length: int, powers=None):
@@ -97,7 +99,7 @@ def stretches(texts: list[bytes], length: int, powers=None):
     last = np.minimum(stop, ends[text[first]] - length + 1)
     count = last - first
     up = powers if powers is not None and len(powers[0]) > len(data) else (_powers(len(data), _P2), _powers(len(data), pow(_P2, -1, 1 << 64)))
-    prefix = np.concatenate([[_U(0)], np.cumsum(v * up[0][:len(data)])])
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[0][:len(data)])])
     own = _mix((prefix[last - 1 + length] - prefix[first]) * up[1][first] + count.astype(np.uint64))
     return [text[first], first - (ends - sizes)[text[first]], count, hashes[owner[first]], own]
 
@@ -129,10 +131,9 @@ def _anchor_rows(length: int):
 class RunLengthIndex:
     """Suffix order of a text of small integers, its BWT's runs, and samples at the run ends."""
 
-    def __init__(self, text: np.ndarray, most: int):
-        """``most``: matches need to be known up to this length."""
+    def __init__(self, text: np.ndarray):
         n = len(text)
-        wide = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
+        wide = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0 is behind the end
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | wide[j:j + n]
@@ -160,10 +161,9 @@ class RunLengthIndex:
             new[at] = change
             rank[order[at]] = at[np.maximum.accumulate(np.where(change, np.arange(len(at)), 0))]
             size *= 2
-            if size <= most:
-                self.levels.append((size, rank.copy()))
+            self.levels.append((size, rank.copy()))
         self.text = text
-        bwt = text[order - 1]  # the first suffix's predecessor is the last symbol, a separator
+        bwt = np.where(order > 0, text[order - 1], -1)  # before the whole text stands a symbol of its own
         head = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.run_symbols = bwt[head]
         starts = np.flatnonzero(head)
@@ -175,7 +175,7 @@ class RunLengthIndex:
         self.tail_match = np.concatenate([self._match(order[ends[:-1]], order[ends[:-1] + 1]), [0]])
 
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix, exact below twice the largest level."""
+        """Length of the common prefix: the ranks by the first 7, 14, 28, ... symbols, then symbols."""
         n, out = len(self.text), np.zeros(len(a), np.int64)
         for size, rank in self.levels[::-1]:
             x, y = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
@@ -213,7 +213,7 @@ def _marks(length: int):
             parts += [one, one] if again else [one]
             at += len(one) * (1 + again)
         text = np.concatenate(parts)
-        match = RunLengthIndex(text, 2 * length).matching_statistics()
+        match = RunLengthIndex(text).matching_statistics()
         left = np.flatnonzero(text == 0)
         left = left[np.searchsorted(left, np.arange(len(text)))] - np.arange(len(text))  # to the stretch's end
         repeated = np.minimum(match, left) >= length
