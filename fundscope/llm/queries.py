@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundscope.llm import chat, decontaminate, minhash, mixing, repeats, sharding, topk, warc
+from fundscope.llm import chat, decontaminate, minhash, mixing, pii, repeats, sharding, topk, toxicity, warc
 from fundscope.llm.common import scratch_path, table, utf8_bytes
 
 SHARDS = 40
@@ -55,6 +55,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionAll(again)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), rows=fold != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,6 +82,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     removed = F.aggregate("repeat_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -82,8 +99,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_decontaminate, op4_mixing, op5_warc,
-                                    op7_chat_format, op8_topk, op10_repeats)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_decontaminate, op4_mixing, op5_warc, op6_toxicity,
+                                    op7_chat_format, op8_topk, op9_personal_data, op10_repeats)}
 
 
 # -- the same results in DuckDB SQL ----------------------------------------------------------------

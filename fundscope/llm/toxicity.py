@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fundscope.llm.linear import logistic, sigmoid
+
 DECAY, SLOTS, WIDTH = 0.5, 1 << 20, 24
 _SPELLED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _JUNK = re.compile(r"[\W\d_]+")
@@ -113,7 +115,7 @@ class Model:
     def probability(self, texts: list[str | None]) -> np.ndarray:
         if self.words is None:
             return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return sigmoid(self.features(texts) @ self.weights[:-1] + self.weights[-1])
 
 
 # -- training --------------------------------------------------------------------------------------
@@ -269,23 +271,11 @@ def train(rows: list[tuple[str | None, int]], toxic_total: int, clean_total: int
     x = model.features([rows[i][0] for i in check])
     y = labels[check]
     weight = np.where(y == 1, toxic_total / max(1, (labels == 1).sum()), clean_total / max(1, (labels == 0).sum()))
-    model.weights = _logistic(x, y, weight / weight.mean())
+    model.weights = logistic(x, y, weight / weight.mean())
     model.seen = {}
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    x = np.column_stack([x, np.ones(len(x))])
-    w, keep = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(keep + (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x, x.T @ (weight * (y - p)) - keep @ w)
-        w = w + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 # -- Spark -----------------------------------------------------------------------------------------
 
 
