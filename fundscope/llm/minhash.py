@@ -4,16 +4,16 @@
    shingle set, 128 minima (of which the low 4 bits are kept, packed into 64 bytes) and 32 band
    keys of 4 whole minima each. Rows with equal sets are one class from here on, so copies never
    meet as pairs.
-2. Bands: only keys that two classes share go on. Each bucket's most connected class (by the sizes
-   of all its buckets) is its hub, and every class is a candidate with its bucket's hub.
-3. Candidates are estimated from the packed signatures: the share of equal 4-bit groups, counted
-   by bits, corrected for chance collisions (1 in 16). Pairs more than ``margin`` standard errors
-   below the threshold are left out, the others are confirmed on their full shingle sets.
-4. Components of the confirmed links. A bucket whose classes are now in one component is done.
-   In the others every pair from different components is estimated (inside tasks, in blocks of
-   ``block`` classes, a block pair per task, so no group meets in one task) and confirmed likewise.
-   Buckets of near copies are settled by their hub; what is compared pair by pair are classes that
-   share a band and are not linked so far, so no link between different components is lost.
+2. Bands: only keys that two classes share go on. Pairs in a bucket are estimated from the packed
+   signatures: the share of equal 4-bit groups, counted by bits, corrected for chance collisions (1
+   in 16). Pairs within ``margin`` standard errors of the threshold put their classes into one
+   family. A task sees a block of a bucket (or two blocks), skips pairs that are one family already,
+   and returns a forest, never pairs; the later bands only look at buckets of several families.
+3. Families are then compared exactly: each class sends its full shingle set once to its family, in
+   blocks of bounded bytes, where intersections are counted as bits of the shared shingles. Again a
+   task returns a forest of the links found, so no group's pairs are ever written.
+4. Components of the links. Any two similar classes meet in a band, a family and a block pair, so no
+   link is lost, and rows moved grow with classes, not with pairs.
 
 With 32 bands of 4 rows a pair of similarity 0.85 shares no band with probability 6e-11, one of 0.8
 with 5e-8; the estimate's margin of 6 standard errors loses less than that.
@@ -166,49 +166,87 @@ def _shingle_sets(k: int):
     return run
 
 
-def _close(least: float):
-    def run(batches):
-        for b in batches:
-            keep = estimate(_words(b.column(2), PERMS * BITS // 64), _words(b.column(3), PERMS * BITS // 64)) >= least
-            yield b.select([0, 1]).filter(pa.array(keep))
-    return run
+def _forest(labels: np.ndarray, x: int, near: np.ndarray) -> list[int]:
+    """Put the rows ``near`` into x's group; one of each group that was another before."""
+    _, first = np.unique(labels[near], return_index=True)
+    new = near[first]
+    new = new[labels[new] != labels[x]]
+    if len(new):
+        labels[np.isin(labels, labels[new])] = labels[x]
+    return new.tolist()
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for b in batches:
-            keep, last, own = [], None, None
-            for x, y in zip(b.column(2), b.column(3)):
-                if last is None or not x.equals(last):
-                    last, own = x, np.frombuffer(x.as_py(), np.uint64)
-                other = np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-    return run
+def _edges(node: list[bytes], found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([node[x] for x, _ in found], pa.binary()), pa.array([node[y] for _, y in found], pa.binary())], names=["a", "b"])
 
 
-def _block_pairs(least: float, ratio: float):
-    """Candidates of different components inside one block, or between two."""
+def _families(least: float, ratio: float):
+    """A block (or two) of a bucket: a forest of the estimated pairs between families."""
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
-        side = t.column("part").to_numpy()
-        node, comp, n = t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("n").to_numpy()
+        side, n = t.column("part").to_numpy(), t.column("n").to_numpy()
         sig = _words(t.column("sig").combine_chunks(), PERMS * BITS // 64)
-        number = {c: x for x, c in enumerate(dict.fromkeys(comp))}
-        comp = np.array([number[c] for c in comp])
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out = []
+        _, labels = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)
+        left, right, found = np.flatnonzero(side == i), np.flatnonzero(side == j), []
         for x in left:
             y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]))]
-            out += [(node[x], node[z]) for z in y[estimate(sig[x], sig[y]) >= least]]
-        return pa.table([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+            y = y[(labels[y] != labels[x]) & (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]))]
+            if len(y):
+                found += [(x, z) for z in _forest(labels, x, y[estimate(sig[x], sig[y]) >= least])]
+        return _edges(t.column("node").to_pylist(), found)
     return run
 
 
+SLAB = 1 << 16
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: bit counts over the values that several sets hold."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(many > 1)
+    number = np.full(len(values), -1, np.int64)
+    number[shared] = np.arange(len(shared))
+    place = number[place]
+    out = np.zeros((len(sets), len(sets)), np.int32)
+    for a in range(0, len(shared), SLAB):
+        own = (place >= a) & (place < a + SLAB)
+        width = (min(SLAB, len(shared) - a) + 63) // 64
+        bits = np.zeros(len(sets) * width, np.uint64)
+        at = place[own] - a
+        np.bitwise_or.at(bits, rows[own] * width + (at >> 6), _U(1) << (at & 63).astype(np.uint64))
+        bits = bits.reshape(len(sets), width)
+        for x in range(len(sets)):
+            out[x] += np.bitwise_count(bits[x] & bits).sum(1, dtype=np.int32)
+    return out
+
+
+def _links(percent: int):
+    """A block (or two) of a family: a forest of the pairs that are similar by their full sets."""
+    def run(key, t):
+        i, j = key[1].as_py(), key[2].as_py()
+        side = t.column("part").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+        n, both = np.array([len(s) for s in sets]), intersections(sets)
+        linked = 100 * both.astype(np.int64) >= percent * (n[:, None] + n[None, :] - both)
+        labels, right, found = np.arange(len(sets)), np.flatnonzero(side == j), []
+        for x in np.flatnonzero(side == i):
+            y = right[linked[x, right] & (labels[right] != labels[x])]
+            if len(y):
+                found += [(x, z) for z in _forest(labels, x, y)]
+        return _edges(t.column("node").to_pylist(), found)
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str, parts, columns: list[str]) -> DataFrame:
+    """Rows of a group dealt to ``parts`` parts; each is sent to all block pairs its part is in."""
+    dealt = rows.withColumn("__parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int"))
+    return dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).select(
+        group, F.least("part", "__other").alias("i"), F.greatest("part", "__other").alias("j"), "part", *columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 80, margin: float = 6.0, block: int = 2048) -> DataFrame:
+                    percent: int = 80, margin: float = 6.0, block: int = 1024, block_shingles: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: ``rid`` (hash of id and text), ``id_col``, ``n_shingles``,
     ``component_id`` and ``kept``.
 
@@ -217,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their shingle sets. ``component_id`` is the smallest id of the linked rows (null if none has one),
     ``kept`` marks the row or rows with that id and, among equal ids, the smallest ``rid``; rows that
     repeat id and text share one decision. Null texts and texts without words have 0 shingles, are
-    linked with nothing and kept. An empty table gives no rows. Other columns are ignored.
+    linked with nothing and kept. An empty table gives no rows. Other columns are ignored. A task
+    compares at most two blocks of ``block`` classes, of about ``block_shingles`` shingles each.
     """
     least = floor_of(percent / 100, margin)
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -226,44 +265,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.where("node is not null")
     classes = store(named.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("rid").alias("rid"),
                                               F.first("bands").alias("bands")), "minhash-classes")
-    lines = classes.select("node", F.explode("bands").alias("key"))
+    lines = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = lines.groupBy("key").agg(F.count("node").alias("many")).where("many > 1")
     buckets = store(lines.join(shared, "key"), "minhash-buckets")
-    weight = buckets.groupBy("node").agg(F.sum("many").alias("weight"))
-    weighed = store(buckets.join(weight, "node"), "minhash-weighed")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("a"))
-    pairs = weighed.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    light = classes.select("node", "sig")
-    near = store(_with_both(pairs, light, "sig").mapInArrow(_close(least), "a binary, b binary"), "minhash-near")
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """Shingle sets of the classes named: one text of each, found by its row hash."""
-        own = store(classes.select("node", "rid").join(some, "node", "left_semi"), "minhash-named")
-        return store(docs.select(rid.alias("rid"), F.col(text_col).alias("t")).join(own, "rid").dropDuplicates(["node"]).select("node", "t")
-                     .mapInArrow(_shingle_sets(shingle), "node binary, set binary"), "minhash-sets")
-
-    ends = lambda p: p.select(F.col("a").alias("node")).unionAll(p.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(ends(near))
-    links = store(_with_both(near, sets, "set").mapInArrow(_confirm(percent), "a binary, b binary"), "minhash-links")
-    labels = components(links, "minhash-hubs")
-
-    # buckets that still hold several components
-    now = weighed.select("key", "node", "many").join(labels, "node", "left").select(
-        "key", "node", "many", F.coalesce("comp", "node").alias("comp"))
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = now.join(open_keys, "key").join(classes.select("node", "n", "sig"), "node")
-    parts = F.ceil(F.col("many") / F.lit(block)).cast("int")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "sig")
-    more = store(rest.groupBy("key", "i", "j").applyInArrow(_block_pairs(least, percent / 100), "a binary, b binary").distinct()
-                 .join(near.select("a", "b"), ["a", "b"], "left_anti")
-                 .join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "minhash-more")
-    if more.limit(1).count():
-        extra = sets_of(ends(more).join(sets, "node", "left_anti"))
-        found = _with_both(more, sets.unionAll(extra), "set").mapInArrow(_confirm(percent), "a binary, b binary")
-        links = store(links.unionAll(found), "minhash-all-links")
-        labels = components(links, "minhash-all")
+
+    edges = families = None
+    for part in ("band < 4", "band >= 4"):
+        now = buckets.where(part)
+        now = now.withColumn("comp", F.col("node")) if families is None else now.join(families, "node", "left").select(
+            *buckets.columns, F.coalesce("comp", "node").alias("comp"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+        now = now.join(mixed, "key").join(classes.select("node", "n", "sig"), "node")
+        found = _in_blocks(now, "key", F.ceil(F.col("many") / F.lit(block)), ["node", "comp", "n", "sig"]).groupBy("key", "i", "j").applyInArrow(
+            _families(least, percent / 100), "a binary, b binary")
+        edges = store(found if edges is None else found.unionAll(edges), "minhash-edges")
+        families = components(edges, "minhash-families")
+
+    # one text of each class that has a family, found by its row hash
+    own = store(classes.select("node", "rid", "n").join(families, "node"), "minhash-own")
+    sizes = own.groupBy("comp").agg(F.greatest(F.ceil(F.count("node") / F.lit(block)), F.ceil(F.sum("n") / F.lit(block_shingles))).alias("parts"))
+    texts = docs.select(rid.alias("rid"), F.col(text_col).alias("t")).join(own.select("rid", "node").withColumnRenamed("rid", "own_rid"), F.col("rid") == F.col("own_rid"))
+    sets = texts.dropDuplicates(["rid"]).select("node", "t").mapInArrow(_shingle_sets(shingle), "node binary, set binary")
+    sets = sets.join(own.select("node", "comp").join(sizes, "comp"), "node")
+    links = store(_in_blocks(sets, "comp", F.col("parts"), ["node", "set"]).groupBy("comp", "i", "j").applyInArrow(_links(percent), "a binary, b binary"),
+                  "minhash-links")
+    labels = components(links, "minhash-links")
 
     of_node = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "rid")).alias("best")).join(
         labels, "node", "left").select("node", "best", F.coalesce("comp", "node").alias("comp"))
@@ -276,14 +302,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"))
 
 
-def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """a, b and their values; a class that is in many pairs is the last join's skewed side, which
-    Spark splits."""
-    left = values.select(F.col("node").alias("na"), F.col(name).alias("va"))
-    right = values.select(F.col("node").alias("nb"), F.col(name).alias("vb"))
-    return pairs.join(right, F.col("b") == F.col("nb")).join(left, F.col("a") == F.col("na")).select("a", "b", "va", "vb")
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of near-duplicates, with its own columns."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("rid").alias("__kept")).distinct()
