@@ -109,14 +109,13 @@ def mix(df: DataFrame, key_cols: Sequence[str], text_col: str = "text", source_c
             .groupBy(F.col("source").alias("f_source")).agg(F.min(F.struct(off.alias("off"), "h")).alias("f")))
     cuts = store(plan.join(edge, F.col("source").eqNullSafe(F.col("b_source")), "left")
                  .join(fill, F.col("source").eqNullSafe(F.col("f_source")), "left")
-                 .select(F.col("source").alias("m_source"), "source_size", "target", "whole", "cut",
-                         F.col("f.h").alias("filler")), "mix-cuts")
+                 .select(*[F.col(c).alias(f"__mix_{n}") for c, n in (("source", "source"), ("source_size", "size"), ("target", "target"),
+                                                                     ("whole", "whole"), ("cut", "cut"), ("f.h", "filler"))]), "mix-cuts")
     # the stored table has a known size: Spark broadcasts it below its threshold and joins by key above
-    extra = F.when((order <= F.col("cut")) | (order == F.col("filler")), 1).otherwise(0)
-    out = base.join(cuts, F.col(source_col).eqNullSafe(F.col("m_source")))
-    return (out.withColumn("size", word_count(F.col(text_col)))
-            .withColumn("repeats", F.least(F.col("whole") + extra, F.lit(max_epochs)).cast("int"))
-            .select(*[c for c in base.columns if c != "size"], "size", "source_size", "target", "repeats"))
+    extra = F.when((order <= F.col("__mix_cut")) | (order == F.col("__mix_filler")), 1).otherwise(0)
+    return base.join(cuts, F.col(source_col).eqNullSafe(F.col("__mix_source"))).select(
+        *[c for c in base.columns if c != "size"], word_count(F.col(text_col)).alias("size"), F.col("__mix_size").alias("source_size"),
+        F.col("__mix_target").alias("target"), F.least(F.col("__mix_whole") + extra, F.lit(max_epochs)).cast("int").alias("repeats"))
 
 
 def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
