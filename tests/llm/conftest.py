@@ -1,0 +1,17 @@
+import duckdb
+import pytest
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return con
+
+
+def rows_of(columns, rows):
+    return sorted(repr(tuple(r[columns.index(c)] for c in sorted(columns))) for r in rows)
