@@ -19,8 +19,9 @@ corpus, so:
 4. Marks go back to all places of their stretch, are merged per document, and cut from the texts.
 
 A gram with more than ``CROWD`` different stretches (the edge of a passage in very many documents)
-would fill a bucket alone: its windows are counted by a 128-bit digest of their bytes in a plain
-pre-aggregated group-by instead, which spreads over all tasks and finds the same windows.
+would fill a bucket alone. Its stretches are dealt again by a longer gram inside them (half of what
+is left to ``length``, and so on up to whole windows), which parts the windows that reach into each
+document's own text from those inside the passage, and these become one.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from fundscope.llm.common import store
 
-GRAM, CROWD = 24, 256
+GRAM, CROWD = 24, 20_000
 _U = np.uint64
 _RNG = np.random.default_rng(424242)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -77,17 +78,17 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def stretches(texts: list[bytes], length: int, powers=None):
+def stretches(texts: list[bytes], length: int, powers=None, gram: int = GRAM):
     """Columns (text number, first window, windows, gram hash, stretch hash) of all texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
         return [np.empty(0, np.int64)] * 5
     v = _BYTE[data]
-    hashes = _mix(_gram_hashes(v, GRAM))
+    hashes = _mix(_gram_hashes(v, gram))
     # the upper half decides, then the place: leftmost of equal ones
     key = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    owner = (_sliding_min(key, length - GRAM + 1) & _U(0xFFFFFFFF)).astype(np.int64)
+    owner = (_sliding_min(key, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(texts)), np.maximum(sizes, 0))[:len(owner)]
     valid = np.arange(len(owner)) + length <= ends[text]
@@ -137,7 +138,7 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | wide[j:j + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
         rank = np.empty(n, np.int32)
@@ -154,7 +155,7 @@ class RunLengthIndex:
             after = suffix + size
             second = np.where(after < n, rank[np.minimum(after, n - 1)], -1).astype(np.int64)
             both = rank[suffix].astype(np.int64) * (n + 1) + second + 1
-            by = np.argsort(both, kind="stable")
+            by = np.argsort(both)
             order[at] = suffix[by]
             both = both[by]
             change = np.concatenate([[True], both[1:] != both[:-1]])
@@ -249,24 +250,46 @@ def _cut_out(length: int):
     return run
 
 
-def _window_digests(length: int):
+def _deal_again(length: int, gram: int):
+    """Stretches of crowded grams to the stretches of their longer grams, with their place inside."""
     def run(batches):
         for b in batches:
-            for a in range(0, b.num_rows, 64):
-                p = b.slice(a, 64)
-                w = p.column(2).to_numpy()
+            for a in range(0, b.num_rows, 256):
+                p = b.slice(a, 256)
                 data = p.column(4).to_pylist()
-                whole = _BYTE[np.frombuffer(b"".join(data), np.uint8)]
-                one, two = _mix(_gram_hashes(whole, length)), _mix(_gram_hashes(whole ^ _U(0x5DEECE66D5DEECE6), length))
-                start = np.repeat(np.cumsum([0, *map(len, data)])[:-1], w)
-                lo = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                row, first, windows, grams, own = stretches(data, length, None, gram)
+                parts = [data[r][f:f + w - 1 + length] for r, f, w in zip(row, first, windows)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[start + lo].view(np.int64)), pa.array(two[start + lo].view(np.int64)), pa.array(np.repeat(p.column(0).to_numpy(), w)),
-                     pa.array(np.repeat(p.column(1).to_numpy(), w)), pa.array(lo.astype(np.int32)), pa.array(np.repeat(p.column(3).to_numpy(), w))],
-                    names=["d1", "d2", "gram", "own", "lo", "many"])
+                    [p.column(0).take(pa.array(row)), p.column(1).take(pa.array(row)), pa.array(first.astype(np.int32)),
+                     pa.array(grams.view(np.int64)), pa.array(own.view(np.int64)), pa.array(windows.astype(np.int32)),
+                     p.column(3).take(pa.array(row)), pa.array(parts, pa.binary())],
+                    names=["root_gram", "root_own", "at", "gram", "own", "windows", "many", "bytes"])
     return run
 
 
+def _marked(cut: DataFrame, length: int, gram: int, bucket_bytes: int) -> DataFrame:
+    """(gram, own, lo, hi): the repeated windows of all stretches in ``cut`` (gram, own, windows, many,
+    crowd, bytes)."""
+    total, crowded = cut.agg(F.sum((F.col("windows") + length) * F.least("many", F.lit(2))), F.max("crowd")).first()
+    buckets = max(1, math.ceil((total or 0) / bucket_bytes))
+    marks = (cut.where("not crowd").drop("crowd").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+             .groupBy("bucket").applyInArrow(_marks(length), "gram long, own long, lo int, hi int"))
+    if not crowded:
+        return marks
+    longer = (gram + length + 1) // 2
+    dealt = store(cut.where("crowd").select("gram", "own", "windows", "many", "bytes").mapInArrow(
+        _deal_again(length, longer), "root_gram long, root_own long, at int, gram long, own long, windows int, many long, bytes binary"), "repeats-dealt")
+    kinds = dealt.groupBy("gram", "own").agg(F.sum("many").alias("many"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    size = dealt.groupBy("gram").agg(F.count_distinct("own").alias("n"), F.sum("many").alias("places")).where("places > 1")
+    crowd = (F.col("n") > CROWD) if longer < length else F.lit(False)
+    inner = _marked(store(kinds.join(size, "gram").select("gram", "own", "windows", "many", crowd.alias("crowd"), "bytes"), "repeats-cut"),
+                    length, longer, bucket_bytes)
+    back = dealt.drop("bytes").join(inner, ["gram", "own"]).select(
+        F.col("root_gram").alias("gram"), F.col("root_own").alias("own"), (F.col("at") + F.col("lo")).cast("int").alias("lo"),
+        (F.col("at") + F.col("hi")).cast("int").alias("hi"))
+    return marks.unionAll(back)
+
+
 # -- the operator ----------------------------------------------------------------------------------
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -293,19 +316,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = places.groupBy("gram", "own").agg(F.count("rid").alias("many"), F.min(F.struct("rid", "first", "windows")).alias("at"))
     crowds = kinds.groupBy("gram").agg(F.count("own").alias("n"))
     kinds = store(kinds.join(crowds, "gram").select("gram", "own", "many", "at.*", (F.col("n") > CROWD).alias("crowd")), "repeats-kinds")
-    total = kinds.agg(F.sum((F.col("windows") + length) * F.least("many", F.lit(2)))).first()[0] or 0
     per_text = kinds.groupBy("rid").agg(F.collect_list(F.struct("gram", "own", "first", "windows", "many", "crowd")).alias("s"))
     cut = store(long_.select(rid.alias("rid"), F.col(text_col).alias("t")).dropDuplicates(["rid"]).join(per_text, "rid").select("t", "s")
                 .mapInArrow(_cut_out(length), "gram long, own long, windows int, many long, crowd boolean, bytes binary"), "repeats-cut")
 
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    marks = (cut.where("not crowd").drop("crowd").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-             .groupBy("bucket").applyInArrow(_marks(length), "gram long, own long, lo int, hi int"))
-    single = cut.where("crowd").select("gram", "own", "windows", "many", "bytes").mapInArrow(
-        _window_digests(length), "d1 long, d2 long, gram long, own long, lo int, many long")
-    common = single.groupBy("d1", "d2").agg(F.sum("many").alias("n")).where("n > 1").select("d1", "d2")
-    crowded = single.join(common, ["d1", "d2"], "left_semi").select("gram", "own", "lo", (F.col("lo") + 1).alias("hi"))
-    marks = store(marks.unionAll(crowded), "repeats-marks")
+    marks = store(_marked(cut, length, GRAM, bucket_bytes), "repeats-marks")
 
     spans = (places.join(marks, ["gram", "own"]).select("rid", (F.col("first") + F.col("lo")).alias("start"),
                                                         (F.col("first") + F.col("hi") - 1 + length).alias("end"))
