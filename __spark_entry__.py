@@ -9,7 +9,6 @@ whole tables. ``oracle_sql`` holds the DuckDB statement for each key.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +20,9 @@ from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
 from fundscope.plans.workload import Tables, driver_files, driver_tables
-from fundscope.sources.delimited import read_pledge, read_project_info
-from fundscope.sources.extract import write_extract
+from fundscope.schemas import PLEDGE_RAW
+from fundscope.sources.delimited import read_pledge, read_project_info, unreadable_numbers
+from fundscope.sources.extract import read_extract, write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
 from fundscope.streaming.incremental import load_available
 
@@ -56,7 +56,7 @@ def _success_rate(t: Tables) -> DataFrame:
 def _views(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
     """Temp views over this data folder's stored base (names unique per store)."""
     t = _t(spark, sf_dir)
-    prefix = f"fs{abs(hash(t.root)) % 10 ** 9}_"
+    prefix = f"fs_{t.root.rpartition('-')[2]}_"  # the store's own id
     return prefix, V.register_views(spark, t.enriched, prefix)
 
 
@@ -66,9 +66,10 @@ def _load_project_info_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_load_project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incremental (streaming, available-now) load of the delimited files into a new Parquet table."""
+    """Incremental (streaming, available-now) load of the delimited files into the store's one stream
+    table: a second call finds nothing new to load."""
     files = driver_files(spark, sf_dir)
-    run = f"{_t(spark, sf_dir).root}/stream-{uuid.uuid4().hex[:10]}"
+    run = f"{_t(spark, sf_dir).root}/stream"
     return load_available(spark, files["project_info"], RAW_PROJECT_INFO_FILE, f"{run}/table",
                           f"{run}/checkpoint", transform=CL.load_project_info)
 
@@ -77,21 +78,15 @@ def _extract_success_rate_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-32: the dashboard extract of the densified rates, written as CSV and read back."""
     t = _t(spark, sf_dir)
     df = V.success_rate_full(t.enriched)
-    path = f"{t.root}/extracts/success_rate_full-{uuid.uuid4().hex[:10]}"
+    path = f"{t.root}/extracts/success_rate_full"
     write_extract(df, path, "csv")
-    return spark.read.schema(df.schema).option("header", True).csv(path)
+    return read_extract(spark, path, df.schema)
 
 
 def _category_leaderboard_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard over the registered view instead of the stored base."""
     _, v = _views(spark, sf_dir)
-    return spark.sql(f"""
-        SELECT main_category, state_merged,
-               AVG(CAST(percentage AS FLOAT)) AS avg_success_rate,
-               SUM(CAST(total_no AS FLOAT)) AS project_count
-        FROM {v["v_success_rate"]}
-        WHERE state_merged = 'successful' AND year <> 1970 AND year <> 2018
-        GROUP BY main_category, state_merged
-        ORDER BY avg_success_rate DESC""")
+    return A.category_leaderboard(spark.table(v["v_success_rate"]))
 
 
 def _growth_rate_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +105,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pk_project_info": lambda s, d: I.check_primary_key(_t(s, d).project_info, "ID"),
         "pk_pledge": lambda s, d: I.check_primary_key(_t(s, d).pledge, "ID"),
         "pk_country": lambda s, d: I.check_primary_key(_t(s, d).country, "countrycode"),
-        "fk_pledge_project": lambda s, d: I.check_foreign_key(_t(s, d).pledge, _t(s, d).project_info, "ID"),
+        "fk_pledge_project": lambda s, d: I.check_foreign_key(_t(s, d).pledge, _t(s, d).project_info, "ID", colocated=True),
         "fk_project_country": lambda s, d: I.check_foreign_key(_t(s, d).project_info, _t(s, d).country,
                                                                "country", "code"),
         "cascade_delete": lambda s, d: I.cascade_delete(
-            _t(s, d).pledge, X.suspicious_rows(_t(s, d).project_info), "ID"),
+            _t(s, d).pledge, X.suspicious_rows(_t(s, d).project_info), "ID", colocated=True),
         "parse_dates": lambda s, d: CL.load_project_info(_raw_project_info(s, d)),
         "load_pledge_csv": lambda s, d: read_pledge(s, driver_files(s, d)["pledge"]),
         "load_project_info_csv": _load_project_info_csv,
+        "load_pledge_dirty": lambda s, d: read_pledge(s, driver_files(s, d)["pledge_dirty"]),
+        "bad_numbers": lambda s, d: unreadable_numbers(s, driver_files(s, d)["pledge_dirty"], PLEDGE_RAW),
         "stream_load_project_info": _stream_load_project_info,
         "unparseable_dates": lambda s, d: CL.unparseable_dates(_raw_project_info(s, d)),
         # -- profiling ------------------------------------------------------------------
@@ -141,7 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "country_repair_preview": lambda s, d: CL.country_repair_preview(_t(s, d).project_info, _t(s, d).pledge),
         "repair_country": lambda s, d: CL.repair_country(_t(s, d).project_info, _t(s, d).pledge),
         "country_currency_counts": lambda s, d: X.country_currency_counts(
-            CL.repair_country(_t(s, d).project_info, _t(s, d).pledge), _t(s, d).pledge),
+            _t(s, d).project_info, _t(s, d).pledge, repair=True),
         "merge_state": lambda s, d: CL.merge_state(_t(s, d).pledge),
         "enriched_base": lambda s, d: _t(s, d).enriched,
         # -- analysis and views ---------------------------------------------------------
@@ -162,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_leaderboard": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d))),
         "category_leaderboard_country": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d)),
                                                                             country="NATION_5"),
+        "category_leaderboard_year": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d)), year=1995),
         "category_leaderboard_sql": _category_leaderboard_sql,
         "growth_rate_sql_function": _growth_rate_sql_function,
     }

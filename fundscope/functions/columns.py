@@ -34,31 +34,36 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _parts(c: Column, n: int) -> list[Column]:
-    """Split day-first text into ``n`` integer parts (NULL parts unless exactly n fields).
+DAY_FIRST_DATE = r"\d{1,2}/\d{1,2}/\d{4}"
+DAY_FIRST_TIME = DAY_FIRST_DATE + r"\s+\d{1,2}:\d{1,2}"
+
+
+def _parts(c: Column, n: int, shape: str) -> list[Column]:
+    """Split day-first text into ``n`` integer parts (NULL parts unless the whole text has the shape).
 
     The split stays outside any conditional, so Spark evaluates it once per row;
-    the field-count check only chooses the element index.
+    the shape only chooses the element index.
     """
     arr = F.split(F.trim(c), r"/|:|\s+")
-    exact = F.size(arr) == F.lit(n)
-    return [F.try_element_at(arr, F.when(exact, F.lit(i + 1))).try_cast("int") for i in range(n)]
+    fits = c.rlike(rf"^\s*{shape}\s*$")
+    return [F.try_element_at(arr, F.when(fits, F.lit(i + 1))).try_cast("int") for i in range(n)]
 
 
 def parse_day_first_timestamp(c: str | Column) -> Column:
     """``dd/mm/yyyy hh:mm`` text -> TIMESTAMP_NTZ; NULL for text that is not a valid time.
 
-    One or two digits are accepted for day, month, hour and minute. Built from
-    the parts, so the result does not depend on the session time zone (no
+    Slashes, blanks and the colon must stand where the format has them. One or two digits are
+    accepted for day, month, hour and minute; a year has four (a two-digit year is bad text, not
+    guessed). Built from the parts, so the result does not depend on the session time zone (no
     daylight-saving gaps) and bad text never raises under ANSI mode.
     """
-    d, m, y, hh, mi = _parts(col(c), 5)
+    d, m, y, hh, mi = _parts(col(c), 5, DAY_FIRST_TIME)
     return F.try_make_timestamp_ntz(y, m, d, hh, mi, F.lit(0))
 
 
 def parse_day_first_date(c: str | Column) -> Column:
     """``dd/mm/yyyy`` text -> DATE; NULL for invalid dates such as 31/04."""
-    d, m, y = _parts(col(c), 3)
+    d, m, y = _parts(col(c), 3, DAY_FIRST_DATE)
     return F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
@@ -144,24 +149,9 @@ def int_div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def mean_half_up(total: str | Column, count: str | Column, scale: int) -> Column:
-    """Exact ``round(total / count, scale)`` of an integral total."""
-    return half_up_div(total, count, scale)
-
-
-def money_cents(c: str | Column) -> Column:
-    """A money column (dollars with cents, DOUBLE or DECIMAL) as whole cents, BIGINT."""
-    return F.round(col(c) * F.lit(100)).cast("long")
-
-
 def money_avg_half_up(c: str | Column, scale: int) -> Column:
-    """Aggregate: mean of a money column, computed on whole cents and rounded half-up to ``scale``; DOUBLE.
-
-    The cents are summed as DECIMAL(38,0): exact at any row count (a BIGINT sum of
-    cents could overflow around 10^11 rows), and still long arithmetic while small.
-    """
-    return half_up_div(F.sum(money_cents(c).cast("decimal(38,0)")), F.count(col(c)) * F.lit(100), scale)
-
-
-def money_to_double(c: str | Column) -> Column:
-    return col(c).cast("double")
+    """Aggregate: mean of a money column (DECIMAL, or DOUBLE with up to 8 decimals), exact, rounded
+    half-up to ``scale`` once, at the end; DOUBLE. The sum is a DECIMAL(38,8), so nothing is rounded
+    per row and the result does not depend on the order of the rows."""
+    total = F.sum(col(c).cast("decimal(28,8)"))
+    return half_up_div((total * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)"), F.count(col(c)) * F.lit(10**8), scale)

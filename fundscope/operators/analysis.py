@@ -33,10 +33,10 @@ def avg_project_length(enriched: DataFrame, skip_year: int = C.PLACEHOLDER_YEAR,
     """Mean days from launch to deadline per country and merged state (4 decimals, exact),
     without placeholder-year rows and without state 'other'."""
     days = F.datediff(F.col("deadline"), F.col("launched_date"))
-    f = enriched.where((F.year("launched_date") != F.lit(skip_year))
+    f = enriched.where((F.col("launch_year") != F.lit(skip_year))
                        & (F.col("state_merged") != F.lit(C.OTHER)))
     out = (f.groupBy("country_code", "country", "state_merged")
-           .agg(C.mean_half_up(F.sum(days), F.count(days), 4).alias("avg_project_length"))
+           .agg(C.half_up_div(F.sum(days), F.count(days), 4).alias("avg_project_length"))
            .select("country", "avg_project_length", "state_merged"))
     return out.orderBy("country", "state_merged") if ordered else out
 

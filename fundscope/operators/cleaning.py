@@ -5,7 +5,7 @@ Every function returns a new DataFrame; nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -86,14 +86,16 @@ def enrich(project_info: DataFrame, pledge: DataFrame, country: DataFrame,
 
     ``project_info`` is the loaded table (dates parsed, ``launched_date`` present),
     ``pledge`` the raw pledge table. The country repair is applied inside the one
-    project-pledge join; ``country_code`` is the repaired code and ``country`` the
-    display name (lookup name, else the code). The lookup is broadcast after a
-    size check.
+    project-pledge join: like ``repair_country``, a project has one country, from the smallest
+    currency of its pledges (the window runs on the join's own partitioning and order).
+    ``country_code`` is the repaired code and ``country`` the display name (lookup name, else the
+    code).
     """
     pi = project_info.select("ID", "main_category", "category", "launched", "launched_date",
                              "deadline", F.col("country").alias("__raw_country"))
     pl = pledge.select("ID", "state", "currency", "usd_goal_real", "usd_pledged_real")
-    j = pi.join(pl, "ID").withColumn("country_code", C.repaired_country("__raw_country", "currency", sentinel))
+    one = F.min("currency").over(Window.partitionBy("ID"))
+    j = pi.join(pl, "ID").withColumn("country_code", C.repaired_country("__raw_country", one, sentinel))
     lk = country.select(F.col("code").alias("__code"), F.col("countryname").alias("__name"))
     j = lookup_join(j, lk, "country_code", "__code", "left")
     return j.select(

@@ -7,7 +7,9 @@ of rows. Final sorts run on aggregated results only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -44,8 +46,9 @@ def launch_years(project_info: DataFrame, column: str = "launched", ordered: boo
 
 def suspicious_rows(project_info: DataFrame, year: int = C.PLACEHOLDER_YEAR,
                     column: str = "launched_date") -> DataFrame:
-    """All rows whose launch year is the placeholder year."""
-    return project_info.where(F.year(column) == F.lit(year))
+    """All rows whose launch year is the placeholder year (a date range, so the scan can skip files)."""
+    first, last = (F.lit(dt.date(year, m, d)) for m, d in ((1, 1), (12, 31)))
+    return project_info.where(F.col(column).between(first, last))
 
 
 def live_by_year(project_info: DataFrame, pledge: DataFrame, state: str = "live") -> DataFrame:
@@ -74,13 +77,16 @@ def countries_per_currency(project_info: DataFrame, pledge: DataFrame, ordered:
 def goal_range(pledge: DataFrame, column: str = "usd_goal_real") -> DataFrame:
     """Min, mean and max goal. The mean is exact to 6 decimals (decimal average)."""
     return pledge.agg(
-        C.money_to_double(F.min(column)).alias("min_goal_usd"),
+        F.min(column).cast("double").alias("min_goal_usd"),
         C.money_avg_half_up(column, 6).alias("avg_goal_usd"),
-        C.money_to_double(F.max(column)).alias("max_goal_usd"),
+        F.max(column).cast("double").alias("max_goal_usd"),
     )
 
 
-def country_currency_counts(project_info: DataFrame, pledge: DataFrame) -> DataFrame:
-    """Cross-tabulation of country and currency (run after the repair)."""
+def country_currency_counts(project_info: DataFrame, pledge: DataFrame, repair: bool = False) -> DataFrame:
+    """Cross-tabulation of country and currency (run after the repair, or with ``repair=True`` on
+    the unrepaired table: the repair is then part of the one join)."""
     j = project_info.select("ID", "country").join(pledge.select("ID", "currency"), "ID")
+    if repair:
+        j = j.withColumn("country", C.repaired_country("country", F.min("currency").over(Window.partitionBy("ID"))))
     return j.groupBy("country", "currency").agg(F.count(F.lit(1)).alias("project_count"))

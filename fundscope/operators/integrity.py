@@ -8,14 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import checked_small
-
-
-def _keys_side(df: DataFrame) -> DataFrame:
-    """The key side of an anti join: broadcast when its row count is checked small
-    (a hot key on the probe side then never lands in one shuffle task), else shuffled."""
-    return F.broadcast(df) if checked_small(df) else df
-
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: ``table_name``, ``row_count``."""
@@ -39,19 +31,26 @@ def check_primary_key(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
 
 
 def check_foreign_key(child: DataFrame, parent: DataFrame, cols: str | Sequence[str],
-                      parent_cols: str | Sequence[str] | None = None) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row (a NULL key is allowed)."""
+                      parent_cols: str | Sequence[str] | None = None, colocated: bool = False) -> DataFrame:
+    """Child rows whose non-NULL key has no parent row (a NULL key is allowed).
+
+    ``colocated``: both tables are stored in buckets of the key, so a merge join shuffles neither
+    side at any size. Otherwise Spark broadcasts the keys below its size threshold and shuffles
+    above it, where the adaptive skew join splits a hot key.
+    """
     keys = _cols(cols)
     pkeys = _cols(parent_cols) if parent_cols else keys
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
     p = parent.select(*[F.col(pk).alias(k) for pk, k in zip(pkeys, keys)])
-    return child.where(present).join(_keys_side(p), keys, "left_anti")
+    return child.where(present).join(p.hint("merge") if colocated else p, keys, "left_anti")
 
 
-def cascade_delete(child: DataFrame, removed_parent: DataFrame, cols: str | Sequence[str]) -> DataFrame:
+def cascade_delete(child: DataFrame, removed_parent: DataFrame, cols: str | Sequence[str],
+                   colocated: bool = False) -> DataFrame:
     """Child rows left after the parents in ``removed_parent`` are deleted with ON DELETE CASCADE.
 
-    Rows with a NULL key reference no parent and stay.
+    Rows with a NULL key reference no parent and stay. ``colocated``: see ``check_foreign_key``.
     """
     keys = _cols(cols)
-    return child.join(_keys_side(removed_parent.select(*keys)), keys, "left_anti")
+    p = removed_parent.select(*keys)
+    return child.join(p.hint("merge") if colocated else p, keys, "left_anti")

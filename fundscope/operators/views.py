@@ -1,11 +1,10 @@
 """The three dashboard views: success rates, densified success rates, goal vs pledge.
 
-``success_rate`` and ``success_rate_full`` are built from ONE conditional
-aggregation per cell (country, year, main category): the successful and failed
-counts side by side. The cell total is their sum, so no window (and no second
-shuffle) is needed, and densification to both states is a two-element explode
-of each cell instead of a cross join with all project rows plus an outer join.
-``by_window=True`` builds the rates with the window sum instead (same result).
+``success_rate`` and ``success_rate_full`` are built from one conditional aggregation per country
+code, year and main category (the successful and failed counts side by side). A second aggregation
+puts the codes shown under one country name together: rates are of the total of the shown cell, and
+its list of codes is at most as long as the codes that share a name. No window, no cross join and no
+outer join is needed; ``by_window=True`` and ``by_join=True`` build the same rows with them.
 """
 
 from __future__ import annotations
@@ -19,25 +18,24 @@ _CELL = ["country", "year", "main_category"]
 
 
 def _cells(enriched: DataFrame) -> DataFrame:
-    """Per cell (repaired code, display country, launch year, main category) among rows whose
-    merged state is not 'other': successful and failed counts."""
+    """Per shown cell (country name, launch year, main category) among rows whose merged state is not
+    'other': the total, and for each repaired code its successful and failed counts."""
     sm = F.col("state_merged")
     return (enriched.where(sm != F.lit(C.OTHER))
             .groupBy("country_code", "country", F.col("launch_year").alias("year"), "main_category")
-            .agg(F.count(F.when(sm == F.lit(C.SUCCESS), 1)).alias("__succ"),
-                 F.count(F.when(sm == F.lit(C.FAILED), 1)).alias("__fail")))
+            .agg(F.count(F.when(sm == F.lit(C.SUCCESS), 1)).alias("succ"),
+                 F.count(F.when(sm == F.lit(C.FAILED), 1)).alias("fail"))
+            .groupBy(*_CELL)
+            .agg(F.sum(F.col("succ") + F.col("fail")).alias("total_no"),
+                 F.collect_list(F.struct("succ", "fail")).alias("codes")))
 
 
-def _by_state(cells: DataFrame) -> DataFrame:
-    """Two rows per cell: state label and its count; plus the cell total."""
-    pairs = F.array(
-        F.struct(F.lit(C.SUCCESS).alias("s"), F.col("__succ").alias("n")),
-        F.struct(F.lit(C.FAILED).alias("s"), F.col("__fail").alias("n")),
-    )
-    return (cells.select(*_CELL, (F.col("__succ") + F.col("__fail")).alias("total_no"),
-                         F.explode(pairs).alias("__p"))
-                 .select(*_CELL, F.col("__p.s").alias("state"), F.col("__p.n").alias("no_of_projects"),
-                         "total_no"))
+def _count(code: F.Column, state: F.Column) -> F.Column:
+    return F.when(state == F.lit(C.SUCCESS), code["succ"]).otherwise(code["fail"])
+
+
+def _states() -> F.Column:
+    return F.explode(F.array(F.lit(C.SUCCESS), F.lit(C.FAILED)))
 
 
 def success_rate(enriched: DataFrame, by_window: bool = False, ordered: bool = True) -> DataFrame:
@@ -46,8 +44,10 @@ def success_rate(enriched: DataFrame, by_window: bool = False, ordered: bool = T
     if by_window:
         out = _success_rate_window(enriched)
     else:
-        out = (_by_state(_cells(enriched)).where(F.col("no_of_projects") > 0)
-               .withColumnRenamed("state", "state_merged")
+        one = _cells(enriched).select(*_CELL, "total_no", F.explode("codes").alias("code"))
+        out = (one.select(*_CELL, "total_no", "code", _states().alias("state_merged"))
+               .withColumn("no_of_projects", _count(F.col("code"), F.col("state_merged")))
+               .where(F.col("no_of_projects") > 0)
                .withColumn("percentage", C.half_up_div(F.col("no_of_projects") * 100, F.col("total_no"), 2))
                .select(*_CELL, "state_merged", "no_of_projects", "total_no", "percentage"))
     return out.orderBy(*_CELL, "state_merged") if ordered else out
@@ -72,20 +72,25 @@ def success_rate_full(enriched: DataFrame, ordered: bool = False, by_join: bool
     matched row's year) is NULL exactly on the filled rows. Cells with a NULL key
     can never match a measure row (plain equality), so they are all filled.
     Cells whose rows have only unlisted states are present and filled too.
+    The scaffold has a row per code and state and is matched to the measures by the
+    shown name: under a name shared by several codes, each of its rows shows all
+    measures of the name.
     ``by_join=True`` builds it as a scaffold (distinct cells x the two states)
     right-outer-joined to the measures (same result, one more join).
     """
     if by_join:
         out = _success_rate_full_join(enriched)
         return out.orderBy(*_CELL, "state") if ordered else out
-    rows = _by_state(_cells(enriched))
-    matched = (F.col("no_of_projects") > 0) & F.col("country").isNotNull() \
-        & F.col("year").isNotNull() & F.col("main_category").isNotNull()
-    pct = C.half_up_div(F.col("no_of_projects") * 100, F.col("total_no"), 2)
+    scaffold = (_cells(enriched).select(*_CELL, "total_no", "codes", F.explode("codes"))
+                .select(*_CELL, "total_no", "codes", _states().alias("state")))
+    keyed = F.col("country").isNotNull() & F.col("year").isNotNull() & F.col("main_category").isNotNull()
+    counts = F.filter(F.transform("codes", lambda c: _count(c, F.col("state"))), lambda n: (n > 0) & keyed)
+    rows = scaffold.select(*_CELL, "state", "total_no", F.explode_outer(counts).alias("n"))
+    matched = F.col("n").isNotNull()
     out = rows.select(
         *_CELL, "state",
         F.when(matched, F.col("total_no")).otherwise(F.lit(0).cast("long")).alias("total_no"),
-        F.when(matched, pct).otherwise(F.lit(0.0)).alias("percentage"),
+        F.when(matched, C.half_up_div(F.col("n") * 100, F.col("total_no"), 2)).otherwise(F.lit(0.0)).alias("percentage"),
         F.when(matched, F.col("year")).alias("test"),
     )
     return out.orderBy(*_CELL, "state") if ordered else out

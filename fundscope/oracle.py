@@ -19,30 +19,45 @@ li AS (
            AS rev_e4
   FROM lineitem GROUP BY l_orderkey),
 country AS (
-  SELECT 'C' || CAST(n_nationkey + 10 AS VARCHAR) AS countrycode, n_name AS countryname,
+  SELECT 'C' || CAST(n_nationkey + 10 AS VARCHAR) AS countrycode,
+         CASE WHEN n_nationkey IN (3, 4) THEN 'TWIN NATIONS' ELSE n_name END AS countryname,
          CAST(n_nationkey + 10 AS VARCHAR) AS code
   FROM nation WHERE n_nationkey < 20),
+o AS (
+  SELECT *, strftime(CASE WHEN o_orderkey % 97 = 0 THEN TIMESTAMP '1970-01-01 01:00:00' ELSE o_orderdate END,
+                     '%d/%m/%Y %H:%M') AS launch_text
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
+       JOIN region ON r_regionkey = n_regionkey LEFT JOIN li ON li.l_orderkey = o_orderkey),
 project_info_raw AS (
-  SELECT o_orderkey AS ID,
+  SELECT unnest(list_concat([o_orderkey], list_concat(CASE WHEN o_orderkey % 307 = 0 THEN [o_orderkey] ELSE [] END,
+                CASE WHEN o_orderkey % 401 = 0 THEN [NULL] ELSE [] END))) AS ID,
          c_mktsegment || '/' || substring(o_orderpriority, 1, 1) AS main_category,
-         c_mktsegment || '/' || substring(o_orderpriority, 1, 1) || '/' || CAST(o_orderkey % 4 AS VARCHAR) AS category,
-         strftime(CASE WHEN o_orderkey % 97 = 0 THEN TIMESTAMP '1970-01-01 01:00:00' ELSE o_orderdate END,
-                  '%d/%m/%Y %H:%M') AS launched,
-         strftime(li.deadline_date, '%d/%m/%Y') AS deadline,
+         CASE WHEN o_orderkey % 139 = 0 THEN ''
+              ELSE c_mktsegment || '/' || substring(o_orderpriority, 1, 1) || '/' || CAST(o_orderkey % 4 AS VARCHAR) END AS category,
+         CASE WHEN o_orderkey % 131 = 0 THEN replace(launch_text, '/', '-') WHEN o_orderkey % 137 = 0 THEN ''
+              ELSE launch_text END AS launched,
+         strftime(deadline_date, '%d/%m/%Y') AS deadline,
          CASE WHEN o_orderkey % 50 = 0 THEN '"N' ELSE CAST(c_nationkey + 10 AS VARCHAR) END AS country
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN li ON li.l_orderkey = o_orderkey),
+  FROM o),
+pledge0 AS (
+  SELECT *, CASE WHEN r_name = 'EUROPE' THEN 'EUR' ELSE CAST(c_nationkey + 10 AS VARCHAR) || 'D' END AS cur
+  FROM o WHERE rev_e4 IS NOT NULL),
+pledge1 AS (
+  SELECT *, o_orderkey AS ID, cur AS currency FROM pledge0
+  UNION ALL SELECT *, o_orderkey, 'USD' FROM pledge0 WHERE o_orderkey % 101 = 0
+  UNION ALL SELECT *, -o_orderkey, cur FROM pledge0 WHERE o_orderkey % 211 = 0
+  UNION ALL SELECT *, NULL, cur FROM pledge0 WHERE o_orderkey % 409 = 0),
 pledge AS (
-  SELECT o_orderkey AS ID,
+  SELECT ID,
          CASE o_orderstatus WHEN 'O' THEN 'successful'
               WHEN 'P' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'undefined' ELSE 'live' END
               ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'suspended' WHEN o_orderkey % 5 = 1 THEN 'canceled'
                         ELSE 'failed' END
          END AS state,
-         CASE WHEN r_name = 'EUROPE' THEN 'EUR' ELSE CAST(c_nationkey + 10 AS VARCHAR) || 'D' END AS currency,
-         o_totalprice AS usd_goal_real,
-         {pledged} AS usd_pledged_real
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
-       JOIN region ON r_regionkey = n_regionkey JOIN li ON li.l_orderkey = o_orderkey),
+         currency,
+         CAST(CAST(o_totalprice AS DECIMAL(18,4)) + CASE WHEN o_orderkey % 53 = 0 THEN 0.004 ELSE 0 END AS DECIMAL(18,4)) AS usd_goal_real,
+         CAST(CAST(rev_e4 AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,4)) AS usd_pledged_real
+  FROM pledge1),
 project_info AS (
   SELECT ID, main_category, category,
          try_strptime(launched, '%d/%m/%Y %H:%M') AS launched,
@@ -58,10 +73,11 @@ en0 AS (
   SELECT p.ID, p.main_category, p.category, p.launched, p.launched_date,
          CAST(year(p.launched_date) AS INTEGER) AS launch_year, p.deadline,
          CASE WHEN nullif(p.country, '"N') IS NULL
-              THEN CASE WHEN m.currency <> 'EUR' THEN substring(m.currency, 1, 2) ELSE 'Unknown' END
+              THEN CASE WHEN r.low <> 'EUR' THEN substring(r.low, 1, 2) ELSE 'Unknown' END
               ELSE p.country END AS country_code,
          m.currency, m.state, m.state_merged, m.usd_goal_real, m.usd_pledged_real
-  FROM project_info p JOIN pledge_m m ON p.ID = m.ID),
+  FROM project_info p JOIN pledge_m m ON p.ID = m.ID
+       JOIN (SELECT ID, min(currency) AS low FROM pledge GROUP BY ID) r ON r.ID = p.ID),
 en AS (
   SELECT e.ID, e.main_category, e.category, e.launched, e.launched_date, e.launch_year, e.deadline,
          e.country_code, coalesce(c.countryname, e.country_code) AS country, e.currency, e.state,
@@ -112,7 +128,7 @@ def half_up_int(num: str, den: str, scale: int) -> str:
 
 
 def money_avg(col: str, scale: int) -> str:
-    return half_up(f"sum(CAST(round({col} * 100) AS BIGINT))", f"count({col}) * 100", scale)
+    return half_up(f"sum(CAST({col} * 10000 AS BIGINT))", f"count({col}) * 10000", scale)
 
 
 def _growth(s: str, e: str) -> str:
@@ -122,8 +138,7 @@ def _growth(s: str, e: str) -> str:
             f"CAST(CAST({r2} AS DOUBLE) / 100.0 AS DECIMAL(10,2)) END)")
 
 
-_BASE = (BASE.replace("{pct}", half_up("no_of_projects * 100", "total_no", 2))
-             .replace("{pledged}", half_up("li.rev_e4", "10000", 2)))
+_BASE = BASE.replace("{pct}", half_up("no_of_projects * 100", "total_no", 2))
 
 
 def _q(body: str) -> str:
@@ -169,6 +184,12 @@ def statements() -> dict[str, str]:
             "THEN 1 END) AS bad_launched, "
             "count(CASE WHEN deadline IS NOT NULL AND try_strptime(deadline, '%d/%m/%Y') IS NULL "
             "THEN 1 END) AS bad_deadline FROM project_info_raw"),
+        "bad_numbers": _q(
+            "SELECT 0::BIGINT AS \"bad_ID\", count(CASE WHEN ID % 149 = 0 THEN 1 END) AS bad_usd_goal_real, "
+            "0::BIGINT AS bad_usd_pledged_real FROM pledge"),
+        "load_pledge_dirty": _q(
+            "SELECT ID, state, currency, CASE WHEN ID % 149 = 0 THEN NULL ELSE usd_goal_real END AS usd_goal_real, "
+            "usd_pledged_real FROM pledge"),
         # -- profiling -----------------------------------------------------
         "state_frequency": _q("SELECT state, count(state) AS project_count FROM pledge GROUP BY state"),
         "country_frequency": _q("SELECT country, count(country) AS country_count FROM project_info GROUP BY country"),
@@ -189,9 +210,9 @@ def statements() -> dict[str, str]:
                             "FROM pledge GROUP BY currency"),
         "countries_per_currency": _q("SELECT currency, count(DISTINCT country) AS countries_per_currency "
                                      "FROM pledge p JOIN project_info i ON p.ID = i.ID GROUP BY currency"),
-        "goal_range": _q(f"SELECT min(usd_goal_real) AS min_goal_usd, "
+        "goal_range": _q(f"SELECT CAST(min(usd_goal_real) AS DOUBLE) AS min_goal_usd, "
                          f"{money_avg('usd_goal_real', 6)} AS avg_goal_usd, "
-                         f"max(usd_goal_real) AS max_goal_usd FROM pledge"),
+                         f"CAST(max(usd_goal_real) AS DOUBLE) AS max_goal_usd FROM pledge"),
         # -- cleaning ------------------------------------------------------
         "country_repair_preview": _q(
             "SELECT nullif(i.country, '\"N') AS country, p.currency, "
@@ -250,6 +271,7 @@ def statements() -> dict[str, str]:
             + " AS avg_success_rate FROM success_rate_full WHERE state = 'successful'"),
         "category_leaderboard": _q(leaderboard.format(extra="")),
         "category_leaderboard_country": _q(leaderboard.format(extra="AND country = 'NATION_5' ")),
+        "category_leaderboard_year": _q(leaderboard.format(extra="AND year = 1995 ")),
         "category_leaderboard_sql": _q(leaderboard.format(extra="")),
         "growth_rate_sql_function": _q(growth_one),
     }

@@ -1,83 +1,57 @@
 """Join and numbering plans that stay safe at scale.
 
-``lookup_join``  attaches a dimension to a fact table. The dimension is
-broadcast only after its row count has been checked against a bound; above the
-bound the join is salted, so a hot key (one country holding a third of all
-projects) is spread over many tasks instead of landing in one.
+``lookup_join``  attaches a dimension to a fact table. Spark broadcasts the dimension if its size is
+below the session's threshold, statically or when the shuffle shows it, and otherwise shuffles both
+sides, where the adaptive skew join splits a hot key (one country holding a third of all projects).
 
-``global_row_number``  numbers rows in a global order without moving them all
-into one task: range-partition, number inside each partition, and add the
-running total of the (few) per-partition counts.
+``global_row_number``  numbers rows in a global order without moving them all into one task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..session import checkpoint_root
 
-# A lookup with at most this many rows is broadcast (the country list has 250).
-MAX_BROADCAST_ROWS = 200_000
-# Number of salt buckets used when the lookup is too large to broadcast.
-SALT_BUCKETS = 64
 
-
-def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                how: str = "left", max_rows: int = MAX_BROADCAST_ROWS,
-                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "left") -> DataFrame:
     """``facts JOIN dim ON facts[fact_key] = dim[dim_key]`` (left or inner).
 
     NULL keys never match (plain equality, not null-safe).
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports 'left' and 'inner'")
-    if checked_small(dim, max_rows):
-        return facts.join(F.broadcast(dim), facts[fact_key] == dim[dim_key], how)
-    # Salted shuffle join: each fact row gets a deterministic salt (hash of the row,
-    # stable under task retries); each dimension row is copied once per salt value.
-    salt = "__salt"
-    f = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salt_buckets)))
-    d = dim.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    cond = (f[fact_key] == d[dim_key]) & (f[salt] == d[salt])
-    return f.join(d, cond, how).drop(f[salt]).drop(d[salt])
+    return facts.join(dim, facts[fact_key] == dim[dim_key], how)
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number",
                       partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` without a single-partition window.
 
-    Rows are range-partitioned on the order keys (plus tiebreakers) and sorted
-    inside each partition; ``monotonically_increasing_id`` then holds (partition
-    index, position in partition). The per-partition counts (one row per partition, a
-    tiny broadcast table) give each partition's offset. Both uses read the same
-    range exchange, which Spark computes once and reuses.
+    Rows are range-partitioned on the order keys and a hash of the row, sorted inside each
+    partition, and written once to the shared folder with their partition and place in it. The
+    counts per partition (one row each, a tiny broadcast) give each partition's offset. Both uses
+    read the same files, so they agree whatever Spark reuses or recomputes. Rows that are equal in
+    all columns stay together, in any order.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    # Ties may be numbered in any order, so two tiebreakers follow the order keys: a hash
-    # of the whole row and the row's position. Rows with an equal (even hot) key, or
-    # identical copies, then spread over several range partitions instead of one.
-    keys = cols + [F.col("__h"), F.col("__pos")]
-    n = partitions or parallelism(df.sparkSession)
-    mid = (df.withColumn("__h", F.xxhash64(*[F.col(c) for c in df.columns]))
-             .withColumn("__pos", F.monotonically_increasing_id())
-             .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-             .drop("__h", "__pos")
-             .withColumn("__mid", F.monotonically_increasing_id()))
-    pid = F.shiftright(F.col("__mid"), 33)
+    keys = cols + [F.col("__h")]
+    mid = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in df.columns]))
+    mid = mid.repartitionByRange(partitions, *keys) if partitions else mid.repartitionByRange(*keys)
+    path = f"{checkpoint_root(df.sparkSession)}/row-number-{uuid.uuid4().hex[:12]}"
+    # monotonically_increasing_id: partition index in the upper bits, place in the partition below
+    (mid.sortWithinPartitions(*keys).drop("__h").withColumn("__mid", F.monotonically_increasing_id())
+     .withColumn("__pid", F.shiftright("__mid", 33)).write.parquet(path))
+    stored = df.sparkSession.read.parquet(path)
     local = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = mid.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = stored.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",
         F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"))
-    out = mid.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid")
-    return (out.withColumn(name, F.col("__off") + local + F.lit(1))
-               .drop("__pid", "__off", "__mid"))
+    return (stored.join(F.broadcast(offsets), "__pid").withColumn(name, F.col("__off") + local + F.lit(1))
+            .drop("__pid", "__off", "__mid"))

@@ -13,7 +13,7 @@ filters prune files.
 
 from __future__ import annotations
 
-import os
+import math
 import threading
 import uuid
 from dataclasses import dataclass
@@ -61,15 +61,15 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     ``project_info`` and ``pledge`` are stored bucketed and sorted by ``ID`` with the
     same bucket count (one shuffle each, at load), so every later join of the two
     on ``ID`` (the enrichment, the repair, the checks) reads co-located buckets
-    without shuffling either side. Bucket count: ``buckets``, else the session's
-    shuffle partition count capped at four per task slot. ``ID`` is the project key,
+    without shuffling either side. Bucket count: ``buckets``, else one per
+    ``BUCKET_BYTES`` of input and at least one per task slot. ``ID`` is the project key,
     so no bucket is hot; if the pledge table had one ID repeated on a large share of
     rows (``check_primary_key`` on pledge reports it), store with ``bucketed=False``:
     the joins then shuffle, and AQE's skew-join handling can split the hot partition.
     ``database``: the catalog tables are created in it (see ``use_database``).
     """
     root = root or f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
-    b = buckets or _default_buckets(spark)
+    b = buckets or _default_buckets(spark, tables)
     tag = uuid.uuid5(uuid.NAMESPACE_URL, root).hex[:12]
 
     def put(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -102,17 +102,23 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
     # the base is built from the stored tables, not from the load plans again; each task's
     # rows are sorted by year, country and category (no shuffle), so Parquet row-group
     # statistics let country / category filters skip row groups inside a year
-    en = put(enrich(pi, pl, co).sortWithinPartitions("launch_year", "country_code", "main_category"),
+    en = put(enrich(pi, pl, co).hint("rebalance", "launch_year").sortWithinPartitions("launch_year", "country_code", "main_category"),
              "enriched", partition_by="launch_year")
     return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info, root)
 
 
-def _default_buckets(spark: SparkSession) -> int:
-    """Shuffle partitions, capped at four per task slot (a session left at Spark's
-    default of 200 on a small machine would otherwise write 200 tiny files per table)."""
-    v = str(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    slots = parallelism(spark)
-    return min(int(v), 4 * slots) if v.isdigit() else slots
+#: Input bytes for one bucket of a stored table.
+BUCKET_BYTES = 128 << 20
+
+
+def _default_buckets(spark: SparkSession, tables: Tables) -> int:
+    """One bucket per ``BUCKET_BYTES`` of the larger table's input files, at least one per task slot."""
+    def size(df: DataFrame) -> int:
+        paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+    return max(parallelism(spark), math.ceil(max(size(tables.project_info), size(tables.pledge)) / BUCKET_BYTES))
 
 
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
@@ -142,18 +148,35 @@ _LOCK = threading.Lock()
 _STORED: dict[tuple, Tables] = {}
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    out = []
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and time of every file of the source tables, listed by the file system that owns
+    the path (any store Spark reads)."""
+    jvm, out = spark.sparkContext._jvm, []
     for name in ("orders", "lineitem", "customer", "nation", "region"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((name, None, None))
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = [fs.getFileStatus(path)]
+        if files[0].isDirectory():
+            files = list(fs.listStatus(path))
+        out += sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)
     return tuple(out)
 
 
+def drop_store(spark: SparkSession, tables: Tables) -> None:
+    """Remove a stored workload: its catalog tables and its folder. Results read from it can't be
+    read any more."""
+    with _LOCK:
+        for key in [k for k, t in _STORED.items() if t.root == tables.root]:
+            del _STORED[key]
+        for key in [k for k in _FILES if k[1] == tables.root]:
+            del _FILES[key]
+    tag = uuid.uuid5(uuid.NAMESPACE_URL, tables.root).hex[:12]
+    for name in ("project_info", "pledge"):
+        spark.sql(f"DROP TABLE IF EXISTS fundscope_{tag}_{name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh: bool = False) -> Tables:
     """The workload over the driver's tables in ``sf_dir`` (see ``sources.fixtures``).
 
@@ -163,16 +186,15 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh
     if not stored:
         raw = fixtures.raw_tables(spark, sf_dir)
         return build(raw.project_info, raw.pledge, raw.country)
-    key = (session_key(spark), os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    key = (session_key(spark), sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
     with _LOCK:
         hit = _STORED.get(key)
         if hit is not None and not refresh:
             return hit
         root = f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
         # the mapping's joins run once; both fact tables are projections of this copy
-        # (spread over the cluster's task slots: the source files may be single row groups)
-        n = parallelism(spark)
-        (fixtures.order_facts(spark, sf_dir).repartition(n, "o_orderkey")
+        # (rebalanced: adaptive execution sizes the files, whatever the join left)
+        (fixtures.order_facts(spark, sf_dir).hint("rebalance")
          .write.mode("overwrite").parquet(f"{root}/order_facts"))
         facts = spark.read.parquet(f"{root}/order_facts")
         raw = fixtures.raw_tables(spark, sf_dir, facts=facts)
@@ -193,9 +215,10 @@ def driver_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         hit = _FILES.get(key)
         if hit is not None:
             return hit
-        out = {"project_info": f"{t.root}/files/project_info", "pledge": f"{t.root}/files/pledge"}
+        out = {name: f"{t.root}/files/{name}" for name in ("project_info", "pledge", "pledge_dirty")}
         write_delimited(t.raw_project_info, out["project_info"])
         write_delimited(t.pledge, out["pledge"])
+        write_delimited(fixtures.with_bad_numbers(t.pledge), out["pledge_dirty"])
         _FILES[key] = out
         return out
 

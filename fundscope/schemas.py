@@ -17,14 +17,14 @@ PROJECT_INFO_RAW = T.StructType([
     T.StructField("country", T.StringType(), True),
 ])
 
-# pledge as loaded from the delimited file. Money is in dollars with cents; every
-# aggregate of it is computed on whole cents (exact), see functions.columns.
+# pledge as loaded from the delimited file. Money is a decimal from the read on, so sums and
+# means are exact (see functions.columns).
 PLEDGE_RAW = T.StructType([
     T.StructField("ID", T.LongType(), True),
     T.StructField("state", T.StringType(), True),
     T.StructField("currency", T.StringType(), True),
-    T.StructField("usd_goal_real", T.DoubleType(), True),
-    T.StructField("usd_pledged_real", T.DoubleType(), True),
+    T.StructField("usd_goal_real", T.DecimalType(18, 4), True),
+    T.StructField("usd_pledged_real", T.DecimalType(18, 4), True),
 ])
 
 # country lookup: code -> display name. ``code`` is the join column, not the key.

@@ -1,36 +1,32 @@
-"""Extracts for a dashboard tool: results written as files.
+"""Extracts for a dashboard tool: results written as files, in parallel, one file per task.
 
-Writes run in parallel, one file per task. ``single_file=True`` is honoured only
-for results whose row count is checked to be at most ``single_file_max_rows``
-(aggregated reports); a larger result is still written in parallel, never
-funnelled through one task.
+CSV extracts keep every value: blanks at the ends of a text, empty texts (quoted), NULL (as ``\\N``),
+separators, quotes and line breaks (quoted); ``read_extract`` reads them back the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from ..plans.joins import checked_small
+_CSV = {"header": True, "nullValue": "\\N", "emptyValue": "", "quote": '"', "escape": '"',
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-SINGLE_FILE_MAX_ROWS = 1_000_000
 
-
-def write_extract(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False,
-                  partition_by: str | list[str] | None = None, mode: str = "overwrite",
-                  single_file_max_rows: int = SINGLE_FILE_MAX_ROWS) -> bool:
-    """Write ``df`` to ``path`` as CSV (with header) or Parquet.
-
-    Returns True when the result was written as one file.
-    """
-    one = single_file and partition_by is None and checked_small(df, single_file_max_rows)
-    out = df.coalesce(1) if one else df
-    w = out.write.mode(mode)
+def write_extract(df: DataFrame, path: str, fmt: str = "csv", partition_by: str | list[str] | None = None,
+                  mode: str = "overwrite") -> None:
+    """Write ``df`` to ``path`` as CSV (with header) or Parquet."""
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**_CSV | {"emptyValue": '""'}).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
         raise ValueError("fmt must be 'csv' or 'parquet'")
-    return one
+
+
+def read_extract(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV extract with its declared schema."""
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)

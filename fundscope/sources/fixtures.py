@@ -2,9 +2,12 @@
 
 The mapping plants the defects the cleaning steps exist for: a corrupt country
 value, a 1970 placeholder launch date, an ambiguous currency (EUR) and a lookup
-that lacks some codes. Money is dollars with cents (the pledged sum is computed
-exactly and rounded half-up to cents). Dates are rendered as
-the day-first text of the raw files, so the date parser runs on every load.
+that lacks some codes and shows two codes under one name. Every order is a project;
+an order without line items has no pledge and no deadline. Some projects have a second
+pledge in another currency, some pledges name no project, some keys repeat or are NULL,
+some texts are empty and some dates are written with other separators. Money is exact
+decimals, some of it with parts of cents. Dates are rendered as the day-first text of the
+raw files, so the date parser runs on every load.
 
 ``order_facts`` is ONE pass over ``lineitem`` and ``orders``: the per-order line
 aggregate (deadline and pledged sum together, partially aggregated before its
@@ -32,6 +35,14 @@ CORRUPT_COUNTRY_EVERY = 50  # order key % 50 == 0 -> corrupt country
 PLACEHOLDER_DATE_EVERY = 97  # order key % 97 == 0 -> launched 1970-01-01 01:00
 PLACEHOLDER_LAUNCH = "1970-01-01 01:00:00"
 EURO_REGION = "EUROPE"
+SHARED_NAME, SHARED_NATIONS = "TWIN NATIONS", (3, 4)  # two codes shown under one name
+SECOND_PLEDGE_EVERY = 101   # order key % 101 == 0 -> a second pledge row, in USD
+ORPHAN_PLEDGE_EVERY = 211   # -> a pledge row whose ID (minus the key) is no project
+REPEATED_KEY_EVERY = 307    # -> the project row twice
+NULL_PROJECT_EVERY, NULL_PLEDGE_EVERY = 401, 409  # -> one more row with a NULL ID
+DASHED_DATE_EVERY, EMPTY_DATE_EVERY, EMPTY_TEXT_EVERY = 131, 137, 139
+PART_CENT_EVERY, PART_CENT = 53, "0.004"  # goal with parts of a cent
+BAD_NUMBER_EVERY = 149      # in the dirty pledge file: the goal is no number
 # ---------------------------------------------------------------------------
 
 
@@ -48,10 +59,12 @@ def country_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation")
     return (n.where(F.col("n_nationkey") < LOOKUP_NATIONS_BELOW)
              .select(F.concat(F.lit("C"), _code(F.col("n_nationkey"))).alias("countrycode"),
-                     F.col("n_name").alias("countryname"),
+                     F.when(F.col("n_nationkey").isin(*SHARED_NATIONS), SHARED_NAME).otherwise(F.col("n_name")).alias("countryname"),
                      _code(F.col("n_nationkey")).alias("code")))
 
 
+MONEY = "decimal(18,4)"
+
 # column layout of the raw project_info file written from these tables
 RAW_PROJECT_INFO_FILE = T.StructType([
     T.StructField("ID", T.LongType(), True),
@@ -71,7 +84,7 @@ class RawTables:
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with line items: the order, its customer's nation/region
+    """One row per order: the order, its customer's nation/region
     and the per-order line aggregate. Both fact tables are projections of it."""
     li = read_table(spark, sf_dir, "lineitem")
     # exact pledged sum in whole 1/10000 units with long arithmetic (price in cents x
@@ -92,7 +105,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .join(region, F.col("n_regionkey") == region.r_regionkey)
                     .select("c_custkey", "c_nationkey", "c_mktsegment", "r_name"))
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    return (oc.join(per_order, oc.o_orderkey == per_order.l_orderkey)
+    return (oc.join(per_order, oc.o_orderkey == per_order.l_orderkey, "left")
               .select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
                       "c_nationkey", "c_mktsegment", "r_name", "deadline_date", "rev_e4"))
 
@@ -105,11 +118,17 @@ def raw_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None)
     launched = (F.when(k % PLACEHOLDER_DATE_EVERY == 0,
                        F.lit(PLACEHOLDER_LAUNCH).cast("timestamp_ntz"))
                  .otherwise(F.col("o_orderdate").cast("timestamp_ntz")))
+    text = format_day_first(launched)
+    null = F.lit(None).cast("long")
+    ids = F.concat(F.array(k), F.when(k % REPEATED_KEY_EVERY == 0, F.array(k)).otherwise(F.array().cast("array<long>")),
+                   F.when(k % NULL_PROJECT_EVERY == 0, F.array(null)).otherwise(F.array().cast("array<long>")))
+    category = F.concat(segment_priority, F.lit("/"), (k % 4).cast("string"))
     project_info = facts.select(
-        k.alias("ID"),
+        F.explode(ids).alias("ID"),
         segment_priority.alias("main_category"),
-        F.concat(segment_priority, F.lit("/"), (k % 4).cast("string")).alias("category"),
-        format_day_first(launched).alias("launched"),
+        F.when(k % EMPTY_TEXT_EVERY == 0, F.lit("")).otherwise(category).alias("category"),
+        F.when(k % DASHED_DATE_EVERY == 0, F.translate(text, "/", "-"))
+         .when(k % EMPTY_DATE_EVERY == 0, F.lit("")).otherwise(text).alias("launched"),
         format_day_first(F.col("deadline_date"), with_time=False).alias("deadline"),
         F.when(k % CORRUPT_COUNTRY_EVERY == 0, F.lit(COUNTRY_SENTINEL))
          .otherwise(_code(F.col("c_nationkey"))).alias("country"),
@@ -120,13 +139,23 @@ def raw_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None)
               .otherwise(F.when(k % 5 == 0, F.lit("suspended"))
                           .when(k % 5 == 1, F.lit("canceled"))
                           .otherwise(F.lit("failed"))))
-    pledge = facts.select(
-        k.alias("ID"),
-        state.alias("state"),
-        F.when(F.col("r_name") == EURO_REGION, F.lit("EUR"))
-         .otherwise(F.concat(_code(F.col("c_nationkey")), F.lit("D"))).alias("currency"),
-        F.col("o_totalprice").alias("usd_goal_real"),
-        # exact sum (1/10000 units, never negative) rounded half-up to whole cents in long arithmetic
-        (F.expr("(rev_e4 + 50) div 100") / F.lit(100.0)).alias("usd_pledged_real"),
-    )
+    currency = (F.when(F.col("r_name") == EURO_REGION, F.lit("EUR"))
+                 .otherwise(F.concat(_code(F.col("c_nationkey")), F.lit("D"))))
+    row = lambda key, cur: F.array(F.struct(key.alias("ID"), cur.alias("currency")))
+    none = F.array().cast("array<struct<ID:bigint,currency:string>>")
+    rows = F.concat(row(k, currency),
+                    F.when(k % SECOND_PLEDGE_EVERY == 0, row(k, F.lit("USD"))).otherwise(none),
+                    F.when(k % ORPHAN_PLEDGE_EVERY == 0, row(-k, currency)).otherwise(none),
+                    F.when(k % NULL_PLEDGE_EVERY == 0, row(null, currency)).otherwise(none))
+    goal = F.col("o_totalprice").cast(MONEY) + F.when(k % PART_CENT_EVERY == 0, F.lit(PART_CENT)).otherwise("0").cast(MONEY)
+    pledge = (facts.where(F.col("rev_e4").isNotNull())
+              .select(F.explode(rows).alias("p"), state.alias("state"), goal.cast(MONEY).alias("usd_goal_real"),
+                      (F.col("rev_e4").cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(MONEY).alias("usd_pledged_real"))
+              .select("p.ID", "state", "p.currency", "usd_goal_real", "usd_pledged_real"))
     return RawTables(project_info, pledge, country_lookup(spark, sf_dir))
+
+
+def with_bad_numbers(pledge: DataFrame) -> DataFrame:
+    """The pledge rows as they would be in a dirty file: some goals are no number."""
+    bad = F.col("ID") % BAD_NUMBER_EVERY == 0
+    return pledge.withColumn("usd_goal_real", F.when(bad, F.lit("n/a")).otherwise(F.col("usd_goal_real").cast("string")))

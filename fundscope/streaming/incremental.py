@@ -17,20 +17,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.delimited import _LINE, NULL, split_lines
+
 
 def read_delimited_stream(spark: SparkSession, folder: str, schema: T.StructType, sep: str = ",",
-                          header: bool = True, null_value: str = "\\N",
+                          header: bool = True, null_value: str = NULL,
                           max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of delimited files with a declared schema and quoting off."""
-    r = (spark.readStream.schema(schema)
-         .option("header", header).option("sep", sep).option("quote", "")
-         .option("mode", "PERMISSIVE").option("nullValue", null_value))
+    r = spark.readStream.schema("line string").options(**_LINE | {"header": header, "quote": ""})
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(folder)
+    return r.csv(folder).select(*split_lines(F.col("line"), schema, sep, null_value))
 
 
 def start_incremental_load(spark: SparkSession, folder: str, schema: T.StructType, target: str,
@@ -56,8 +57,10 @@ def start_incremental_load(spark: SparkSession, folder: str, schema: T.StructTyp
 
 def load_available(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str,
                    transform: Callable[[DataFrame], DataFrame] | None = None,
-                   timeout_sec: int | None = 3600) -> DataFrame:
-    """Load every file not loaded yet, wait for it, and return the stored table."""
+                   timeout_sec: int | None = None) -> DataFrame:
+    """Load every file not loaded yet, wait for it, and return the stored table.
+
+    ``timeout_sec``: stop and raise after that time; what was committed stays and is not read again."""
     q = start_incremental_load(spark, folder, schema, target, checkpoint, transform, available_now=True)
     finished = q.awaitTermination(timeout_sec) if timeout_sec else q.awaitTermination()
     if finished is False:

@@ -223,3 +223,40 @@ def test_dates_do_not_depend_on_the_session_time_zone(spark):
         assert back == "04/11/2018 00:30"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_dates_need_their_separators(spark):
+    texts = ["01:02:2015 19:05", "01/02/2015/19/05", "01 02 2015 19 05", "01/02/15 19:05", "01-02-2015 19:05", "", " 1/2/2015  9:05 "]
+    df = spark.createDataFrame([(t, t[:10]) for t in texts], "launched string, deadline string")
+    assert [r.launched is not None for r in CL.parse_dates(df).collect()] == [False] * 6 + [True]
+    assert CL.unparseable_dates(df).first().bad_launched == 6
+
+
+def test_a_project_has_one_country_in_the_base_too(spark):
+    t = dt.datetime(2015, 1, 1)
+    d = dt.date(2015, 1, 1)
+    pi = _pi(spark, [(1, "A", "a", t, d, '"N', d), (2, "A", "a", t, d, "DE", d), (3, "A", "a", t, d, '"N', d)])
+    pl = _pl(spark, [(1, "failed", "USD", 1.0, 1.0), (1, "failed", "GBP", 1.0, 1.0), (2, "failed", "EUR", 1.0, 1.0), (3, "failed", None, 1.0, 1.0)])
+    co = spark.createDataFrame([], "countrycode string, countryname string, code string")
+    assert sorted((r.ID, r.country_code) for r in CL.enrich(pi, pl, co).collect()) == [(1, "GB"), (1, "GB"), (2, "DE"), (3, "Unknown")]
+    counts = {(r.country, r.currency): r.project_count for r in X.country_currency_counts(pi, pl, repair=True).collect()}
+    assert counts == {(r.country, r.currency): r.project_count
+                      for r in X.country_currency_counts(CL.repair_country(pi, pl), pl).collect()}
+
+
+def test_totals_are_of_the_shown_name(spark):
+    d = dt.date(2015, 3, 1)
+    en = _en(spark, [(1, "Same", "A", "successful", d), (2, "Same", "A", "failed", d), (3, "Same", "A", "successful", d), (4, "Same", "A", "successful", d)])
+    en = en.withColumn("country_code", F.when(F.col("ID") <= 2, "X").otherwise("Y"))
+    for by_window in (False, True):
+        got = sorted((r.state_merged, r.no_of_projects, r.total_no, r.percentage) for r in V.success_rate(en, by_window=by_window).collect())
+        assert got == [("failed", 1, 4, 25.0), ("successful", 1, 4, 25.0), ("successful", 2, 4, 50.0)]
+    full = [sorted((r.state, r.total_no, r.percentage) for r in V.success_rate_full(en, by_join=j).collect()) for j in (False, True)]
+    assert full[0] == full[1] and len(full[0]) == 6
+
+
+def test_means_keep_parts_of_cents(spark):
+    pl = _pl(spark, [(i, "failed", "X", 0.004, 0.004) for i in range(3)])
+    assert X.goal_range(pl).first().avg_goal_usd == 0.004
+    exact = pl.withColumn("usd_goal_real", F.col("usd_goal_real").cast("decimal(18,4)"))
+    assert X.goal_range(exact).first().avg_goal_usd == 0.004

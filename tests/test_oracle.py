@@ -16,10 +16,12 @@ def _con(sf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    # the training-data queries have tests of their own where SQL can't say what they do
+    own = {n for n in E.queries() if n == "pipeline" or n.startswith("op")}
+    assert set(E.queries()) - own == {n for n in E.oracle_sql() if n not in own}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith("op")))
 def test_query_matches_oracle(spark, name):
     r = compare(spark, SF01, name, _con(SF01))
     assert r["ok"], r

@@ -7,6 +7,7 @@ from conftest import SF01
 from fundscope.operators import analysis as A
 from fundscope.operators import cleaning as CL
 from fundscope.operators import explore as X
+from fundscope.operators import integrity as I
 from fundscope.operators import views as V
 from fundscope.plans.joins import global_row_number, lookup_join
 from fundscope.plans.workload import driver_tables
@@ -51,25 +52,67 @@ def test_state_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(state_merged), EqualTo(state_merged,successful)]" in p
 
 
-def test_salted_lookup_join_equals_broadcast(spark):
+def test_lookup_join_shuffles_above_the_threshold_with_the_same_rows(spark):
     facts = spark.range(0, 5000).select(F.col("id").alias("ID"),
                                         F.when(F.col("id") % 3 == 0, "A").otherwise((F.col("id") % 7).cast("string"))
                                         .alias("k"))
     dim = spark.createDataFrame([("A", "hot"), ("1", "one"), ("2", "two")], "code string, name string")
-    a = lookup_join(facts, dim, "k", "code", "left")
-    b = lookup_join(facts, dim, "k", "code", "left", max_rows=1, salt_buckets=16)   # forced salted path
-    assert "BroadcastHashJoin" not in _plan(b)
-    cols = ["ID", "k", "code", "name"]
-    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
-    assert b.count() == 5000
+    a = lookup_join(facts, dim, "k", "code", "left").collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = lookup_join(facts, dim, "k", "code", "left")
+        assert "BroadcastHashJoin" not in _plan(b)
+        assert sorted(map(str, a)) == sorted(map(str, b.collect())) and len(a) == 5000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_global_row_number_matches_window_and_reuses_range_exchange(spark):
+def test_global_row_number_matches_window_with_and_without_exchange_reuse(spark):
     df = spark.range(0, 20000).select((F.col("id") * 7919 % 20011).alias("v"))
-    a = global_row_number(df, ["v"], "rn", partitions=8)
     b = df.withColumn("rn", F.row_number().over(Window.orderBy("v")).cast("long"))
-    assert a.exceptAll(b).count() == 0
-    assert "ReusedExchange" in _final_plan(a)
+    old = spark.conf.get("spark.sql.exchange.reuse", "true")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            a = global_row_number(df, ["v"], "rn", partitions=8)
+            assert a.exceptAll(b).count() == 0 and a.count() == 20000
+            many = global_row_number(spark.range(2_000_000).select((F.col("id") % 1000).alias("v")), ["v"], "rn", partitions=8)
+            got = many.agg(F.count_distinct("rn").alias("n"), F.max("rn").alias("top")).first()
+            assert (got.n, got.top) == (2_000_000, 2_000_000)
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_currency_list_takes_few_exchanges(spark):
+    t = driver_tables(spark, SF01)
+    p = _plan(X.currency_list(t.pledge))
+    assert p.count("Exchange ") - p.count("BroadcastExchange ") <= 3
+
+
+def test_key_checks_on_stored_tables_do_not_shuffle(spark):
+    t = driver_tables(spark, SF01)
+    for df in (I.check_foreign_key(t.pledge, t.project_info, "ID", colocated=True),
+               I.cascade_delete(t.pledge, X.suspicious_rows(t.project_info), "ID", colocated=True)):
+        p = _plan(df)
+        assert "Exchange" not in p and p.count("Bucketed: true") == 2 and "SortMergeJoin" in p
+
+
+def test_repaired_counts_take_one_join(spark):
+    t = driver_tables(spark, SF01)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(X.country_currency_counts(t.project_info, t.pledge, repair=True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert p.count("SortMergeJoin") == 1 and p.count("Bucketed: true") == 2 and p.count("Exchange ") == 1
+
+
+def test_placeholder_year_prunes_and_date_range_is_pushed(spark):
+    t = driver_tables(spark, SF01)
+    assert "PartitionFilters: [isnotnull(launch_year" in _plan(A.avg_project_length(t.enriched))
+    assert "GreaterThanOrEqual(launched_date,1970-01-01)" in _plan(X.suspicious_rows(t.project_info))
 
 
 def test_repair_joins_only_missing_rows(spark):
@@ -111,7 +154,7 @@ def test_project_pledge_join_is_colocated_without_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     lines = p.splitlines()
-    i = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    i = next(k for k, line in enumerate(lines) if "SortMergeJoin [ID" in line)
     depth = lines[i].index("SortMergeJoin")
     sub = [lines[i]]
     for line in lines[i + 1:]:
