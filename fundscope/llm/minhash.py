@@ -7,8 +7,8 @@
 2. Bands: only keys that two classes share go on. Pairs in a bucket are estimated from the packed
    signatures: the share of equal 4-bit groups, counted by bits, corrected for chance collisions (1
    in 16). Pairs within ``margin`` standard errors of the threshold put their classes into one
-   family. A task sees a block of a bucket (or two blocks), skips pairs that are one family already,
-   and returns a forest, never pairs; the later bands only look at buckets of several families.
+   family. A task sees a block of a bucket (or two blocks), skips pairs that it has put together
+   already, and returns a forest, never all pairs.
 3. Families are then compared exactly: each class sends its full shingle set once to its family, in
    blocks of bounded bytes, where intersections are counted as bits of the shared shingles. Again a
    task returns a forest of the links found, so no group's pairs are ever written.
@@ -181,13 +181,12 @@ def _edges(node: list[bytes], found: list[tuple[int, int]]) -> pa.Table:
 
 
 def _families(least: float, ratio: float):
-    """A block (or two) of a bucket: a forest of the estimated pairs between families."""
+    """A block (or two) of a bucket: a forest of the estimated pairs."""
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
         side, n = t.column("part").to_numpy(), t.column("n").to_numpy()
         sig = _words(t.column("sig").combine_chunks(), PERMS * BITS // 64)
-        _, labels = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)
-        left, right, found = np.flatnonzero(side == i), np.flatnonzero(side == j), []
+        labels, left, right, found = np.arange(len(n)), np.flatnonzero(side == i), np.flatnonzero(side == j), []
         for x in left:
             y = right[right > x] if i == j else right
             y = y[(labels[y] != labels[x]) & (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]))]
@@ -265,21 +264,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.where("node is not null")
     classes = store(named.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("rid").alias("rid"),
                                               F.first("bands").alias("bands")), "minhash-classes")
-    lines = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    lines = classes.select("node", F.explode("bands").alias("key"))
     shared = lines.groupBy("key").agg(F.count("node").alias("many")).where("many > 1")
     buckets = store(lines.join(shared, "key"), "minhash-buckets")
 
-    edges = families = None
-    for part in ("band < 4", "band >= 4"):
-        now = buckets.where(part)
-        now = now.withColumn("comp", F.col("node")) if families is None else now.join(families, "node", "left").select(
-            *buckets.columns, F.coalesce("comp", "node").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        now = now.join(mixed, "key").join(classes.select("node", "n", "sig"), "node")
-        found = _in_blocks(now, "key", F.ceil(F.col("many") / F.lit(block)), ["node", "comp", "n", "sig"]).groupBy("key", "i", "j").applyInArrow(
-            _families(least, percent / 100), "a binary, b binary")
-        edges = store(found if edges is None else found.unionAll(edges), "minhash-edges")
-        families = components(edges, "minhash-families")
+    sketched = buckets.join(classes.select("node", "n", "sig"), "node")
+    edges = _in_blocks(sketched, "key", F.ceil(F.col("many") / F.lit(block)), ["node", "n", "sig"]).groupBy("key", "i", "j").applyInArrow(
+        _families(least, percent / 100), "a binary, b binary").distinct()
+    families = components(edges, "minhash-families")
 
     # one text of each class that has a family, found by its row hash
     own = store(classes.select("node", "rid", "n").join(families, "node"), "minhash-own")
