@@ -15,14 +15,16 @@ def components(links: DataFrame, name: str) -> DataFrame:
     Every round takes the smallest label of all neighbours (pre-aggregated), then the label of that
     label, so paths shrink by more than half a round. Nothing is collected but one count a round.
     """
-    both = store(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-links")
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), f"{name}-labels")
+    ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # each node is its own neighbour too: the smallest label around it includes its own
+    both = store(ends.unionAll(ends.select("a", F.col("a").alias("b"))).distinct(), f"{name}-links")
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{name}-labels")
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("low")))
-        step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
+        step = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(
+            F.min("comp").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old"))
         jump = labels.select(F.col("node").alias("n"), F.col("comp").alias("next"))
-        fresh = store(step.join(jump, F.col("comp") == F.col("n"), "left")
-                      .select("node", "old", F.least("comp", "next").alias("comp")), f"{name}-labels")
+        fresh = store(step.join(jump, F.col("low") == F.col("n")).select(
+            F.col("a").alias("node"), "old", F.least("low", "next").alias("comp")), f"{name}-labels")
         moved = fresh.where("comp <> old").limit(1).count()
         labels = fresh.select("node", "comp")
         if not moved:
