@@ -273,10 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _families(least, percent / 100), "a binary, b binary").distinct()
     families = components(edges, "minhash-families")
 
-    # one text of each class that has a family, found by its row hash
+    # one text of each class that has a family, found by its row hash (the list grows with the corpus:
+    # a merge join at every size)
     own = store(classes.select("node", "rid", "n").join(families, "node"), "minhash-own")
     sizes = own.groupBy("comp").agg(F.greatest(F.ceil(F.count("node") / F.lit(block)), F.ceil(F.sum("n") / F.lit(block_shingles))).alias("parts"))
-    texts = docs.select(rid.alias("rid"), F.col(text_col).alias("t")).join(own.select("rid", "node").withColumnRenamed("rid", "own_rid"), F.col("rid") == F.col("own_rid"))
+    texts = docs.select(rid.alias("rid"), F.col(text_col).alias("t")).join(
+        own.select(F.col("rid").alias("own_rid"), "node").hint("merge"), F.col("rid") == F.col("own_rid"))
     sets = texts.dropDuplicates(["rid"]).select("node", "t").mapInArrow(_shingle_sets(shingle), "node binary, set binary")
     sets = sets.join(own.select("node", "comp").join(sizes, "comp"), "node")
     links = store(_in_blocks(sets, "comp", F.col("parts"), ["node", "set"]).groupBy("comp", "i", "j").applyInArrow(_links(percent), "a binary, b binary"),
@@ -298,4 +300,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each group of near-duplicates, with its own columns."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("rid").alias("__kept")).distinct()
     own = docs.withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return own.join(kept, F.col("__rid") == F.col("__kept")).dropDuplicates(["__rid"]).select(*docs.columns)
+    return own.join(kept.hint("merge"), F.col("__rid") == F.col("__kept")).dropDuplicates(["__rid"]).select(*docs.columns)
