@@ -64,6 +64,14 @@ def clean_up(spark: SparkSession) -> None:
     remove(spark, f"{checkpoint_root(spark)}/llm")
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]):
+    """Rename the columns of ``df`` that an operator's own result columns would replace. Returns the
+    renamed frame and a function that picks the original columns, by their names, from a result."""
+    own = {c: f"__in_{c}" for c in df.columns if c in names}
+    renamed = df.select(*[F.col(c).alias(own.get(c, c)) for c in df.columns])
+    return renamed, lambda out: out.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

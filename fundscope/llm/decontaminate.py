@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundscope.llm.common import store
+from fundscope.llm.common import set_aside, store
 
 #: After lower-casing A-Z, words are runs of digits, a-z and all characters beyond ASCII. On UTF-8
 #: bytes the class is the same, as every byte of such a character is above 0x7F.
@@ -221,4 +221,5 @@ def _search(sent, text_col: str, again: bool):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their own columns."""
-    return find_windows(docs, benchmark, **options).where(F.size("hit_items") == 0).select(*docs.columns)
+    rows, own = set_aside(docs, ("n_words", "hit_spans", "hit_items"))
+    return own(find_windows(rows, benchmark, **options).where(F.size("hit_items") == 0))

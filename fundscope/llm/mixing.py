@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundscope.llm.common import WORD, store
+from fundscope.llm.common import WORD, set_aside, store
 
 
 def word_count(col: Column) -> Column:
@@ -118,7 +118,13 @@ def mix(df: DataFrame, key_cols: Sequence[str], text_col: str = "text", source_c
         F.col("__mix_target").alias("target"), F.least(F.col("__mix_whole") + extra, F.lit(max_epochs)).cast("int").alias("repeats"))
 
 
-def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each row ``repeats`` times, the given columns only."""
+def repeat_rows(mixed: DataFrame) -> DataFrame:
+    """Each row of a mix ``repeats`` times."""
     return (mixed.where(F.col("repeats") > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*columns))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("__copy"))
+
+
+def mixed_rows(df: DataFrame, key_cols: Sequence[str], **options) -> DataFrame:
+    """The mix itself: the rows of ``df``, as often as the mix takes them, with their own columns."""
+    rows, own = set_aside(df, ("size", "source_size", "target", "repeats"))
+    return own(repeat_rows(mix(rows, key_cols, **options)))

@@ -1,11 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
-import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from fundscope.llm import chat, decontaminate, graph, minhash, mixing, pii, repeats, sharding, topk, toxicity, warc
 from test_queries import brute_repeats, groups, shingles
 
@@ -120,8 +121,9 @@ def test_mixing(spark, docs, none):
     only_null = spark.createDataFrame([(1, None, "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.repeats) for r in mixing.mix(only_null, ["doc_id"]).collect()] == [(0, 0.0, 0)] * 2
     mixed = mixing.mix(docs, ["doc_id"])
-    copies = mixing.repeat_rows(mixed, ["doc_id", "text"])
-    assert copies.columns == ["doc_id", "text"] and copies.count() == sum(r.repeats for r in out)
+    copies = mixing.mixed_rows(docs, ["doc_id"])
+    assert copies.columns == docs.columns and copies.count() == sum(r.repeats for r in mixed.collect())
+    assert {r.size for r in copies.collect()} == {"x"}
 
 
 def test_water_filling_clamps_and_reshares(spark):
@@ -149,7 +151,8 @@ def test_decontamination(spark, docs, none):
         assert got[22].hit_items == [] and got[24].n_words == 0
         assert [(s.start, s.end) for s in got[23].hit_spans] == [(0, 2)] and got[23].hit_items == ["4"]
     assert decontaminate.find_windows(docs, bench.limit(0)).count() == 13
-    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and {r.n_words for r in clean.collect()} == {"x"}
     assert decontaminate.find_windows(none, bench).collect() == []
 
 
@@ -332,3 +335,18 @@ def test_run_length_index():
         assert index.run_lengths.sum() == n
 
 
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages(spark, docs, none, name):
+    """Every stage on the awkward rows, on no rows, and without labels or benchmark rows in its way."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    assert set(docs.columns) <= set(out.columns)
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None} and rows
+    if name in ("toxicity", "near_duplicates", "decontamination"):
+        assert {4, 5, 9} <= {r.doc_id for r in rows}
+    if name != "sharding":
+        assert out.columns == docs.columns and {r.size for r in rows} == {"x"}
+    assert stage(spark, none, "/root/testdata/sf0.001").collect() == []
