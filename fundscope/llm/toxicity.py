@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel and a support vector machine over Nyström landmarks.
 
 Kernel: two words are alike by the character triples they share as subsequences, up to two other
-characters in between, each costing a factor ``DECAY``; a triple may begin at the word's start.
+characters in between, each costing a factor ``DECAY``; the word's start and end count as characters.
 Inserted characters, gaps and endings leave most triples of an insult in place. Written out, the
 kernel is a sparse product over triples, divided by both words' sizes.
 
@@ -10,9 +10,10 @@ words that stand in many toxic and in hardly any clean texts are the positive ex
 clean texts the negative ones, the hardest of them found in two rounds. Landmarks are positives and
 negatives; the Nyström map of the kernel on them feeds a linear SVM (squared hinge, Newton steps).
 Its decision is a sum over landmarks of kernels, so it folds into one weight per triple: scoring a
-word costs the same for any number of landmarks. A logistic model on a text's two highest word
-scores and its number of positive words, fitted on sample rows that the words did not use and
-weighted to the true class sizes, gives the probability.
+word costs the same for any number of landmarks. This is done on three parts of the sample, leaving
+out a third each time; the decisions are averaged. A logistic model on a text's two highest word
+scores and its number of clearly positive words, fitted on scores by the decision that had left the
+text out and weighted to the true class sizes, gives the probability.
 
 Scoring reads every whole text once where it lies, without a shuffle; the model is some MB.
 """
@@ -37,6 +38,8 @@ _SPELLED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _JUNK = re.compile(r"[\W\d_]+")
 CACHE = 400_000
 NOTHING = -2.0  # the score of a text without words
+CLEAR = 0.5  # word scores from here on count as positive
+FOLDS = 3
 
 
 def tokens(text: str | None) -> set[str]:
@@ -50,11 +53,12 @@ def tokens(text: str | None) -> set[str]:
 
 def triples(words: list[str]):
     """Triple slots and weights, one line per word (weight 0 behind its end), and each word's size."""
-    longest = max(map(len, words), default=0) + 1
+    longest = max(map(len, words), default=0) + 2
     text = np.zeros((len(words), longest + 4), np.uint64)
     text[:, 0] = 1
-    size = np.array([len(w) + 1 for w in words])
-    text[:, 1:][np.arange(longest + 3)[None, :] < size[:, None] - 1] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(w) + 2 for w in words])
+    text[:, 1:][np.arange(longest + 3)[None, :] < size[:, None] - 2] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text[np.arange(len(words)), size - 1] = 2
     first = text[:, :longest] * np.uint64(0x9E3779B97F4A7C15)
     slots, weights = [], []
     for j in range(1, 4):
@@ -98,7 +102,7 @@ class Model:
         self.words, self.weights, self.prior, self.seen = words, weights, prior, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Highest and second highest word score, log of the number of positive words."""
+        """Highest and second highest word score, log of the number of clearly positive words."""
         sets = [tokens(t) for t in texts]
         if len(self.seen) > CACHE:
             self.seen = {}
@@ -109,7 +113,8 @@ class Model:
         for i, s in enumerate(sets):
             v = list(map(get, s))
             best = heapq.nlargest(2, v) + [NOTHING, NOTHING]
-            out[i] = max(best[0], NOTHING), max(best[1], NOTHING), math.log1p(sum(x > 0 for x in v) if best[0] > 0 else 0)
+            top = [min(max(x, NOTHING), 1.0) for x in best[:2]]
+            out[i] = *top, math.log1p(sum(x > CLEAR for x in v) if best[0] > CLEAR else 0)
         return out
 
     def probability(self, texts: list[str | None]) -> np.ndarray:
@@ -209,9 +214,9 @@ def _variants(word: str, rng) -> list[str]:
     return [word[:i] + (word[i] if n % 2 else letters[rng.integers(26)]) + word[i:] for n, i in enumerate(at)]
 
 
-def _train_words(sure: dict[str, int], negative: list[str], rng) -> Words:
-    """Nyström landmarks, whitened kernel features, SVM; two rounds of hard negatives. Positive words
-    count by the texts they mark, together as much as all negative ones."""
+def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng) -> Words:
+    """Nyström landmarks, whitened kernel features, SVM; two rounds of hard negatives. Words count
+    by the texts they are in, the positive ones together as much as all negative ones."""
     positive = list(sure)[:1000]
     weight = {w: float(sure[w]) for w in positive}
     known = set(negative)
@@ -233,7 +238,8 @@ def _train_words(sure: dict[str, int], negative: list[str], rng) -> Words:
         nystroem = vector[:, use] / np.sqrt(value[use])
         x = _kernel([*positive, *chosen], landmarks) @ nystroem
         y = np.array([1.0] * len(positive) + [-1.0] * len(chosen))
-        cost = 10.0 * np.concatenate([len(chosen) * texts / texts.sum(), np.ones(len(chosen))])
+        against = np.array([min(clean[w], 20) for w in chosen], float)
+        cost = 10.0 * np.concatenate([against.sum() * texts / texts.sum(), against])
         w = _svm(x, y, cost)
         alpha = nystroem @ w[:-1]
         slots, weights, size = triples(landmarks)
@@ -252,28 +258,34 @@ def train(rows: list[tuple[str | None, int]], toxic_total: int, clean_total: int
     rng = np.random.default_rng(seed)
     sets = [tokens(t) for t, _ in rows]
     family = np.array(_families(sets))
-    fold = np.random.default_rng(seed).permutation(len(rows))[family] % 3  # a family is on one side
-    learn = fold > 0
-    counts, size = [Counter(), Counter()], [0, 0]
-    met: set = set()
-    for i in np.flatnonzero(learn):
-        if (family[i], labels[i]) in met:  # copies count once
+    fold = rng.permutation(len(rows))[family] % FOLDS  # a family is on one side
+    x, done, tables = np.zeros((len(rows), 3)), np.zeros(len(rows), bool), []
+    for k in range(FOLDS):
+        words = _learn(sets, labels, family, np.flatnonzero(fold != k), rng)
+        if words is not None:
+            own = np.flatnonzero(fold == k)
+            x[own] = Model(words, np.zeros(4), prior).features([rows[i][0] for i in own])
+            done[own] = True
+            tables.append(words)
+    if not done.any() or labels[done].min() == labels[done].max():
+        return Model(None, np.zeros(4), prior)
+    weight = np.where(labels == 1, toxic_total / max(1, (labels == 1).sum()), clean_total / max(1, (labels == 0).sum()))[done]
+    mean = Words(np.mean([w.table for w in tables], 0), float(np.mean([w.bias for w in tables])))
+    return Model(mean, logistic(x[done], labels[done], weight / weight.mean(), ridge=0.2), prior)
+
+
+def _learn(sets: list[set[str]], labels: np.ndarray, family: np.ndarray, rows: np.ndarray, rng) -> Words | None:
+    """Words from some of the rows; copies of a text count once."""
+    counts, size, met = [Counter(), Counter()], [0, 0], set()
+    for i in rows:
+        if (family[i], labels[i]) in met:
             continue
         met.add((family[i], labels[i]))
         size[labels[i]] += 1
         counts[labels[i]].update({p for t in sets[i] for p in pieces(t) if len(p) > 1})
     sure = _sure(counts, size)
     negative = [w for w in counts[0] if w not in sure]
-    if not sure or not negative:
-        return Model(None, np.zeros(4), prior)
-    model = Model(_train_words(sure, negative, rng), np.zeros(4), prior)
-    check = np.flatnonzero(~learn) if len(set(labels[~learn])) == 2 else np.arange(len(rows))
-    x = model.features([rows[i][0] for i in check])
-    y = labels[check]
-    weight = np.where(y == 1, toxic_total / max(1, (labels == 1).sum()), clean_total / max(1, (labels == 0).sum()))
-    model.weights = logistic(x, y, weight / weight.mean())
-    model.seen = {}
-    return model
+    return _train_words(sure, negative, counts[0], rng) if sure and negative else None
 
 
 # -- Spark -----------------------------------------------------------------------------------------
