@@ -8,8 +8,9 @@ corpus, so:
    (the leftmost, if equal). Equal windows have equal grams, so equal owners; consecutive windows
    share an owner, one owner per 89 bytes or so. A row of the anchor table is a stretch of
    consecutive windows of one owner: gram hash, hash of the stretch's bytes, place.
-2. Only grams that occur twice can own a repeated window. Stretches with equal bytes become one with
-   a count, so a passage that thousands of documents share is indexed once (twice, to see itself).
+2. Only grams that occur twice can own a repeated window. Stretches with equal bytes (by 128 bits of
+   digests) become one with a count, so a passage that thousands of documents share is indexed once;
+   its windows are repeated by its count. A gram with one such stretch has nothing to be compared with.
 3. The stretches are put into buckets by gram hash, by total size, a few MB each. A task builds the
    suffix order of its bucket and the BWT's runs, and keeps at the two ends of each run the text
    place and the length of the match with the neighbour in suffix order. Inside a run the match
@@ -204,15 +205,14 @@ def _marks(length: int):
     """A bucket's stretches to (gram, own, lo, hi): runs of repeated windows, hi exclusive."""
     def run(t):
         out = [[], [], [], []]
-        data, twice = t.column("bytes").to_pylist(), (t.column("many").to_numpy() > 1).tolist()
+        data, several = t.column("bytes").to_pylist(), t.column("many").to_numpy() > 1
         if not data:
             return _mark_table(out)
         parts, starts, at = [], [], 0
-        for x, again in zip(data, twice):
-            one = np.append(np.frombuffer(x, np.uint8).astype(np.int16) + 1, np.int16(0))
+        for x in data:
+            parts.append(np.append(np.frombuffer(x, np.uint8).astype(np.int16) + 1, np.int16(0)))
             starts.append(at)
-            parts += [one, one] if again else [one]
-            at += len(one) * (1 + again)
+            at += len(parts[-1])
         text = np.concatenate(parts)
         match = RunLengthIndex(text).matching_statistics()
         left = np.flatnonzero(text == 0)
@@ -220,7 +220,7 @@ def _marks(length: int):
         repeated = np.minimum(match, left) >= length
         grams, owns, windows = t.column("gram").to_numpy(), t.column("own").to_numpy(), t.column("windows").to_numpy()
         for i, s in enumerate(starts):
-            flags = repeated[s:s + windows[i]]
+            flags = repeated[s:s + windows[i]] | several[i]
             if flags.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 for lo, hi in zip(edge[::2], edge[1::2]):
@@ -267,10 +267,15 @@ def _deal_again(length: int, gram: int):
     return run
 
 
+def _alone(kinds: DataFrame) -> DataFrame:
+    """Marks of the only stretches of their grams: all windows, if the stretch is there several times."""
+    return kinds.where("n = 1 AND many > 1").select("gram", "own", F.lit(0).alias("lo"), F.col("windows").alias("hi"))
+
+
 def _marked(cut: DataFrame, length: int, gram: int, bucket_bytes: int) -> DataFrame:
     """(gram, own, lo, hi): the repeated windows of all stretches in ``cut`` (gram, own, windows, many,
     crowd, bytes)."""
-    total, crowded = cut.agg(F.sum((F.col("windows") + length) * F.least("many", F.lit(2))), F.max("crowd")).first()
+    total, crowded = cut.agg(F.sum(F.col("windows") + length), F.max("crowd")).first()
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     marks = (cut.where("not crowd").drop("crowd").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
              .groupBy("bucket").applyInArrow(_marks(length), "gram long, own long, lo int, hi int"))
@@ -281,9 +286,9 @@ def _marked(cut: DataFrame, length: int, gram: int, bucket_bytes: int) -> DataFr
         _deal_again(length, longer), "root_gram long, root_own long, at int, gram long, own long, windows int, many long, bytes binary"), "repeats-dealt")
     kinds = dealt.groupBy("gram", "own").agg(F.sum("many").alias("many"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
     size = dealt.groupBy("gram").agg(F.count_distinct("own").alias("n"), F.sum("many").alias("places")).where("places > 1")
+    kinds = store(kinds.join(size, "gram").select("gram", "own", "windows", "many", "n", "bytes"), "repeats-cut")
     crowd = (F.col("n") > CROWD) if longer < length else F.lit(False)
-    inner = _marked(store(kinds.join(size, "gram").select("gram", "own", "windows", "many", crowd.alias("crowd"), "bytes"), "repeats-cut"),
-                    length, longer, bucket_bytes)
+    inner = _marked(kinds.where("n > 1").withColumn("crowd", crowd).drop("n"), length, longer, bucket_bytes).unionAll(_alone(kinds))
     back = dealt.drop("bytes").join(inner, ["gram", "own"]).select(
         F.col("root_gram").alias("gram"), F.col("root_own").alias("own"), (F.col("at") + F.col("lo")).cast("int").alias("lo"),
         (F.col("at") + F.col("hi")).cast("int").alias("hi"))
@@ -315,12 +320,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = store(rows.join(grams, "gram", "left_semi"), "repeats-places")
     kinds = places.groupBy("gram", "own").agg(F.count("rid").alias("many"), F.min(F.struct("rid", "first", "windows")).alias("at"))
     crowds = kinds.groupBy("gram").agg(F.count("own").alias("n"))
-    kinds = store(kinds.join(crowds, "gram").select("gram", "own", "many", "at.*", (F.col("n") > CROWD).alias("crowd")), "repeats-kinds")
-    per_text = kinds.groupBy("rid").agg(F.collect_list(F.struct("gram", "own", "first", "windows", "many", "crowd")).alias("s"))
+    kinds = store(kinds.join(crowds, "gram").select("gram", "own", "many", "at.*", "n"), "repeats-kinds")
+    per_text = kinds.where("n > 1").groupBy("rid").agg(F.collect_list(F.struct(
+        "gram", "own", "first", "windows", "many", (F.col("n") > CROWD).alias("crowd"))).alias("s"))
     cut = store(long_.select(rid.alias("rid"), F.col(text_col).alias("t")).dropDuplicates(["rid"]).join(per_text, "rid").select("t", "s")
                 .mapInArrow(_cut_out(length), "gram long, own long, windows int, many long, crowd boolean, bytes binary"), "repeats-cut")
 
-    marks = store(_marked(cut, length, GRAM, bucket_bytes), "repeats-marks")
+    marks = store(_marked(cut, length, GRAM, bucket_bytes).unionAll(_alone(kinds)), "repeats-marks")
 
     spans = (places.join(marks, ["gram", "own"]).select("rid", (F.col("first") + F.col("lo")).alias("start"),
                                                         (F.col("first") + F.col("hi") - 1 + length).alias("end"))
