@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from fundscope.llm import chat, decontaminate, graph, minhash, mixing, pii, repeats, sharding, topk, toxicity, warc
-from test_queries import brute_repeats, groups, shingles
+from test_llm_queries import brute_repeats, groups, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["size", "target", "taken", "shard", "slot", "n", "node", "rid", "id", "t", "kept", "cut", "cell", "repeat_spans",

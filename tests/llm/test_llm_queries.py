@@ -5,15 +5,28 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
-from conftest import rows_of  # noqa: F401  (tests/llm/conftest.py)
 
 import corpus_pipeline
 from fundscope.llm import queries as Q
 from fundscope.llm import toxicity
 
 SMALL = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return con
+
+
+def rows_of(columns, rows):
+    return sorted(repr(tuple(r[columns.index(c)] for c in sorted(columns))) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
