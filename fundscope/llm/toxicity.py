@@ -21,6 +21,7 @@ Scoring reads every whole text once where it lies, without a shuffle; the model
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from collections import Counter
@@ -103,13 +104,15 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Highest and second highest word score, log of the number of clearly positive words."""
-        sets = [tokens(t) for t in texts]
+        return self.features_of([tokens(t) for t in texts])
+
+    def features_of(self, sets: list[set[str]]) -> np.ndarray:
         if len(self.seen) > CACHE:
             self.seen = {}
         new = list(set().union(*sets).difference(self.seen)) if sets else []
-        for a in range(0, len(new), 1 << 16):
-            self.seen.update(zip(new[a:a + (1 << 16)], self.words.score(new[a:a + (1 << 16)]).tolist()))
-        get, out = self.seen.__getitem__, np.empty((len(texts), 3))
+        for a in range(0, len(new), 1 << 14):
+            self.seen.update(zip(new[a:a + (1 << 14)], self.words.score(new[a:a + (1 << 14)]).tolist()))
+        get, out = self.seen.__getitem__, np.empty((len(sets), 3))
         for i, s in enumerate(sets):
             v = list(map(get, s))
             best = heapq.nlargest(2, v) + [NOTHING, NOTHING]
@@ -190,7 +193,7 @@ def _sure(counts: list[Counter], size: list[int], false: float = 0.1, lift: floa
     n0, n1 = max(1, size[0]), max(1, size[1])
     q = n1 / (n0 + n1)
     by: dict[int, Counter] = {}
-    for w in {**counts[0], **counts[1]}:
+    for w in itertools.chain(counts[0], (w for w in counts[1] if w not in counts[0])):
         by.setdefault(counts[0][w] + counts[1][w], Counter())[counts[1][w]] += 1
     least: dict[int, int] = {}
     for d, seen in by.items():
@@ -229,7 +232,8 @@ def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng)
     chosen, words = some[:4000], None
     for _ in range(3):
         if words is not None:
-            hard = np.argsort(-words.score(negative))[:2000]
+            scores = np.concatenate([words.score(negative[a:a + 20_000]) for a in range(0, len(negative), 20_000)])
+            hard = np.argsort(-scores)[:2000]
             chosen = list(dict.fromkeys([*chosen, *(negative[i] for i in hard)]))
             some = [negative[i] for i in hard[:64]] + some
         landmarks = list(dict.fromkeys([*positive[:128], *some[:128]]))
@@ -256,7 +260,9 @@ def train(rows: list[tuple[str | None, int]], toxic_total: int, clean_total: int
     if not len(rows) or labels.min() == labels.max():
         return Model(None, np.zeros(4), prior)
     rng = np.random.default_rng(seed)
-    sets = [tokens(t) for t, _ in rows]
+    known: dict[str, str] = {}  # one string object for all texts that hold a token
+    sets = [{known.setdefault(x, x) for x in tokens(t)} for t, _ in rows]
+    del known
     family = np.array(_families(sets))
     fold = rng.permutation(len(rows))[family] % FOLDS  # a family is on one side
     x, done, tables = np.zeros((len(rows), 3)), np.zeros(len(rows), bool), []
@@ -264,7 +270,8 @@ def train(rows: list[tuple[str | None, int]], toxic_total: int, clean_total: int
         words = _learn(sets, labels, family, np.flatnonzero(fold != k), rng)
         if words is not None:
             own = np.flatnonzero(fold == k)
-            x[own] = Model(words, np.zeros(4), prior).features([rows[i][0] for i in own])
+            for a in range(0, len(own), 256):
+                x[own[a:a + 256]] = Model(words, np.zeros(4), prior).features_of([sets[i] for i in own[a:a + 256]])
             done[own] = True
             tables.append(words)
     if not done.any() or labels[done].min() == labels[done].max():
@@ -292,7 +299,7 @@ def _learn(sets: list[set[str]], labels: np.ndarray, family: np.ndarray, rows: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000) -> Model:
+        label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000) -> Model:
     """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, the first by a hash of the id.
 
     ``rows``: which ids may be used. Rows without a label or id are left out; an id with several
