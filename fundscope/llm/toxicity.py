@@ -25,6 +25,7 @@ import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -253,19 +254,22 @@ def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng)
     return words
 
 
-def train(rows: list[tuple[str | None, int]], toxic_total: int, clean_total: int, seed: int = 7) -> Model:
-    """``rows``: sampled texts and labels; the totals are the labelled rows they stand for."""
+def train(rows: Iterable[tuple[list[str], int]], toxic_total: int, clean_total: int, seed: int = 7) -> Model:
+    """``rows``: distinct tokens and labels of sampled texts; the totals are the labelled ids they stand for."""
     prior = toxic_total / max(1, toxic_total + clean_total)
-    labels = np.array([y for _, y in rows])
-    if not len(rows) or labels.min() == labels.max():
-        return Model(None, np.zeros(4), prior)
-    rng = np.random.default_rng(seed)
     known: dict[str, str] = {}  # one string object for all texts that hold a token
-    sets = [{known.setdefault(x, x) for x in tokens(t)} for t, _ in rows]
+    sets, labels = [], []
+    for found, y in rows:
+        sets.append({known.setdefault(x, x) for x in found})
+        labels.append(y)
     del known
+    labels = np.array(labels)
+    if not len(labels) or labels.min() == labels.max():
+        return Model(None, np.zeros(4), prior)
+    rng = np.random.default_rng(seed)
     family = np.array(_families(sets))
-    fold = rng.permutation(len(rows))[family] % FOLDS  # a family is on one side
-    x, done, tables = np.zeros((len(rows), 3)), np.zeros(len(rows), bool), []
+    fold = rng.permutation(len(labels))[family] % FOLDS  # a family is on one side
+    x, done, tables = np.zeros((len(labels), 3)), np.zeros(len(labels), bool), []
     for k in range(FOLDS):
         words = _learn(sets, labels, family, np.flatnonzero(fold != k), rng)
         if words is not None:
@@ -299,19 +303,48 @@ def _learn(sets: list[set[str]], labels: np.ndarray, family: np.ndarray, rows: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000) -> Model:
-    """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, the first by a hash of the id.
+        label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000,
+        max_bytes: int = 64 << 20) -> Model:
+    """Train on at most ``max_toxic`` and ``max_clean`` labelled ids, the first by a hash of the id.
 
     ``rows``: which ids may be used. Rows without a label or id are left out; an id with several
-    labels counts as toxic if one says so."""
+    labels counts as toxic if one says so, an id with several texts by the smallest of them. Only
+    distinct tokens come to the driver: at most ``max_bytes``, texts that do not fit are left out."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     own = (own if rows is None else own.where(rows)).groupBy(F.col(id_col).alias("l_id")).agg(F.max(F.col(label_col)).cast("int").alias("l"))
     totals = {r.l: r.n for r in own.groupBy("l").agg(F.count("l_id").alias("n")).collect()}
     first = [own.where(F.col("l") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     picked = F.broadcast(first[0].unionAll(first[1]))  # max_toxic + max_clean ids
-    sample = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("t")).join(picked, F.col("d_id") == F.col("l_id"))
-    got = sorted(((r.d_id, r.t, r.l) for r in sample.select("d_id", "t", "l").collect()), key=lambda r: (r[0], r[1] or ""))
-    return train([(t, y) for _, t, y in got], totals.get(1, 0), totals.get(0, 0))
+    # one text an id: a repeated id is put together on the map side, before anything is shuffled
+    texts = (docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("t")).join(picked, F.col("d_id") == F.col("l_id"))
+             .groupBy("l_id").agg(F.min("t").alias("t"), F.max("l").alias("l")))
+    return train(_bounded(_distinct_tokens(texts), max_bytes), totals.get(1, 0), totals.get(0, 0))
+
+
+def _distinct_tokens(texts: DataFrame) -> DataFrame:
+    """l, the distinct tokens (one a line) and their bytes, in the order of a hash of the id: texts
+    are read whole, in tasks."""
+
+    def run(batches):
+        for b in batches:
+            for a in range(b.num_rows):
+                p = b.slice(a, 1)
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.array(["\n".join(sorted(tokens(p.column(1)[0].as_py())))], pa.string())],
+                                                 names=["l_id", "l", "words"])
+
+    id_type = texts.schema["l_id"].dataType
+    found = texts.select("l_id", "t", "l").mapInArrow(run, T.StructType([T.StructField("l_id", id_type), T.StructField("l", T.IntegerType()),
+                                                                         T.StructField("words", T.StringType())]))
+    return found.withColumn("size", F.octet_length("words")).orderBy(F.xxhash64("l_id"), "l_id").select("l", "words", "size")
+
+
+def _bounded(sample: DataFrame, max_bytes: int):
+    """Token sets and labels, one partition after the other, those that fit into ``max_bytes``."""
+    left = max_bytes
+    for r in sample.where(F.col("size") <= max_bytes).toLocalIterator():
+        if r["size"] <= left:
+            left -= r["size"]
+            yield r["words"].split("\n") if r["words"] else [], r["l"]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:

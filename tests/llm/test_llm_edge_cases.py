@@ -216,6 +216,22 @@ def test_toxicity(spark, docs, none):
     assert unlabelled.probability(["a", None]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_repeated_ids_are_one_row_of_the_sample(spark, monkeypatch):
+    """A labelled id in a third of all rows: one text of it comes to the driver, within the bytes."""
+    rows = [(i, words(30, i)) for i in range(40)] + [(7, words(30, 1000 + i)) for i in range(20)] + [(8, None)] * 5
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, *totals: seen.append((list(rows), totals)))
+    toxicity.fit(texts, labels)
+    toxicity.fit(texts, labels, max_bytes=1000)
+    (whole, totals), (some, _) = seen
+    assert len(whole) == 40 and totals == (10, 30) and sum(y for _, y in whole) == 10
+    own = min(t for i, t in rows if i == 7)
+    assert sorted(set(own.split())) in [x for x, _ in whole]
+    assert 0 < sum(len("\n".join(x)) for x, _ in some) <= 1000
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "\\[\\INST]\\", "[TURN][\\TURN]", "<", "[", "", None, "é😀", "[ROLE]x[/ROLE]", "<<SYS>> </s", "a\nb"]
     roles = ["user", "assistant", "assistant", "system", "tool", "[ROLE]", None, "user", "assistant", "assistant", "user"]
