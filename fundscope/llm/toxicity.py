@@ -130,11 +130,27 @@ class Model:
 # -- training --------------------------------------------------------------------------------------
 
 
-def _families(sets: list[set[str]]) -> list[int]:
+class Sample:
+    """Distinct tokens of texts as numbers of one list: 4 bytes for a token of a text."""
+
+    def __init__(self, rows: Iterable[tuple[list[str], int]]):
+        known: dict[str, int] = {}
+        self.sets, labels = [], []
+        for found, y in rows:
+            self.sets.append(np.array([known.setdefault(t, len(known)) for t in found], np.int32))
+            labels.append(y)
+        self.labels, self.tokens = np.array(labels, np.int64), list(known)
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+
+def _families(sample: Sample) -> list[int]:
     """Texts that copy each other, by their four smallest token hashes (two equal: one family)."""
     import zlib
 
-    parent = list(range(len(sets)))
+    parent = list(range(len(sample)))
+    hashes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in sample.tokens], np.uint64)
 
     def root(i):
         while parent[i] != i:
@@ -143,16 +159,15 @@ def _families(sets: list[set[str]]) -> list[int]:
         return i
 
     first: dict = {}
-    for i, s in enumerate(sets):
-        h = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in s], np.uint64)
-        if not len(h):
+    for i, s in enumerate(sample.sets):
+        if not len(s):
             continue
-        low = [int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+        low = [int(((hashes[s] * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
         for a in range(4):
             for b in range(a + 1, 4):
                 j = first.setdefault((a, b, low[a], low[b]), i)
                 parent[root(i)] = root(j)
-    return [root(i) for i in range(len(sets))]
+    return [root(i) for i in range(len(sample))]
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -257,25 +272,19 @@ def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng)
 def train(rows: Iterable[tuple[list[str], int]], toxic_total: int, clean_total: int, seed: int = 7) -> Model:
     """``rows``: distinct tokens and labels of sampled texts; the totals are the labelled ids they stand for."""
     prior = toxic_total / max(1, toxic_total + clean_total)
-    known: dict[str, str] = {}  # one string object for all texts that hold a token
-    sets, labels = [], []
-    for found, y in rows:
-        sets.append({known.setdefault(x, x) for x in found})
-        labels.append(y)
-    del known
-    labels = np.array(labels)
+    sample = Sample(rows)
+    labels = sample.labels
     if not len(labels) or labels.min() == labels.max():
         return Model(None, np.zeros(4), prior)
     rng = np.random.default_rng(seed)
-    family = np.array(_families(sets))
+    family = np.array(_families(sample))
     fold = rng.permutation(len(labels))[family] % FOLDS  # a family is on one side
     x, done, tables = np.zeros((len(labels), 3)), np.zeros(len(labels), bool), []
     for k in range(FOLDS):
-        words = _learn(sets, labels, family, np.flatnonzero(fold != k), rng)
+        words = _learn(sample, family, np.flatnonzero(fold != k), rng)
         if words is not None:
             own = np.flatnonzero(fold == k)
-            for a in range(0, len(own), 256):
-                x[own[a:a + 256]] = Model(words, np.zeros(4), prior).features_of([sets[i] for i in own[a:a + 256]])
+            x[own] = _scores(words, sample, own)
             done[own] = True
             tables.append(words)
     if not done.any() or labels[done].min() == labels[done].max():
@@ -285,17 +294,27 @@ def train(rows: Iterable[tuple[list[str], int]], toxic_total: int, clean_total:
     return Model(mean, logistic(x[done], labels[done], weight / weight.mean(), ridge=0.2), prior)
 
 
-def _learn(sets: list[set[str]], labels: np.ndarray, family: np.ndarray, rows: np.ndarray, rng) -> Words | None:
+def _scores(words: Words, sample: Sample, own: np.ndarray) -> np.ndarray:
+    """Features of some texts of the sample."""
+    out = np.empty((len(own), 3))
+    for a in range(0, len(own), 256):
+        model = Model(words, np.zeros(4), 0.0)
+        out[a:a + 256] = model.features_of([{sample.tokens[t] for t in sample.sets[i]} for i in own[a:a + 256]])
+    return out
+
+
+def _learn(sample: Sample, family: np.ndarray, rows: np.ndarray, rng) -> Words | None:
     """Words from some of the rows; copies of a text count once."""
     counts, size, met = [Counter(), Counter()], [0, 0], set()
     for i in rows:
-        if (family[i], labels[i]) in met:
+        y = int(sample.labels[i])
+        if (family[i], y) in met:
             continue
-        met.add((family[i], labels[i]))
-        size[labels[i]] += 1
-        counts[labels[i]].update({p for t in sets[i] for p in pieces(t) if len(p) > 1})
+        met.add((family[i], y))
+        size[y] += 1
+        counts[y].update({p for t in sample.sets[i] for p in pieces(sample.tokens[t]) if len(p) > 1})
     sure = _sure(counts, size)
-    negative = [w for w in counts[0] if w not in sure]
+    negative = sorted(w for w in counts[0] if w not in sure)
     return _train_words(sure, negative, counts[0], rng) if sure and negative else None
 
 
@@ -303,7 +322,7 @@ def _learn(sets: list[set[str]], labels: np.ndarray, family: np.ndarray, rows: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000,
+        label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000,
         max_bytes: int = 64 << 20) -> Model:
     """Train on at most ``max_toxic`` and ``max_clean`` labelled ids, the first by a hash of the id.
 

@@ -232,6 +232,17 @@ def test_toxicity_repeated_ids_are_one_row_of_the_sample(spark, monkeypatch):
     assert 0 < sum(len("\n".join(x)) for x, _ in some) <= 1000
 
 
+def test_toxicity_sample_is_held_as_numbers():
+    """The sample of 2000 toxic and 4000 clean texts: four bytes for a token of a text."""
+    import inspect
+
+    bounds = inspect.signature(toxicity.fit).parameters
+    assert (bounds["max_toxic"].default, bounds["max_clean"].default) == (2000, 4000)
+    sample = toxicity.Sample((words(50, i % 7).split(), i % 2) for i in range(100))
+    assert len(sample) == 100 and sample.labels.sum() == 50
+    assert all(s.nbytes == 4 * 50 and [sample.tokens[t] for t in s] == words(50, i % 7).split() for i, s in enumerate(sample.sets))
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "\\[\\INST]\\", "[TURN][\\TURN]", "<", "[", "", None, "é😀", "[ROLE]x[/ROLE]", "<<SYS>> </s", "a\nb"]
     roles = ["user", "assistant", "assistant", "system", "tool", "[ROLE]", None, "user", "assistant", "assistant", "user"]
