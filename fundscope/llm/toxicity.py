@@ -6,8 +6,9 @@ Inserted characters, gaps and endings leave most triples of an insult in place.
 kernel is a sparse product over triples, divided by both words' sizes.
 
 Training, on the driver, on a bounded sample of labelled rows (``max_toxic`` and ``max_clean``):
-words that stand in many toxic and in hardly any clean texts are the positive examples, words of
-clean texts the negative ones, the hardest of them found in two rounds. Landmarks are positives and
+words that stand in many toxic and in hardly any clean texts are the positive examples (where there
+are none, all words more frequent in toxic texts, weighted), words of clean texts the negative ones,
+the hardest of them found in two rounds. Landmarks are positives and
 negatives; the Nyström map of the kernel on them feeds a linear SVM (squared hinge, Newton steps).
 Its decision is a sum over landmarks of kernels, so it folds into one weight per triple: scoring a
 word costs the same for any number of landmarks. This is done on three parts of the sample, leaving
@@ -24,6 +25,7 @@ import heapq
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -42,6 +44,7 @@ CACHE = 400_000
 NOTHING = -2.0  # the score of a text without words
 CLEAR = 0.5  # word scores from here on count as positive
 FOLDS = 3
+NOISY = 1.0  # cost of a row where most positive words mark nothing, else 10
 
 
 def tokens(text: str | None) -> set[str]:
@@ -147,8 +150,6 @@ class Sample:
 
 def _families(sample: Sample) -> list[int]:
     """Texts that copy each other, by their four smallest token hashes (two equal: one family)."""
-    import zlib
-
     parent = list(range(len(sample)))
     hashes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in sample.tokens], np.uint64)
 
@@ -226,6 +227,13 @@ def _sure(counts: list[Counter], size: list[int], false: float = 0.1, lift: floa
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
+def _likely(counts: list[Counter], size: list[int]) -> dict[str, float]:
+    """Where no word is sure: all words more frequent in toxic than in clean texts, weighted by the
+    number of toxic texts beyond the clean share, the heaviest first, equal ones by a hash."""
+    out = {w: a - counts[0][w] * size[1] / max(1, size[0]) for w, a in counts[1].items()}
+    return dict(sorted(((w, a) for w, a in out.items() if a > 0), key=lambda x: (-x[1], zlib.crc32(x[0].encode("utf-8", "surrogatepass")), x[0])))
+
+
 def _variants(word: str, rng) -> list[str]:
     """A word with one letter put in, or one doubled, at a few places."""
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -233,13 +241,14 @@ def _variants(word: str, rng) -> list[str]:
     return [word[:i] + (word[i] if n % 2 else letters[rng.integers(26)]) + word[i:] for n, i in enumerate(at)]
 
 
-def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng) -> Words:
+def _train_words(sure: dict[str, float], negative: list[str], clean: Counter, rng, noisy: bool = False) -> Words:
     """Nyström landmarks, whitened kernel features, SVM; two rounds of hard negatives. Words count
-    by the texts they are in, the positive ones together as much as all negative ones."""
-    positive = list(sure)[:1000]
+    by the texts they are in, the positive ones together as much as all negative ones. ``noisy``:
+    most positive words mark nothing, so they count as they are, undisguised, with more landmarks."""
+    positive = list(sure)[:4000 if noisy else 1000]
     weight = {w: float(sure[w]) for w in positive}
     known = set(negative)
-    for w in positive[:200]:  # disguised with an inserted letter
+    for w in [] if noisy else positive[:200]:  # disguised with an inserted letter
         near = [v for v in _variants(w, rng) if v not in known and v not in weight]
         weight |= {v: weight[w] / 4 for v in near}
     positive = list(weight)
@@ -252,14 +261,14 @@ def _train_words(sure: dict[str, int], negative: list[str], clean: Counter, rng)
             hard = np.argsort(-scores)[:2000]
             chosen = list(dict.fromkeys([*chosen, *(negative[i] for i in hard)]))
             some = [negative[i] for i in hard[:64]] + some
-        landmarks = list(dict.fromkeys([*positive[:128], *some[:128]]))
+        landmarks = list(dict.fromkeys([*positive[:512 if noisy else 128], *some[:128]]))
         value, vector = np.linalg.eigh(_kernel(landmarks, landmarks).astype(np.float64))
         use = value > 1e-4 * value.max()
         nystroem = vector[:, use] / np.sqrt(value[use])
         x = _kernel([*positive, *chosen], landmarks) @ nystroem
         y = np.array([1.0] * len(positive) + [-1.0] * len(chosen))
         against = np.array([min(clean[w], 20) for w in chosen], float)
-        cost = 10.0 * np.concatenate([against.sum() * texts / texts.sum(), against])
+        cost = (NOISY if noisy else 10.0) * np.concatenate([texts if noisy else against.sum() * texts / texts.sum(), against])
         w = _svm(x, y, cost)
         alpha = nystroem @ w[:-1]
         slots, weights, size = triples(landmarks)
@@ -287,7 +296,7 @@ def train(rows: Iterable[tuple[list[str], int]], toxic_total: int, clean_total:
             x[own] = _scores(words, sample, own)
             done[own] = True
             tables.append(words)
-    if not done.any() or labels[done].min() == labels[done].max():
+    if not done.any() or labels[done].min() == labels[done].max():  # one kind is in one family: nothing to judge words by
         return Model(None, np.zeros(4), prior)
     weight = np.where(labels == 1, toxic_total / max(1, (labels == 1).sum()), clean_total / max(1, (labels == 0).sum()))[done]
     mean = Words(np.mean([w.table for w in tables], 0), float(np.mean([w.bias for w in tables])))
@@ -314,8 +323,9 @@ def _learn(sample: Sample, family: np.ndarray, rows: np.ndarray, rng) -> Words |
         size[y] += 1
         counts[y].update({p for t in sample.sets[i] for p in pieces(sample.tokens[t]) if len(p) > 1})
     sure = _sure(counts, size)
-    negative = sorted(w for w in counts[0] if w not in sure)
-    return _train_words(sure, negative, counts[0], rng) if sure and negative else None
+    found = sure or _likely(counts, size)
+    negative = sorted(w for w in counts[0] if w not in found)
+    return _train_words(found, negative, counts[0], rng, noisy=not sure) if found and negative else None
 
 
 # -- Spark -----------------------------------------------------------------------------------------
@@ -369,7 +379,8 @@ def _bounded(sample: DataFrame, max_bytes: int):
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """All rows and columns of ``docs`` with ``score_col`` (double, 0 to 1; a column of that name is
     replaced). Null and empty texts get the score of a text without words; long texts are read whole;
-    equal texts get equal scores; without labels of both kinds every row gets the prior."""
+    equal texts get equal scores; every row gets the prior without labels of both kinds,
+    or if no word is more frequent in toxic than in clean texts, or no other word is in clean ones."""
     base = docs.select(*[c for c in docs.columns if c != score_col])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

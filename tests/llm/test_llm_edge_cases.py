@@ -243,6 +243,17 @@ def test_toxicity_sample_is_held_as_numbers():
     assert all(s.nbytes == 4 * 50 and [sample.tokens[t] for t in s] == words(50, i % 7).split() for i, s in enumerate(sample.sets))
 
 
+def test_toxicity_with_ten_toxic_labels(spark, scratch):
+    """Every insult stands in one training text: no word is sure, and the planted text still goes."""
+    rude = ["klmnopq", "kllmnopq", "klmnnopq", "klmnopqs", "klmnoppq", "xklmnopq", "klmnopqq", "klmmnopq", "klmnopqer", "klmnoopq"]
+    rows = [(i, words(30, i)) for i in range(80)] + [(500 + i, f"{words(12, 500 + i)} {w} {words(12, 800 + i)}") for i, w in enumerate(rude)]
+    planted = [(900 + i, f"{words(12, 3000 + i)} klmnopq {words(12, 4000 + i)}") for i in range(5)]
+    texts = spark.createDataFrame(rows + planted, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i >= 500)) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{scratch}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, texts, scratch).collect()}
+    assert not kept & {i for i, _ in planted} and kept >= set(range(80))
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "\\[\\INST]\\", "[TURN][\\TURN]", "<", "[", "", None, "é😀", "[ROLE]x[/ROLE]", "<<SYS>> </s", "a\nb"]
     roles = ["user", "assistant", "assistant", "system", "tool", "[ROLE]", None, "user", "assistant", "assistant", "user"]
