@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundscope.llm.common import store
+from fundscope.llm.common import WORD, store
 from fundscope.llm.graph import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -297,7 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates, with its own columns."""
+    """One row of each group of near-duplicates, with its own columns; of rows that repeat id and
+    text one counts. Every row without words is kept, whatever its id."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("rid").alias("__kept")).distinct()
-    own = docs.withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return own.join(kept.hint("merge"), F.col("__rid") == F.col("__kept")).dropDuplicates(["__rid"]).select(*docs.columns)
+    wordy = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    own = docs.where(wordy).withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
+    own = own.join(kept.hint("merge"), F.col("__rid") == F.col("__kept")).dropDuplicates(["__rid"]).select(*docs.columns)
+    return own.unionAll(docs.where(~wordy))

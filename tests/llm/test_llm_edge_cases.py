@@ -50,6 +50,14 @@ def test_near_duplicates(docs, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 9, 10]
 
 
+def test_near_duplicates_keep_every_row_without_words(spark):
+    rows = [(1, None, "a"), (1, None, "b"), (1, "", "a"), (1, "", "a"), (None, None, "a"), (None, None, "c"), (None, " \t", "a"), (None, " \t", "b"),
+            (2, "one two", "a"), (2, "one two", "a"), (3, "one two", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = minhash.drop_near_duplicates(df, shingle=3, percent=85).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows[:9]))
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     """Groups of copies with growing edits: links at the threshold, several components per bucket."""
     r = random.Random(5)
