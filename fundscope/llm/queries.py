@@ -4,10 +4,10 @@ SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundscope.llm import chat, decontaminate, minhash, mixing, pii, repeats, sharding, topk, toxicity, warc
+from fundscope.llm import chat, decontaminate, langid, minhash, mixing, pii, prefixes, repeats, sharding, topk, toxicity, warc, whitening
 from fundscope.llm.common import scratch_path, table, utf8_bytes
 
 SHARDS = 40
@@ -98,9 +98,32 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("kept_bytes", F.lit(b"")), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # a sum beyond long: null
+
+
+def _held_out() -> Column:
+    """The fold of a document: crc32 of its id as text, modulo 5 (0: held out)."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, rows=_held_out() != 0)
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(_held_out() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), share_every=20, heads=heads)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_decontaminate, op4_mixing, op5_warc, op6_toxicity,
-                                    op7_chat_format, op8_topk, op9_personal_data, op10_repeats)}
+                                    op7_chat_format, op8_topk, op9_personal_data, op10_repeats, op11_whitening, op12_language,
+                                    op13_prefix_trie)}
 
 
 # -- the same results in DuckDB SQL ----------------------------------------------------------------
@@ -211,6 +234,32 @@ f AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
        row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || chr(1) || '=' || text_crc32), 1, 2), doc_id NULLS FIRST, text_crc32) - 1 AS slot
 FROM f""",
+    "op13_prefix_trie": f"""
+WITH {_CRC.strip()},
+c AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT k, any_value(len(regexp_extract_all(text, '{_WORDS}'))) AS words FROM c GROUP BY k),
+l AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS t FROM c GROUP BY conv_id),
+h AS (
+  SELECT l.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+              lambda a, b: xor(a >> 8, tab[(xor(a & 255, b) + 1)::INTEGER])), 4294967295) % 4 AS h FROM l, crc_table),
+m AS (
+  SELECT h.conv_id, list_concat(coalesce(l.t[1:h.h], []), h.t[h.h + 1:]) AS t
+  FROM h LEFT JOIN l ON l.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, t[1:d] AS path, len(t) = d AS stops FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM m)),
+n AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256 FROM p GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+v AS (
+  SELECT n.*, coalesce(kids, 0) AS kids, (n_convs - 1) * coalesce(words, 0) AS saved
+  FROM n LEFT JOIN k ON k.path = n.path LEFT JOIN w ON w.k = n.path[d]),
+s AS (
+  SELECT a, up, count(*) FILTER (kids = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT path[1:a] AS up, a, kids, saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM v)) GROUP BY a, up)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, kids AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.up = v.path LEFT JOIN n u ON v.d > 0 AND u.path = v.path[1:v.d - 1]""",
     "op4_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, md5('mix' || chr(1) || coalesce('=' || doc_id, '-')) AS h,
