@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,25 +38,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@contextlib.contextmanager
-def workspace(spark: SparkSession):
-    """Stored tables that only live while an operator runs: yields ``save(df, name)``; all that
-    it wrote is deleted at the end, so a result must not depend on any of it."""
-    made: list[str] = []
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        made.append(path)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    try:
-        yield save
-    finally:
-        for path in made:
-            remove(spark, path)
-
-
 def clean_up(spark: SparkSession) -> None:
     """Delete every table that operators of this package stored for results of this session's
     shared folder. Results that were not written elsewhere can't be read any more."""
@@ -72,6 +52,12 @@ def set_aside(df: DataFrame, names: tuple[str, ...]):
     return renamed, lambda out: out.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
 
 
+def row_name(id_col: str, text_col: str):
+    """16 bytes that name a row by its id and text; a null differs from every value."""
+    told = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(told[0], F.lit("\x01"), told[1]).cast("binary")))
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

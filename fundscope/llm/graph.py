@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundscope.llm.common import store
 
 
+def _forest(batches):
+    """The links of a task that join two of its components, in reading order."""
+    above: dict = {}
+
+    def root(x):
+        top = x
+        while above.get(top, top) != top:
+            top = above[top]
+        while above.get(x, x) != top:
+            above[x], x = top, above[x]
+        return top
+
+    for b in batches:
+        keep = []
+        for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            x, y = root(x), root(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
+def thin(links: DataFrame, name: str, at_once: int = 1 << 16) -> DataFrame:
+    """Links with the same components: of about ``at_once`` that meet in a task, a forest is left."""
+    links = store(links.select("a", "b"), f"{name}-found")
+    return links.repartition(max(1, -(-links.count() // at_once))).mapInArrow(_forest, links.schema)
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """``links``: a, b (any ordered type, not null). Returns node, comp: the smallest node of each
     node's component. Nodes without links are left out; no links give no rows.

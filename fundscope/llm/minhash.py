@@ -7,13 +7,17 @@
 2. Bands: only keys that two classes share go on. Pairs in a bucket are estimated from the packed
    signatures: the share of equal 4-bit groups, counted by bits, corrected for chance collisions (1
    in 16). Pairs within ``margin`` standard errors of the threshold put their classes into one
-   family. A task sees a block of a bucket (or two blocks), skips pairs that it has put together
-   already, and returns a forest, never all pairs.
-3. Families are then compared exactly: each class sends its full shingle set once to its family, in
-   blocks of bounded bytes, where intersections are counted as bits of the shared shingles. Again a
-   task returns a forest of the links found, so no group's pairs are ever written.
-4. Components of the links. Any two similar classes meet in a band, a family and a block pair, so no
-   link is lost, and rows moved grow with classes, not with pairs.
+   family.
+3. Families are then compared exactly: each class sends its full shingle set to its family, where
+   intersections are counted as bits of the shared shingles.
+4. Components of the links.
+
+Both comparisons (``_settle``) deal a group into blocks and compare inside them; a large group is dealt several
+times (each of its bands is a dealing of its own, a family has three), so that its near copies are one component
+when the links found are put together. Groups within one component are done. In the others, the classes outside
+of the largest component are compared with everything, block by block. A task skips pairs of one component and
+returns at most one link for each component it joins to another: links grow with classes, and rows sent too,
+but for groups whose members are mostly not alike. Every pair that shares a bucket is compared or already connected.
 
 With 32 bands of 4 rows a pair of similarity 0.85 shares no band with probability 6e-11, one of 0.8
 with 5e-8; the estimate's margin of 6 standard errors loses less than that.
@@ -21,6 +25,7 @@ with 5e-8; the estimate's margin of 6 standard errors loses less than that.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -29,8 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundscope.llm.common import WORD, store
-from fundscope.llm.graph import components
+from fundscope.llm.common import WORD, row_name, store
+from fundscope.llm.graph import components, thin
+from fundscope.session import parallelism
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 BANDS, ROWS, BITS = 32, 4, 4
@@ -161,12 +167,13 @@ def _shingle_sets(k: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 b = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.hashes(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())],
-                                                 names=["node", "set"])
+                sets = [shingler.hashes(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                                                 names=["node", "n", "set"])
     return run
 
 
-def _forest(labels: np.ndarray, x: int, near: np.ndarray) -> list[int]:
+def _join(labels: np.ndarray, x: int, near: np.ndarray) -> list[int]:
     """Put the rows ``near`` into x's group; one of each group that was another before."""
     _, first = np.unique(labels[near], return_index=True)
     new = near[first]
@@ -176,24 +183,25 @@ def _forest(labels: np.ndarray, x: int, near: np.ndarray) -> list[int]:
     return new.tolist()
 
 
-def _edges(node: list[bytes], found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table([pa.array([node[x] for x, _ in found], pa.binary()), pa.array([node[y] for _, y in found], pa.binary())], names=["a", "b"])
-
-
-def _families(least: float, ratio: float):
-    """A block (or two) of a bucket: a forest of the estimated pairs."""
-    def run(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        side, n = t.column("part").to_numpy(), t.column("n").to_numpy()
-        sig = _words(t.column("sig").combine_chunks(), PERMS * BITS // 64)
-        labels, left, right, found = np.arange(len(n)), np.flatnonzero(side == i), np.flatnonzero(side == j), []
+def _estimated(least: float, ratio: float):
+    """Pairs of a block (left and right rows) whose estimated similarity is high enough."""
+    def found(t, rows, left, right, labels):
+        n, sig = t["n"][rows], t["sig"][rows]
+        out = []
+        if len(left) * len(right) <= 1 << 14:
+            low, high = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+            near = (labels[left][:, None] != labels[right]) & (low >= ratio * high)
+            near &= estimate(sig[left][:, None], sig[right][None]) >= least
+            for i in np.flatnonzero(near.any(1)):
+                out += [(left[i], z) for z in _join(labels, left[i], right[near[i]])]
+            return out
         for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(labels[y] != labels[x]) & (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]))]
+            y = right[labels[right] != labels[x]]
+            y = y[np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y])]
             if len(y):
-                found += [(x, z) for z in _forest(labels, x, y[estimate(sig[x], sig[y]) >= least])]
-        return _edges(t.column("node").to_pylist(), found)
-    return run
+                out += [(x, z) for z in _join(labels, x, y[estimate(sig[x], sig[y]) >= least])]
+        return out
+    return found
 
 
 SLAB = 1 << 16
@@ -220,33 +228,95 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(percent: int):
-    """A block (or two) of a family: a forest of the pairs that are similar by their full sets."""
-    def run(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        side = t.column("part").to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+def _similar(percent: int):
+    """Pairs of a block that are similar by their full sets."""
+    def found(t, rows, left, right, labels):
+        sets = [t["set"][r] for r in rows]
         n, both = np.array([len(s) for s in sets]), intersections(sets)
         linked = 100 * both.astype(np.int64) >= percent * (n[:, None] + n[None, :] - both)
-        labels, right, found = np.arange(len(sets)), np.flatnonzero(side == j), []
-        for x in np.flatnonzero(side == i):
+        out = []
+        for x in left:
             y = right[linked[x, right] & (labels[right] != labels[x])]
             if len(y):
-                found += [(x, z) for z in _forest(labels, x, y)]
-        return _edges(t.column("node").to_pylist(), found)
+                out += [(x, z) for z in _join(labels, x, y)]
+        return out
+    return found
+
+
+def _in_blocks(compare):
+    """A bin of whole blocks (or pairs of blocks): a forest of the links found in each."""
+    def run(_, t):
+        t = t.sort_by([("at", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        cols = {"n": t.column("n").to_numpy()}
+        if "sig" in t.column_names:
+            cols["sig"] = _words(t.column("sig").combine_chunks(), PERMS * BITS // 64)
+        else:
+            cols["set"] = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+        at, i, j, part = (t.column(c).to_numpy() for c in ("at", "i", "j", "part"))
+        known: dict[bytes, int] = {}
+        label = np.array([known.setdefault(x, len(known)) for x in t.column("label").to_pylist()], np.int64)
+        cut = np.flatnonzero((at[1:] != at[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found = []
+        for a, b in zip([0, *cut], [*cut, len(at)]):
+            own = part[a:b]
+            left, right, labels = np.flatnonzero(own == i[a]), np.flatnonzero(own == j[a]), label[a:b].copy()
+            found += [(a + x, a + y) for x, y in compare(cols, slice(a, b) if "sig" in cols else range(a, b), left, right, labels)]
+        node = t.column("node")
+        return pa.table([node.take([x for x, _ in found]), node.take([y for _, y in found])], names=["a", "b"]) if found else _NO_LINKS
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, parts, columns: list[str]) -> DataFrame:
-    """Rows of a group dealt to ``parts`` parts; each is sent to all block pairs its part is in."""
-    dealt = rows.withColumn("__parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int"))
-    return dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).select(
-        group, F.least("part", "__other").alias("i"), F.greatest("part", "__other").alias("j"), "part", *columns)
+_NO_LINKS = pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
+_LINK = "a binary, b binary"
+
+
+def _compared(rows: DataFrame, compare, weight: int, name: str) -> DataFrame:
+    """``rows``: grp, i, j, part, node, n, label and what ``compare`` reads. Blocks are put into bins of
+    about equal work, dealt over a number of tasks that is not changed by their bytes."""
+    rows = rows.withColumn("at", F.xxhash64("grp", "i", "j"))
+    bins = max(1, math.ceil(weight))
+    tasks = min(bins, 32 * max(8, parallelism(rows.sparkSession)))
+    binned = rows.withColumn("bin", F.pmod("at", F.lit(bins)).cast("int")).drop("grp").repartition(tasks, "bin")
+    return store(thin(binned.groupBy("bin").applyInArrow(_in_blocks(compare), _LINK), name), name)
+
+
+def _settle(members: DataFrame, dealings: int, fetch, compare, weigh, block: int, name: str) -> DataFrame:
+    """Components (node, comp) of the alike members (grp, node, parts: blocks of the group) of each group.
+    Members are compared inside blocks, which are dealt ``dealings`` times where a group has several;
+    then those of groups that are not one component, across blocks. ``fetch`` adds what ``compare``
+    reads, ``weigh`` gives the bins for members."""
+    times = F.when(F.col("parts") > 1, dealings).otherwise(1)
+    dealt = members.withColumn("__r", F.explode(F.sequence(F.lit(1), times)))
+    place = F.pmod(F.xxhash64("node", "grp", "__r"), F.col("parts")).cast("int") + F.col("__r") * F.col("parts")
+    ready = fetch(dealt.select("grp", "node", F.col("node").alias("label"), place.alias("i"), place.alias("j"), place.alias("part")))
+    links = _compared(ready, compare, weigh(members) * dealings, f"{name}-links")
+    labels = components(links, name)
+    told = members.where("parts > 1").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn(
+        "label", F.coalesce("comp", "node")).drop("comp", "__node")
+    mixed = told.groupBy(F.col("grp").alias("__grp")).agg(F.min("label").alias("__low"), F.max("label").alias("__high")).where("__low <> __high")
+    rest = store(told.join(mixed.select("__grp"), F.col("grp") == F.col("__grp"), "left_semi"), f"{name}-rest")
+    if not rest.limit(1).count():
+        return labels
+    # the largest component of a group needs no comparison with itself
+    of_label = rest.groupBy("grp", "label").agg(F.count("node").alias("m"))
+    per = of_label.groupBy("grp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).select(
+        F.col("grp").alias("__grp"), F.col("top.label").alias("__top"), F.ceil(F.col("top.m") / F.lit(block)).cast("int").alias("__main"),
+        F.ceil((F.col("all") - F.col("top.m")) / F.lit(block)).cast("int").alias("__side"))
+    blocks = rest.join(per, F.col("grp") == F.col("__grp")).withColumn("__main", F.greatest("__main", F.least("parts", F.col("__main") + F.col("__side")) - F.col("__side")))
+    main = F.col("label") == F.col("__top")
+    h = F.xxhash64("node", "grp")
+    blocks = blocks.withColumn("part", F.when(main, F.pmod(h, F.col("__main"))).otherwise(F.col("__main") + F.pmod(h, F.col("__side"))).cast("int"))
+    others = F.when(main, F.sequence(F.col("__main"), F.col("__main") + F.col("__side") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("__main") + F.col("__side") - 1))
+    pairs = blocks.withColumn("__other", F.explode(others)).select(
+        "grp", "node", "label", F.least("part", "__other").alias("i"), F.greatest("part", "__other").alias("j"), "part", "parts")
+    new = _compared(fetch(pairs.drop("parts")), compare, weigh(pairs), f"{name}-cross")
+    return components(links.unionAll(new), name) if new.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 80, margin: float = 6.0, block: int = 1024, block_shingles: int = 3_000_000) -> DataFrame:
-    """One row per row of ``docs``: ``rid`` (hash of id and text), ``id_col``, ``n_shingles``,
+    """One row per row of ``docs``: ``rid`` (16-byte name of id and text), ``id_col``, ``n_shingles``,
     ``component_id`` and ``kept``.
 
     Words are runs of non-blank characters with A-Z lower-cased, shingles ``shingle`` consecutive
@@ -258,32 +328,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compares at most two blocks of ``block`` classes, of about ``block_shingles`` shingles each.
     """
     least = floor_of(percent / 100, margin)
-    rid = F.xxhash64(F.col(id_col), F.col(text_col))
+    rid = row_name(id_col, text_col)
     rows = store(docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-                 .mapInArrow(_describe(shingle), "rid long, id long, n long, node binary, sig binary, bands array<long>"), "minhash-rows")
+                 .mapInArrow(_describe(shingle), "rid binary, id long, n long, node binary, sig binary, bands array<long>"), "minhash-rows")
     named = rows.where("node is not null")
     classes = store(named.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("rid").alias("rid"),
                                               F.first("bands").alias("bands")), "minhash-classes")
-    lines = classes.select("node", F.explode("bands").alias("key"))
-    shared = lines.groupBy("key").agg(F.count("node").alias("many")).where("many > 1")
-    buckets = store(lines.join(shared, "key"), "minhash-buckets")
-
-    sketched = buckets.join(classes.select("node", "n", "sig"), "node")
-    edges = _in_blocks(sketched, "key", F.ceil(F.col("many") / F.lit(block)), ["node", "n", "sig"]).groupBy("key", "i", "j").applyInArrow(
-        _families(least, percent / 100), "a binary, b binary").distinct()
-    families = components(edges, "minhash-families")
-
-    # one text of each class that has a family, found by its row hash (the list grows with the corpus:
+    lines = classes.select("node", F.explode("bands").alias("grp"))
+    shared = lines.groupBy("grp").agg(F.count("node").alias("many")).where("many > 1")
+    buckets = store(lines.join(shared, "grp").select("grp", "node", F.ceil(F.col("many") / F.lit(block)).cast("int").alias("parts")),
+                    "minhash-buckets")
+    sketches = classes.select("node", "n", "sig")
+    # bands deal the blocks of copies anew by themselves
+    families = _settle(buckets, 1, lambda w: w.join(sketches, "node"),
+                       _estimated(least, percent / 100), lambda w: w.count() / 4096, block, "minhash-families")
+
+    # one text of each class that has a family, found by its row name (the list grows with the corpus:
     # a merge join at every size)
     own = store(classes.select("node", "rid", "n").join(families, "node"), "minhash-own")
-    sizes = own.groupBy("comp").agg(F.greatest(F.ceil(F.count("node") / F.lit(block)), F.ceil(F.sum("n") / F.lit(block_shingles))).alias("parts"))
+    sizes = own.groupBy("comp").agg(F.greatest(F.ceil(F.count("node") / F.lit(block)), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("parts"))
     texts = docs.select(rid.alias("rid"), F.col(text_col).alias("t")).join(
         own.select(F.col("rid").alias("own_rid"), "node").hint("merge"), F.col("rid") == F.col("own_rid"))
-    sets = texts.dropDuplicates(["rid"]).select("node", "t").mapInArrow(_shingle_sets(shingle), "node binary, set binary")
-    sets = sets.join(own.select("node", "comp").join(sizes, "comp"), "node")
-    links = store(_in_blocks(sets, "comp", F.col("parts"), ["node", "set"]).groupBy("comp", "i", "j").applyInArrow(_links(percent), "a binary, b binary"),
-                  "minhash-links")
-    labels = components(links, "minhash-links")
+    sets = store(texts.dropDuplicates(["rid"]).select("node", "t").mapInArrow(_shingle_sets(shingle), "node binary, n long, set binary"), "minhash-sets")
+    members = store(own.select("node", F.col("comp").alias("grp")).join(sizes.withColumnRenamed("comp", "grp"), "grp"), "minhash-members")
+    shingles = own.select(F.col("node").alias("__n"), F.col("n").alias("__s"))
+    weigh = lambda w: (w.join(shingles, F.col("node") == F.col("__n")).agg(F.sum("__s")).first()[0] or 0) / 500_000
+    labels = _settle(members, 3, lambda w: w.join(sets, "node"), _similar(percent), weigh, block, "minhash-links")
 
     of_node = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "rid")).alias("best")).join(
         labels, "node", "left").select("node", "best", F.coalesce("comp", "node").alias("comp"))
@@ -301,6 +371,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text one counts. Every row without words is kept, whatever its id."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("rid").alias("__kept")).distinct()
     wordy = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    own = docs.where(wordy).withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
+    own = docs.where(wordy).withColumn("__rid", row_name(id_col, text_col))
     own = own.join(kept.hint("merge"), F.col("__rid") == F.col("__kept")).dropDuplicates(["__rid"]).select(*docs.columns)
     return own.unionAll(docs.where(~wordy))

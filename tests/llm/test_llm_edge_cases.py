@@ -396,3 +396,23 @@ def test_pipeline_stages(spark, docs, none, name):
     if name != "sharding":
         assert out.columns == docs.columns and {r.size for r in rows} == {"x"}
     assert stage(spark, none, "/root/testdata/sf0.001").collect() == []
+
+
+def test_links_grow_with_classes(spark, monkeypatch):
+    """Twice the near copies of one text give twice the links that enter the components, not four times."""
+    seen = []
+    monkeypatch.setattr(minhash, "components", lambda links, name: (seen.append(links.count()), graph.components(links, name))[1])
+    counts = []
+    for m in (300, 600):
+        r = random.Random(1)
+        base = words(60, 3).split()
+        rows = []
+        for i in range(m):
+            t = list(base)
+            t[r.randrange(60)] = f"w{i}"
+            rows.append((i, " ".join(t)))
+        seen.clear()
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, block=64)
+        assert out.where("kept").count() < m / 4
+        counts.append(max(seen))
+    assert counts[1] <= 2.2 * counts[0] and counts[1] <= 2 * 600
