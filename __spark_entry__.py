@@ -12,18 +12,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fundscope import oracle
+from fundscope.functions import columns as C
 from fundscope.operators import analysis as A
 from fundscope.operators import cleaning as CL
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
-from fundscope.plans.workload import Tables, driver_files, driver_tables
+from fundscope.plans.workload import Tables, driver_database, driver_files, driver_tables
 from fundscope.schemas import PLEDGE_RAW
 from fundscope.sources.delimited import read_pledge, read_project_info, unreadable_numbers
+from fundscope.sources.country import save_country_dim
 from fundscope.sources.extract import read_extract, write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
+from fundscope.sources.loads import Loaded, load_checked, load_counts
+from fundscope.sources.stored import apply_changes
+from fundscope.streaming.cells import add_batch, stored_cells
 from fundscope.streaming.incremental import load_available
 
 try:  # the training-data operators live in a subpackage that may be left out
@@ -95,6 +101,65 @@ def _growth_rate_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {prefix}growth_rate('BUILDING/1', '1995', '2000') AS growth_rate")
 
 
+def _loads(spark: SparkSession, sf_dir: str) -> dict[str, Loaded]:
+    """The checked loads of the raw files: one pass each, counts and quarantine included."""
+    files, root = driver_files(spark, sf_dir), _t(spark, sf_dir).root
+    return {"pledge": load_checked(spark, files["pledge_lines"], PLEDGE_RAW, f"{root}/checked/pledge", header=False),
+            "project_info": load_checked(spark, files["project_info"], RAW_PROJECT_INFO_FILE, f"{root}/checked/project_info",
+                                         timestamps=("launched",), dates=("deadline",))}
+
+
+def _rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarantined lines, with the folder of the file they came from."""
+    out = _loads(spark, sf_dir)["pledge"].rejected
+    return out.select("line", "field_count", F.element_at(F.split("file", "/"), -2).alias("folder"))
+
+
+def _current_database_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain table names read from the current database; the session's own one is current again after."""
+    before = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase(driver_database(spark, sf_dir))
+    try:
+        return spark.sql("SELECT 'pledge' AS table_name, count(*) AS row_count FROM pledge "
+                         "UNION ALL SELECT 'project_info', count(*) FROM project_info")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def _view(name: str):
+    """A persistent view of the published database."""
+    return lambda s, d: s.table(f"`{driver_database(s, d)}`.`{name}`")
+
+
+def _country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup is stored if absent: a second save changes nothing."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/country_kept"
+    save_country_dim(t.country, path)
+    save_country_dim(t.country.where("countrycode = ''"), path)
+    return spark.read.parquet(path)
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells after three arrivals, the second one delivered twice."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/cells"
+    for batch in (0, 1, 2, 1):
+        add_batch(t.enriched.where(F.pmod("ID", F.lit(3)) == batch), batch, path)
+    return stored_cells(spark, path)
+
+
+def _repair_country_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair as a change of the stored table: only launch years with a repaired project are written."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/project_info_by_year"
+    loaded = CL.null_sentinel(t.project_info)
+    loaded.withColumn("launch_year", F.year("launched_date")).write.mode("overwrite").partitionBy("launch_year").parquet(path)
+    found = CL.repair_currencies(t.project_info, t.pledge)
+    apply_changes(spark, path, "launch_year", "ID", found.select("ID", C.country_from_currency("__currency").alias("country")))
+    return spark.read.parquet(path).select(*loaded.columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # -- set-up: load, scans, counts, keys, dates --------------------------------
@@ -116,6 +181,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_pledge_dirty": lambda s, d: read_pledge(s, driver_files(s, d)["pledge_dirty"]),
         "bad_numbers": lambda s, d: unreadable_numbers(s, driver_files(s, d)["pledge_dirty"], PLEDGE_RAW),
         "stream_load_project_info": _stream_load_project_info,
+        "load_counts": lambda s, d: load_counts(s, _loads(s, d)),
+        "rejected_lines": _rejected_lines,
+        "accepted_lines": lambda s, d: _loads(s, d)["pledge"].rows,
+        "current_database_counts": _current_database_counts,
+        "country_table": _country_table,
         "unparseable_dates": lambda s, d: CL.unparseable_dates(_raw_project_info(s, d)),
         # -- profiling ------------------------------------------------------------------
         "state_frequency": lambda s, d: X.value_frequency(_t(s, d).pledge, "state"),
@@ -137,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # -- cleaning -------------------------------------------------------------------
         "country_repair_preview": lambda s, d: CL.country_repair_preview(_t(s, d).project_info, _t(s, d).pledge),
         "repair_country": lambda s, d: CL.repair_country(_t(s, d).project_info, _t(s, d).pledge),
+        "repair_country_stored": _repair_country_stored,
         "country_currency_counts": lambda s, d: X.country_currency_counts(
             _t(s, d).project_info, _t(s, d).pledge, repair=True),
         "merge_state": lambda s, d: CL.merge_state(_t(s, d).pledge),
@@ -162,6 +233,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_leaderboard_year": lambda s, d: A.category_leaderboard(_success_rate(_t(s, d)), year=1995),
         "category_leaderboard_sql": _category_leaderboard_sql,
         "growth_rate_sql_function": _growth_rate_sql_function,
+        # persistent views of the published database, and rates kept up to date from stored cells
+        "success_rate_view": _view("v_success_rate"),
+        "success_rate_full_view": _view("success_rate_full"),
+        "goal_vs_pledge_view": _view("goal_vs_pledge"),
+        "success_rate_maintained": lambda s, d: V.success_rate_of_cells(_maintained(s, d)),
+        "success_rate_full_maintained": lambda s, d: V.success_rate_full_of_cells(_maintained(s, d)),
     }
     if llm is not None:
         q |= llm.queries()

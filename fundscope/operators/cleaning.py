@@ -5,7 +5,7 @@ Every function returns a new DataFrame; nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -75,6 +75,12 @@ def repair_country(project_info: DataFrame, pledge: DataFrame, sentinel: str = C
     return present.unionByName(fixed)
 
 
+def repair_currencies(project_info: DataFrame, pledge: DataFrame, sentinel: str = C.COUNTRY_SENTINEL) -> DataFrame:
+    """``ID`` and ``__currency``: the smallest currency of each pledged project without a country."""
+    missing = project_info.where(C.country_or_null("country", sentinel).isNull()).select("ID")
+    return pledge.select("ID", "currency").join(missing, "ID", "left_semi").groupBy("ID").agg(F.min("currency").alias("__currency"))
+
+
 def merge_state(pledge: DataFrame) -> DataFrame:
     """Adds ``state_merged``: failed / other / successful (unlisted states kept as they are)."""
     return pledge.withColumn("state_merged", C.merged_state("state"))
@@ -87,15 +93,16 @@ def enrich(project_info: DataFrame, pledge: DataFrame, country: DataFrame,
     ``project_info`` is the loaded table (dates parsed, ``launched_date`` present),
     ``pledge`` the raw pledge table. The country repair is applied inside the one
     project-pledge join: like ``repair_country``, a project has one country, from the smallest
-    currency of its pledges (the window runs on the join's own partitioning and order).
+    currency of its pledges. That is aggregated for projects without a country only, so an ID that is
+    repeated on many pledges is never gathered.
     ``country_code`` is the repaired code and ``country`` the display name (lookup name, else the
     code).
     """
     pi = project_info.select("ID", "main_category", "category", "launched", "launched_date",
                              "deadline", F.col("country").alias("__raw_country"))
     pl = pledge.select("ID", "state", "currency", "usd_goal_real", "usd_pledged_real")
-    one = F.min("currency").over(Window.partitionBy("ID"))
-    j = pi.join(pl, "ID").withColumn("country_code", C.repaired_country("__raw_country", one, sentinel))
+    j = (pi.join(pl, "ID").join(repair_currencies(project_info, pl, sentinel), "ID", "left")
+         .withColumn("country_code", C.repaired_country("__raw_country", "__currency", sentinel)).drop("__currency"))
     lk = country.select(F.col("code").alias("__code"), F.col("countryname").alias("__name"))
     j = lookup_join(j, lk, "country_code", "__code", "left")
     return j.select(

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.joins import global_row_number
+from .cleaning import repair_currencies
 
 
 def preview(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -88,5 +89,6 @@ def country_currency_counts(project_info: DataFrame, pledge: DataFrame, repair:
     the unrepaired table: the repair is then part of the one join)."""
     j = project_info.select("ID", "country").join(pledge.select("ID", "currency"), "ID")
     if repair:
-        j = j.withColumn("country", C.repaired_country("country", F.min("currency").over(Window.partitionBy("ID"))))
+        j = j.join(repair_currencies(project_info, pledge), "ID", "left").withColumn(
+            "country", C.repaired_country("country", "__currency"))
     return j.groupBy("country", "currency").agg(F.count(F.lit(1)).alias("project_count"))

@@ -145,6 +145,16 @@ def _q(body: str) -> str:
     return _BASE + body
 
 
+_REPAIR = _q(
+    "SELECT i.ID, i.main_category, i.category, i.launched, i.deadline, "
+    "CASE WHEN nullif(i.country, '\"N') IS NOT NULL THEN i.country "
+    "WHEN p.n IS NULL THEN NULL "
+    "WHEN p.currency <> 'EUR' THEN substring(p.currency, 1, 2) ELSE 'Unknown' END AS country, "
+    "i.launched_date FROM project_info i "
+    "LEFT JOIN (SELECT ID, min(currency) AS currency, count(*) AS n FROM pledge GROUP BY ID) p "
+    "ON p.ID = i.ID")
+
+
 def statements() -> dict[str, str]:
     yl = "CAST(year(launched_date) AS INTEGER)"
     growth_counts = ("count(CASE WHEN launch_year = 1995 THEN 1 END) AS start_no, "
@@ -190,6 +200,27 @@ def statements() -> dict[str, str]:
         "load_pledge_dirty": _q(
             "SELECT ID, state, currency, CASE WHEN ID % 149 = 0 THEN NULL ELSE usd_goal_real END AS usd_goal_real, "
             "usd_pledged_real FROM pledge"),
+        "load_counts": _q(
+            "SELECT 'pledge' AS table_name, count(*) FILTER (NOT coalesce(bad, false)) AS row_count, count(*) FILTER (bad) AS rejected_count, "
+            "count(*) FILTER (ID IS NULL) AS null_keys, count(*) FILTER (ID % 149 = 0 AND NOT bad) AS bad_numbers, 0::BIGINT AS bad_dates "
+            "FROM (SELECT *, ID % 173 = 0 OR ID % 179 = 0 AS bad FROM pledge) p UNION ALL "
+            "SELECT 'project_info', count(*), 0, count(*) FILTER (ID IS NULL), 0, "
+            "count(*) FILTER (launched IS NOT NULL AND try_strptime(launched, '%d/%m/%Y %H:%M') IS NULL) "
+            "+ count(*) FILTER (deadline IS NOT NULL AND try_strptime(deadline, '%d/%m/%Y') IS NULL) FROM project_info_raw"),
+        "rejected_lines": _q(
+            "SELECT concat_ws(',', ID, state || CASE WHEN ID % 173 = 0 THEN ',extra' WHEN ID % 181 = 0 THEN NULL ELSE '' END, "
+            "CASE WHEN ID % 173 <> 0 AND ID % 181 = 0 THEN 'two' || chr(10) || 'lines' END, currency, "
+            "CASE WHEN ID % 149 = 0 THEN 'n/a' ELSE CAST(usd_goal_real AS VARCHAR) END, "
+            "CASE WHEN ID % 173 = 0 THEN CAST(usd_pledged_real AS VARCHAR) END) AS line, "
+            "CASE WHEN ID % 173 = 0 THEN 6 ELSE 4 END AS field_count, 'pledge_lines' AS folder "
+            "FROM pledge WHERE ID % 173 = 0 OR ID % 179 = 0"),
+        "accepted_lines": _q(
+            "SELECT ID, CASE WHEN ID % 181 = 0 THEN 'two' || chr(10) || 'lines' ELSE state END AS state, currency, "
+            "CASE WHEN ID % 149 = 0 THEN NULL ELSE usd_goal_real END AS usd_goal_real, usd_pledged_real "
+            "FROM pledge WHERE (ID % 173 <> 0 AND ID % 179 <> 0) OR ID IS NULL"),
+        "current_database_counts": _q("SELECT 'pledge' AS table_name, count(*) AS row_count FROM pledge "
+                                      "UNION ALL SELECT 'project_info', count(*) FROM project_info_raw"),
+        "country_table": _q("SELECT * FROM country"),
         # -- profiling -----------------------------------------------------
         "state_frequency": _q("SELECT state, count(state) AS project_count FROM pledge GROUP BY state"),
         "country_frequency": _q("SELECT country, count(country) AS country_count FROM project_info GROUP BY country"),
@@ -218,14 +249,8 @@ def statements() -> dict[str, str]:
             "SELECT nullif(i.country, '\"N') AS country, p.currency, "
             "coalesce(nullif(i.country, '\"N'), substring(p.currency, 1, 2)) AS country_new "
             "FROM pledge p JOIN project_info i ON i.ID = p.ID WHERE nullif(i.country, '\"N') IS NULL"),
-        "repair_country": _q(
-            "SELECT i.ID, i.main_category, i.category, i.launched, i.deadline, "
-            "CASE WHEN nullif(i.country, '\"N') IS NOT NULL THEN i.country "
-            "WHEN p.n IS NULL THEN NULL "
-            "WHEN p.currency <> 'EUR' THEN substring(p.currency, 1, 2) ELSE 'Unknown' END AS country, "
-            "i.launched_date FROM project_info i "
-            "LEFT JOIN (SELECT ID, min(currency) AS currency, count(*) AS n FROM pledge GROUP BY ID) p "
-            "ON p.ID = i.ID"),
+        "repair_country": _REPAIR,
+        "repair_country_stored": _REPAIR,
         "country_currency_counts": _q("SELECT country_code AS country, currency, count(*) AS project_count "
                                       "FROM en GROUP BY country_code, currency"),
         "merge_state": _q("SELECT * FROM pledge_m"),
@@ -274,4 +299,10 @@ def statements() -> dict[str, str]:
         "category_leaderboard_year": _q(leaderboard.format(extra="AND year = 1995 ")),
         "category_leaderboard_sql": _q(leaderboard.format(extra="")),
         "growth_rate_sql_function": _q(growth_one),
+        "success_rate_view": _q("SELECT * FROM v_success_rate"),
+        "success_rate_full_view": _q("SELECT * FROM success_rate_full"),
+        "goal_vs_pledge_view": _q("SELECT ID, country, main_category, state_merged, launched_date, usd_goal_real, "
+                                  "usd_pledged_real FROM en WHERE state_merged <> 'other'"),
+        "success_rate_maintained": _q("SELECT * FROM v_success_rate"),
+        "success_rate_full_maintained": _q("SELECT * FROM success_rate_full"),
     }

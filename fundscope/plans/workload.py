@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.analysis import register_growth_rate_function
 from ..operators.cleaning import enrich, load_project_info, merge_state
-from ..operators.views import register_views
+from ..operators.views import create_views, register_views
 from ..session import checkpoint_root, parallelism, session_key
 from ..sources import fixtures
-from ..sources.delimited import write_delimited
+from ..sources.delimited import LINE_SEP, write_delimited
 
 
 @dataclass(frozen=True)
@@ -112,15 +112,30 @@ BUCKET_BYTES = 128 << 20
 
 
 def _default_buckets(spark: SparkSession, tables: Tables) -> int:
-    """One bucket per ``BUCKET_BYTES`` of the larger table's input files, at least one per task slot."""
+    """One bucket per ``BUCKET_BYTES`` of the larger table's inputs, at least one per task slot. Sizes are those
+    the planner knows of its source relations, not a walk over files."""
     def size(df: DataFrame) -> int:
-        paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
     return max(parallelism(spark), math.ceil(max(size(tables.project_info), size(tables.pledge)) / BUCKET_BYTES))
 
 
+def publish(spark: SparkSession, tables: Tables, database: str) -> dict[str, str]:
+    """The stored workload as a database: catalog tables ``project_info``, ``pledge``, ``country`` and
+    ``enriched`` over its files, and the three persistent views (see ``views.create_views``). Returns
+    name -> qualified name. A later call over another store replaces what the names stand for."""
+    if not tables.root:
+        raise ValueError("only a stored workload can be published (see materialize)")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{tables.root}/{database}.db'")
+    names = {n: f"`{database}`.`{n}`" for n in ("project_info", "pledge", "country", "enriched")}
+    for name, table in names.items():
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{tables.root}/{name}'")
+    spark.sql(f"MSCK REPAIR TABLE {names['enriched']}")
+    return names | create_views(spark, names["enriched"], database)
+
+
 def load_files(spark: SparkSession, project_info: str | list[str], pledge: str | list[str],
                country: str | DataFrame, project_info_schema=None, pledge_schema=None,
                root: str | None = None, buckets: int | None = None, bucketed: bool = True,
@@ -173,10 +188,17 @@ def drop_store(spark: SparkSession, tables: Tables) -> None:
     tag = uuid.uuid5(uuid.NAMESPACE_URL, tables.root).hex[:12]
     for name in ("project_info", "pledge"):
         spark.sql(f"DROP TABLE IF EXISTS fundscope_{tag}_{name}")
+    spark.sql(f"DROP DATABASE IF EXISTS fundscope_{tag} CASCADE")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_stream(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the incremental load of this data folder (its table and checkpoint): the next one loads all files anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{driver_tables(spark, sf_dir).root}/stream")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh: bool = False) -> Tables:
     """The workload over the driver's tables in ``sf_dir`` (see ``sources.fixtures``).
 
@@ -203,6 +225,16 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh
         return t
 
 
+def driver_database(spark: SparkSession, sf_dir: str) -> str:
+    """The database of the driver's stored workload, published on first use."""
+    t = driver_tables(spark, sf_dir)
+    name = f"fundscope_{uuid.uuid5(uuid.NAMESPACE_URL, t.root).hex[:12]}"
+    with _LOCK:
+        if not spark.catalog.databaseExists(name):
+            publish(spark, t, name)
+    return name
+
+
 _FILES: dict[tuple, dict[str, str]] = {}
 
 
@@ -215,10 +247,11 @@ def driver_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         hit = _FILES.get(key)
         if hit is not None:
             return hit
-        out = {name: f"{t.root}/files/{name}" for name in ("project_info", "pledge", "pledge_dirty")}
+        out = {name: f"{t.root}/files/{name}" for name in ("project_info", "pledge", "pledge_dirty", "pledge_lines")}
         write_delimited(t.raw_project_info, out["project_info"])
         write_delimited(t.pledge, out["pledge"])
         write_delimited(fixtures.with_bad_numbers(t.pledge), out["pledge_dirty"])
+        fixtures.broken_lines(t.pledge).write.mode("overwrite").option("lineSep", LINE_SEP).text(out["pledge_lines"])
         _FILES[key] = out
         return out
 

@@ -43,6 +43,7 @@ NULL_PROJECT_EVERY, NULL_PLEDGE_EVERY = 401, 409  # -> one more row with a NULL
 DASHED_DATE_EVERY, EMPTY_DATE_EVERY, EMPTY_TEXT_EVERY = 131, 137, 139
 PART_CENT_EVERY, PART_CENT = 53, "0.004"  # goal with parts of a cent
 BAD_NUMBER_EVERY = 149      # in the dirty pledge file: the goal is no number
+EXTRA_FIELD_EVERY, CUT_LINE_EVERY, LINE_FEED_EVERY = 173, 179, 181  # in the file of broken lines
 # ---------------------------------------------------------------------------
 
 
@@ -159,3 +160,14 @@ def with_bad_numbers(pledge: DataFrame) -> DataFrame:
     """The pledge rows as they would be in a dirty file: some goals are no number."""
     bad = F.col("ID") % BAD_NUMBER_EVERY == 0
     return pledge.withColumn("usd_goal_real", F.when(bad, F.lit("n/a")).otherwise(F.col("usd_goal_real").cast("string")))
+
+
+def broken_lines(pledge: DataFrame) -> DataFrame:
+    """The dirty pledge rows as lines (``value``): some have a separator inside the state, some lack the last field,
+    some hold a lone line feed in a text."""
+    d, null = with_bad_numbers(pledge), F.lit("\\N")
+    extra, cut, feed = (F.coalesce(F.col("ID") % n == 0, F.lit(False)) for n in (EXTRA_FIELD_EVERY, CUT_LINE_EVERY, LINE_FEED_EVERY))
+    state = F.when(extra, F.concat("state", F.lit(",extra"))).when(feed, "two\nlines").otherwise(F.col("state"))
+    text = [F.coalesce(c.cast("string"), null) for c in (F.col("ID"), state, F.col("currency"), F.col("usd_goal_real"))]
+    last = F.when(cut & ~extra, F.lit(None)).otherwise(F.coalesce(F.col("usd_pledged_real").cast("string"), null))
+    return d.select(F.concat_ws(",", *text, last).alias("value"))

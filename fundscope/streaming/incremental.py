@@ -21,17 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.delimited import _LINE, NULL, split_lines
+from ..sources.delimited import LINE_SEP, NULL, read_lines, split_lines
 
 
 def read_delimited_stream(spark: SparkSession, folder: str, schema: T.StructType, sep: str = ",",
                           header: bool = True, null_value: str = NULL,
-                          max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of delimited files with a declared schema and quoting off."""
-    r = spark.readStream.schema("line string").options(**_LINE | {"header": header, "quote": ""})
+                          max_files_per_trigger: int | None = None, line_sep: str = LINE_SEP,
+                          header_line: str | None = None) -> DataFrame:
+    """Streaming read of delimited files with a declared schema and quoting off. ``header_line``: how
+    the header of the files reads, by default the names of the schema."""
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(folder).select(*split_lines(F.col("line"), schema, sep, null_value))
+    head = (header_line or sep.join(schema.names)) if header else None
+    return read_lines(r, folder, head, line_sep).where("line <> ''").select(*split_lines(F.col("line"), schema, sep, null_value))
 
 
 def start_incremental_load(spark: SparkSession, folder: str, schema: T.StructType, target: str,
