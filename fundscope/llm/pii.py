@@ -19,7 +19,9 @@ a logistic span classifier is trained. The second pass applies it and adds the c
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ from pyspark.sql import types as T
 from fundscope.llm.linear import logistic, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
+#: The fixed patterns, in forms that look at a character a bounded number of times: an address is found
+#: from its @ (``_emails``); the first number of an IP takes whole runs of digits, which start where no digit is before.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LOOSE = {
     "email": re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?:\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]+"
                         r"(?:\s?(?:\.|\(dot\)|\[dot\]| dot )\s?[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)"),
@@ -43,7 +48,7 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ./-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?|00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
 }
-AT = re.compile(r"@|\(at\)|\[at\]| at [A-Za-z0-9-]+ dot ")
+AT = re.compile(r"@|\(at\)|\[at\]| at (?=[A-Za-z0-9-]++ dot )")
 DIGITS = re.compile(r"[0-9]")
 #: Top-level domains, issuer prefixes, calling codes, telling words.
 DOMAINS = frozenset("com org net edu gov info biz io co de fr es it nl uk us eu ch at be pl se no dk fi pt ru cn jp in br au ca mx".split())
@@ -73,7 +78,7 @@ def luhn(number: str) -> bool:
 
 def _holds(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in found.split("."))
     if kind == "card":
         number = digits_of(found)
         return 13 <= len(number) <= 19 and luhn(number)
@@ -87,10 +92,53 @@ def _kinds_in(text: str) -> tuple[str, ...]:
     return ("email",) * bool(AT.search(text)) + (("ip", "card", "phone") if DIGITS.search(text) else ())
 
 
+def _back(text: str, end: int, least: int) -> int:
+    """Where the run of address characters that ends at ``end`` starts, not before ``least``. Runs end at the
+    marks (@ and brackets are none of the characters), so all walks together pass a text about once."""
+    while end > least and text[end - 1] in LOCAL:
+        end -= 1
+    return end
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost, not overlapping."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = _back(text, at, last)
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            last = found.end()
+            out.append((start, last))
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
+def _loose_emails(text: str):
+    """Matches of the loose pattern, tried from the run of characters before each mark. Text between two marks
+    is walked once: a walk stops at the end of the match before."""
+    last = 0
+    for mark in AT.finditer(text):
+        end = mark.start()
+        end -= mark.group() != " at " and end > last and text[end - 1].isspace()
+        start = max(_back(text, end, last), last)
+        gap = text.rfind("..", start, end)
+        start = gap + 2 if gap >= 0 else start
+        while start < end and text[start] == ".":
+            start += 1
+        found = LOOSE["email"].match(text, start) if start < end else None
+        if found and found.end() > mark.start():
+            last = found.end()
+            yield found.span()
+
+
+def _matches(kind: str, text: str) -> list[tuple[int, int]]:
+    return _emails(text) if kind == "email" else [m.span() for m in BASE[kind].finditer(text)]
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind, then start; code points."""
     text = text or ""
-    return [(k, m.start(), m.end()) for k in _kinds_in(text) for m in BASE[k].finditer(text) if _holds(k, m.group())]
+    return [(k, s, e) for k in _kinds_in(text) for s, e in _matches(k, text) if _holds(k, text[s:e])]
 
 
 def _votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[str, str]:
@@ -120,11 +168,13 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     text = text or ""
     base = base_spans(text)
     out = [(k, s, e, True, *_votes(k, text, s, e, True)) for k, s, e in base]
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     for k in _kinds_in(text):
         last = 0
-        for m in LOOSE[k].finditer(text):
-            s, e = m.span()
-            if s >= last and not any(s < f and b < e for _, b, f in base):
+        for s, e in _loose_emails(text) if k == "email" else (m.span() for m in LOOSE[k].finditer(text)):
+            before = bisect_left(starts, e)  # base spans that start before the end: none may reach beyond the start
+            if s >= last and not (before and reach[before - 1] > s):
                 out.append((k, s, e, False, *_votes(k, text, s, e, False)))
                 last = e
     return out
