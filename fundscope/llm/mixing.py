@@ -6,15 +6,18 @@ their excess goes to the others in proportion to the weights, until none is abov
 the sources in the order of cap / weight that level follows from running sums, so no loop is
 needed.
 
-A source whose target is ``e`` times its size has every row ``floor(e)`` times, and one time more
-the rows that come first in a seeded order while they stay within the remaining words, and the one
-further row that fills the rest best. The order is ``md5(seed:key)``: reruns agree.
+A source whose target is ``e`` times its size has every row ``floor(e)`` times. The remaining words are
+filled in a seeded order, ``md5(seed:key:text)``: a row is taken once more if it fits into what is left when its
+turn comes, so a long row that doesn't fit blocks none behind it, and in the end every row not taken is longer than the rest.
+Then one more row is taken, or one taken row is exchanged for another, whichever brings the sum nearest to
+the target. Reruns agree.
 
 Only DataFrame functions. Texts are never shuffled: rows are measured where they are read, into a
-narrow table (source, digest, size). Its sizes are summed per source and leading digits of the
-digest (a source holding a third of all rows is 4096 cells, pre-aggregated on the map side), and
-only the one cell per source that holds the border is ordered row by row. What comes back to the
-texts is one line per source.
+narrow table (source, digest, size). The order is walked in rounds, each up to the first row that doesn't
+fit; rows longer than the rest are out from then on, so the rest falls by about half in a round or two. A round sums sizes per
+source and leading digits of the digest (a source holding a third of all rows is 4096 cells,
+pre-aggregated on the map side), and only the one cell per source that holds the border is ordered row by row. What
+comes back to the texts is one line per source, with the borders of its rounds.
 """
 
 from __future__ import annotations
@@ -70,13 +73,14 @@ def mix(df: DataFrame, key_cols: Sequence[str], text_col: str = "text", source_c
     """Every row of ``df`` with ``size``, ``source_size``, ``target`` and ``repeats`` (int, 0 to
     ``max_epochs``); a clash with input columns of these names replaces them.
 
-    A null source is a source of its own; null or empty texts have size 0 and count as taken
-    without adding words; rows with equal keys share one decision; an empty table stays empty.
+    A null source is a source of its own; null or empty texts have size 0, add no words and are never
+    taken beyond the whole repetitions; rows with equal keys, null ones too, differ by their texts, and rows equal in both
+    share one decision; an empty table stays empty.
     """
     own = ("size", "source_size", "target", "repeats")
     base = df.drop(*[c for c in own if c != source_col and c != text_col])
-    order = F.md5(F.concat_ws("\u0001", F.lit(seed), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-                                                     for c in key_cols]))
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    order = F.md5(F.concat_ws("\u0001", F.lit(seed), *[told(F.col(c).cast("string")) for c in key_cols], told(F.md5(F.col(text_col).cast("binary")))))
     # the leading digits name the cell, so cells follow the order of the digests
     digits = max(1, (cells - 1).bit_length() // 4)
     rows = store(base.select(F.col(source_col).alias("source"), order.alias("h"), word_count(F.col(text_col)).alias("size"))
@@ -89,32 +93,60 @@ def mix(df: DataFrame, key_cols: Sequence[str], text_col: str = "text", source_c
         .otherwise(0).cast("int")).withColumn("part", F.col("target") - F.col("whole") * F.col("size"))
     plan = store(filled.select("source", F.col("size").alias("source_size"), "target", "whole", "part"), "mix-plan")
 
-    # the cell of each source in which the running sum passes the remaining words
+    same = lambda c: F.col("source").eqNullSafe(F.col(c))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    border = store(per_cell.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-                   .join(plan, per_cell["source"].eqNullSafe(plan["source"]))
-                   .where((F.col("before") <= F.col("part")) & (F.col("before") + F.col("size") > F.col("part")))
-                   .select(per_cell["source"].alias("b_source"), F.col("cell").alias("b_cell"), "before", "part"), "mix-border")
     run = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    last = (rows.join(border, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("cell") == F.col("b_cell")))
-            .withColumn("upto", F.col("before") + F.sum("size").over(run)).where(F.col("upto") <= F.col("part"))
-            .groupBy(F.col("source").alias("l_source")).agg(F.max("h").alias("h"), F.max("upto").alias("upto")))
-    # without such a row, all cells before the border cell are in, and none of its rows
-    edge = store(border.join(last, F.col("b_source").eqNullSafe(F.col("l_source")), "left").select(
-        "b_source", F.coalesce("h", "b_cell").alias("cut"),
-        (F.col("part") - F.coalesce("upto", "before")).alias("left")), "mix-edge")
-    # one of the remaining rows fills what is left: the one whose size comes nearest, if that helps
-    off = F.abs(F.col("size") - F.col("left"))
-    fill = (rows.join(edge, F.col("source").eqNullSafe(F.col("b_source"))).where((F.col("h") > F.col("cut")) & (off < F.col("left")))
-            .groupBy(F.col("source").alias("f_source")).agg(F.min(F.struct(off.alias("off"), "h")).alias("f")))
-    cuts = store(plan.join(edge, F.col("source").eqNullSafe(F.col("b_source")), "left")
-                 .join(fill, F.col("source").eqNullSafe(F.col("f_source")), "left")
+    at = plan.select(F.col("source").alias("s"), F.lit("").alias("cut"), F.col("part").alias("left"))
+    rounds = []
+    while True:  # each round: rows behind the cut that are not longer than the rest, up to the first that doesn't fit
+        fitting = rows.join(at, same("s")).where((F.col("h") > F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+        sums = fitting.groupBy("source", "cell").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+        sums = sums.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+        border = sums.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))).select(
+            F.col("source").alias("b_source"), F.col("cell").alias("b_cell"), F.col("before").alias("b_before"))
+        inside = (fitting.join(border, same("b_source") & (F.col("cell") == F.col("b_cell"))).withColumn("upto", F.col("b_before") + F.sum("size").over(run))
+                  .where(F.col("upto") <= F.col("left")).groupBy(F.col("source").alias("l_source")).agg(F.max("h").alias("h"), F.max("upto").alias("upto")))
+        # without a border all fitting rows are in; without a row of the border cell, all cells before it
+        every = sums.groupBy("source").agg(F.sum("size").alias("all"), F.first("left").alias("left"))
+        step = every.join(border, same("b_source"), "left").join(inside, same("l_source"), "left").select(
+            F.col("source").alias("s"), F.when(F.col("b_cell").isNull(), "~").otherwise(F.coalesce("h", "b_cell")).alias("to"),
+            (F.col("left") - F.when(F.col("b_cell").isNull(), F.col("all")).otherwise(F.coalesce("upto", "b_before"))).alias("rest"))
+        done = store(step.join(at.select(F.col("s").alias("a_s"), F.col("cut").alias("from"), "left"), F.col("s").eqNullSafe(F.col("a_s"))).select(
+            "s", "from", "to", "left", "rest"), "mix-round")
+        if not done.limit(1).count():
+            break
+        rounds.append(done)
+        at = done.select("s", F.col("to").alias("cut"), F.col("rest").alias("left"))
+    walked = plan.select(F.col("source").alias("s"), F.lit("").alias("from"), F.lit("").alias("to"), F.col("part").alias("left"), F.col("part").alias("rest"))
+    for done in rounds:
+        walked = walked.unionByName(done)
+    edge = store(walked.groupBy("s").agg(F.collect_list(F.struct("from", "to", "left")).alias("steps"), F.min("rest").alias("rest")), "mix-edge")
+    taken = F.exists("steps", lambda r: (F.col("h") > r["from"]) & (F.col("h") <= r["to"]) & (F.col("size") > 0) & (F.col("size") <= r["left"]))
+    # what brings the sum nearer: one more row, or another row for a taken one (sizes stand for their first rows)
+    sizes = store(rows.where("size > 0").join(edge, same("s")).groupBy("source", "size", taken.alias("in")).agg(
+        F.min("h").alias("h"), F.first("rest").alias("rest")), "mix-sizes")
+    out = sizes.where(~F.col("in"))
+    add = out.select("source", F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), F.lit(0).alias("kind"), "size", F.lit(0).cast("long").alias("gone"),
+                                        "h", F.lit(None).cast("string").alias("away")).alias("best"))
+    marks = sizes.select("source", "rest", "size", "h", "in", F.when(F.col("in"), F.col("size").cast("double")).otherwise(F.col("size") - F.col("rest")).alias("v"))
+    near = Window.partitionBy("source").orderBy("v", F.desc("in"))
+    given = F.when(F.col("in"), F.struct("size", "h"))
+    sides = marks.select("*", F.last(given, True).over(near.rowsBetween(Window.unboundedPreceding, 0)).alias("low"),
+                         F.first(given, True).over(near.rowsBetween(0, Window.unboundedFollowing)).alias("high")).where(~F.col("in"))
+    swap = sides.select("*", F.explode(F.array("low", "high")).alias("t")).where("t is not null and t.size < size").select(
+        "source", F.struct(F.abs(F.col("size") - F.col("t.size") - F.col("rest")).alias("off"), F.lit(1).alias("kind"), "size", F.col("t.size").alias("gone"),
+                           "h", F.col("t.h").alias("away")).alias("best"))
+    fill = add.unionByName(swap).groupBy(F.col("source").alias("f_source")).agg(F.min("best").alias("f"))
+    cuts = store(plan.join(edge, same("s")).join(fill, same("f_source"), "left").withColumn("f", F.when(F.col("f.off") < F.col("rest"), F.col("f")))
                  .select(*[F.col(c).alias(f"__mix_{n}") for c, n in (("source", "source"), ("source_size", "size"), ("target", "target"),
-                                                                     ("whole", "whole"), ("cut", "cut"), ("f.h", "filler"))]), "mix-cuts")
+                                                                     ("whole", "whole"), ("steps", "steps"), ("f.h", "filler"), ("f.away", "away"))]), "mix-cuts")
     # the stored table has a known size: Spark broadcasts it below its threshold and joins by key above
-    extra = F.when((order <= F.col("__mix_cut")) | (order == F.col("__mix_filler")), 1).otherwise(0)
-    return base.join(cuts, F.col(source_col).eqNullSafe(F.col("__mix_source"))).select(
-        *[c for c in base.columns if c != "size"], word_count(F.col(text_col)).alias("size"), F.col("__mix_size").alias("source_size"),
+    measured = base.withColumns({"__mix_h": order, "__mix_n": word_count(F.col(text_col))})
+    h, n = F.col("__mix_h"), F.col("__mix_n")
+    taken = F.exists("__mix_steps", lambda r: (h > r["from"]) & (h <= r["to"]) & (n > 0) & (n <= r["left"]))
+    extra = F.when(h == F.col("__mix_away"), 0).when(taken | (h == F.col("__mix_filler")), 1).otherwise(0)
+    return measured.join(cuts, F.col(source_col).eqNullSafe(F.col("__mix_source"))).select(
+        *[c for c in base.columns if c != "size"], n.alias("size"), F.col("__mix_size").alias("source_size"),
         F.col("__mix_target").alias("target"), F.least(F.col("__mix_whole") + extra, F.lit(max_epochs)).cast("int").alias("repeats"))
 
 

@@ -79,7 +79,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+    out = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+    return out.withColumn("score", F.col("score").try_cast("long"))  # a sum beyond long: null, in its true rank
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +262,8 @@ s AS (
 SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, kids AS n_children, n_leaves, saved_tokens, v.ends_sha256
 FROM v JOIN s ON s.up = v.path LEFT JOIN n u ON v.d > 0 AND u.path = v.path[1:v.d - 1]""",
     "op4_mixing": rf"""
-WITH d AS (
-  SELECT doc_id, source, md5('mix' || chr(1) || coalesce('=' || doc_id, '-')) AS h,
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5('mix' || chr(1) || coalesce('=' || doc_id, '-') || chr(1) || coalesce('=' || md5(text), '-')) AS h,
          coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -278,13 +279,25 @@ t AS (
          ELSE l.rest::DOUBLE * weight::DOUBLE / l.share::DOUBLE END AS target FROM w LEFT JOIN l ON true),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM t),
+x AS (SELECT source, h, sum(size)::BIGINT AS size, row_number() OVER (PARTITION BY source ORDER BY h) AS i FROM d GROUP BY source, h),
+y AS (  -- rows in order, each taken if it fits into what is left
+  SELECT source, 0::BIGINT AS i, target - whole * source_size AS rest, NULL::VARCHAR AS h, false AS taken FROM p
+  UNION ALL
+  SELECT x.source, x.i, CASE WHEN x.size <= y.rest THEN y.rest - x.size ELSE y.rest END, x.h, x.size > 0 AND x.size <= y.rest
+  FROM y JOIN x ON x.source IS NOT DISTINCT FROM y.source AND x.i = y.i + 1),
+e AS (SELECT source, min(rest) AS missing FROM y GROUP BY source),
 g AS (
-  SELECT d.*, source_size, target, whole, target - whole * source_size AS part,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-e AS (SELECT source, any_value(part) - coalesce(max(upto) FILTER (upto <= part), 0) AS missing FROM g GROUP BY source),
-f AS (
-  SELECT g.source, arg_min(h, (abs(size - missing), h)) AS fh FROM g JOIN e ON g.source IS NOT DISTINCT FROM e.source
-  WHERE upto > part AND abs(size - missing) < missing GROUP BY g.source)
-SELECT doc_id, size, source_size, target, (size * least(3, whole + CASE WHEN upto <= part AND part > 0 OR g.h = f.fh THEN 1 ELSE 0 END))::BIGINT AS taken
+  SELECT d.*, source_size, target, whole, missing, coalesce(y.taken, false) AS taken
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.h = y.h),
+z AS (SELECT x.source, x.size, y.taken, min(x.h) AS h, any_value(missing) AS missing
+      FROM x JOIN y ON x.source IS NOT DISTINCT FROM y.source AND x.h = y.h JOIN e ON x.source IS NOT DISTINCT FROM e.source WHERE x.size > 0 GROUP BY ALL),
+b AS (
+  SELECT source, abs(size - missing) AS off, 0 AS kind, size, 0 AS gone, h, NULL::VARCHAR AS away, missing FROM z WHERE NOT taken
+  UNION ALL SELECT u.source, abs(u.size - t.size - u.missing), 1, u.size, t.size, u.h, t.h, u.missing
+  FROM z u JOIN z t ON u.source IS NOT DISTINCT FROM t.source AND NOT u.taken AND t.taken AND t.size < u.size),
+f AS (SELECT * FROM b WHERE off < missing QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, kind, size, gone) = 1)
+SELECT doc_id, g.size, source_size, target,
+       (g.size * least(3, whole + CASE WHEN g.h = f.away THEN 0 WHEN g.taken OR g.h = f.h THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM g LEFT JOIN f ON g.source IS NOT DISTINCT FROM f.source""",
 }

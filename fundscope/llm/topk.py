@@ -18,6 +18,7 @@ third of all rows share is cut down before the shuffle.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,24 @@ from pyspark.sql import functions as F
 
 from fundscope.llm.common import store
 
-LIMIT = float(2**31)
-
-
 def quantise(vector: Column, scale: int = 1024) -> Column:
     """floor(scale * x) of each component as long, null where the vector is null or has a null or
-    non-finite component. Products beyond 2^31 are cut to it, so sums of products stay defined."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(
-        F.greatest(F.least(v * scale, F.lit(LIMIT)), F.lit(-LIMIT))).cast("long")))
+    non-finite component, or one whose product is not below 2^62 in size."""
+    x = F.transform(vector, lambda v: v.cast("double") * scale)
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= float(2**62)))
+    return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v).cast("long")))
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` that can be among the k best of ``q`` and their exact inner products as Python
+    integers: products in doubles choose them, with the bound of their rounding as a margin."""
+    near = x.astype(np.float64) @ q.astype(np.float64)
+    if len(near) > k:
+        off = 4 * (len(q) + 2) * np.finfo(float).eps * float(np.abs(x.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).sum())
+        rows = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * off)
+    else:
+        rows = np.arange(len(near))
+    return rows, x[rows].astype(object) @ q.astype(object)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -61,10 +70,11 @@ def _extra(x: np.ndarray, top: float) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
           scale: int = 1024, pivots: int = 64, query_block: int = 2048, data_block: int = 16384) -> DataFrame:
-    """query_id, rank (int, from 1), ``id_col`` and score (long) of the k best rows of every query.
+    """query_id, rank (int, from 1), ``id_col`` and score (decimal(38,0)) of the k best rows of every query.
 
-    Scores are inner products of the quantised vectors, ties go to the smaller id. Rows without an
-    id or a valid vector take no part. Rows with the query's id are its own and no candidates; rows
+    Scores are exact inner products of the quantised vectors, ties go to the smaller id; sums
+    beyond a long rank by their true value. Ids are whole numbers; rows without an id or a
+    valid vector (see ``quantise``) take no part. Rows with the query's id are its own and no candidates; rows
     that repeat id and vector count once. Vectors of unequal length compare as if the shorter ended
     in zeros. A table without queries or candidates gives no rows. Other columns are ignored.
     """
@@ -74,15 +84,15 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     among = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     data = store(rows.select("id", "v", among.alias("n")).where(F.col("n") <= k + 1).dropDuplicates(["v", "id"]).drop("n"), "topk-rows")
     asked = store(rows.where("q").select("id", "v").dropDuplicates(["id", "v"]), "topk-queries")
-    schema = f"query_id long, rank int, {id_col} long, score long"
+    schema = f"query_id long, rank int, {id_col} long, score decimal(38,0)"
 
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, dim, top, far = data.agg(F.count("id"), F.max(F.size("v")), F.max(norm), F.max(F.array_max(F.transform("v", F.abs)))).first()
     n_asked, far_q, dim_q = asked.agg(F.count("id"), F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     if not n or not n_asked:
         return spark.createDataFrame([], schema)
     dim = max(dim, dim_q)
-    exact = dim * float(far or 0) * float(far_q or 0) < 2**53  # then float products are exact
+    reach = dim * float(far or 0) * float(far_q or 0)  # below 2^53 products in doubles are exact, below 2^62 those in longs
     chosen = data.orderBy(F.xxhash64("v"), "id").limit(pivots).select("v").collect()
     p = np.zeros((len(chosen), dim))
     for i, r in enumerate(chosen):
@@ -151,26 +161,30 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     def solve(_, mine, theirs):
         q, x = _matrix(mine.column("v"), dim), _matrix(theirs.column("v"), dim)
-        if exact:
+        if reach < 2**53:
             q, x = q.astype(np.float64), x.astype(np.float64)
         q_ids, ids = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         out = [[], [], []]
         for a in range(0, len(q), 64):
-            score = (q[a:a + 64] @ x.T).astype(np.int64)
-            for i, s in enumerate(score, a):
-                other = np.flatnonzero(ids != q_ids[i])
-                s = s[other]
+            if reach < 2**62:
+                scored = ((np.arange(len(x)), s) for s in (q[a:a + 64] @ x.T).astype(np.int64))
+            else:  # one more than k: the query's own row may be among them
+                scored = (exact_scores(v, x, k + int((ids == q_ids[i]).sum())) for i, v in enumerate(q[a:a + 64], a))
+            for i, (rows, s) in enumerate(scored, a):
+                other = np.flatnonzero(ids[rows] != q_ids[i])
+                rows, s = rows[other], s[other]
                 if len(s) > k:
                     bar = np.partition(s, len(s) - k)[len(s) - k]
                     keep = np.concatenate([np.flatnonzero(s > bar), np.flatnonzero(s == bar)])[:k]  # ids rise: ties to the smaller
                 else:
                     keep = np.arange(len(s))
                 out[0].append(np.full(len(keep), q_ids[i]))
-                out[1].append(ids[other[keep]])
+                out[1].append(ids[rows[keep]])
                 out[2].append(s[keep])
-        return pa.table([np.concatenate(c) if c else np.empty(0, np.int64) for c in out], names=["query_id", "vec_id", "score"])
+        scores = pa.array([Decimal(v) for v in (np.concatenate(out[2]).tolist() if out[2] else [])], pa.decimal128(38, 0))
+        return pa.table([*(np.concatenate(c) if c else np.empty(0, np.int64) for c in out[:2]), scores], names=["query_id", "vec_id", "score"])
 
     per_cell = F.lit(None).cast("array<int>")
     for c, own in parts.items():
@@ -178,6 +192,6 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     sides = asked.select(F.element_at(per_cell, F.pmod(F.xxhash64("id", "v"), F.size(per_cell)).cast("int") + 1).alias("g"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "id", "v")
     best = (sides.groupBy("g", "b").cogroup(data.mapInArrow(send, "g int, b int, id long, v array<long>").groupBy("g", "b"))
-            .applyInArrow(solve, "query_id long, vec_id long, score long"))
+            .applyInArrow(solve, "query_id long, vec_id long, score decimal(38,0)"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return best.select("query_id", rank.alias("rank"), F.col("vec_id").alias(id_col), "score").where(F.col("rank") <= k)

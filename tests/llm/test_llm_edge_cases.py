@@ -416,3 +416,91 @@ def test_links_grow_with_classes(spark, monkeypatch):
         assert out.where("kept").count() < m / 4
         counts.append(max(seen))
     assert counts[1] <= 2.2 * counts[0] and counts[1] <= 2 * 600
+
+
+def test_mixing_meets_targets_beside_long_rows_and_null_ids(spark):
+    """One document larger than the target, and rows without ids: neither blocks the others."""
+    rows = [(1, words(20_000, 1), "a")] + [(i, words(20, i), "a") for i in range(2, 900)] + [(None, words(15, i), "b") for i in range(4000)]
+    rows += [(None, None, "b"), (None, "", "c"), (5000, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, ["doc_id"], weights=(1, 10, 1), max_epochs=3)
+    by = {r.source: r for r in got.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("taken"), F.first("target").alias("target"),
+                                                         F.max("repeats").alias("top")).collect()}
+    assert all(abs(by[s].taken - by[s].target) <= 20 for s in "ab") and 5000 < by["a"].target < 17_000
+    assert by["c"].target == 0 and by["c"].taken == 0 and max(r.top for r in by.values()) <= 3
+    assert 0 < got.where("doc_id is null and source = 'b' and repeats = 2").count() < 4000
+
+
+def test_topk_scores_beyond_31_and_63_bits(spark):
+    schema = "vec_id long, embedding array<double>"
+    top = lambda rows, k=3: [(r.query_id, r.rank, r.vec_id, int(r.score)) for r in topk.top_k(
+        spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0, k=k).orderBy("query_id", "rank").collect()]
+    assert top([(100, [1.0]), (1, [3e6]), (2, [4e6])]) == [(100, 1, 2, 4096000000 * 1024), (100, 2, 1, 3072000000 * 1024)]
+    big = top([(100, [2e6] * 3), (1, [2e6] * 3), (2, [1.0] * 3), (3, [-2e6] * 3)])
+    assert [r[2] for r in big] == [1, 2, 3] and big[0][3] == 3 * 2048000000**2 == -big[2][3]
+    r = random.Random(3)
+    rows = [(i, [r.choice([1.0, 1e3, 1e8]) * r.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(7, [2.0**55] * 8), (8, [1e30] * 8)]
+    x = [(i, [int(1024 * v // 1) for v in e]) for i, e in rows if max(map(abs, e)) < 2.0**52 or i != 8]
+    want = []
+    for q, v in x:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in x if i != q and max(map(abs, w)) < 2**62)[:10]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(top([p for p in rows if p != rows[-1]], 10)) == sorted(want) and top(rows, 10) == sorted(want)
+
+
+PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+         ("card", r"[0-9](?:[ -]?[0-9])+"), ("phone", r"\+[0-9][ ().0-9-]+[0-9]")]
+
+
+def test_personal_data_scans_equal_the_plain_patterns():
+    import re
+
+    r = random.Random(8)
+    for alphabet in ("a1@.", "1.2 -+", "ab.@-1 %+()0", "0123456789. +-", "a@.b-\n"):
+        for _ in range(3000):
+            text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 40)))
+            for kind, plain in PLAIN:
+                assert pii._matches(kind, text) == [m.span() for m in re.finditer(plain, text)], (kind, text)
+
+
+def test_personal_data_takes_linear_time():
+    import time
+
+    for unit in ("a", "7", "a.", "1.", "x@", "7 ", "a@b", "+1 ", "1.1.1 ", " at x"):
+        text = unit * (1_000_000 // len(unit)) + " me@example.org 10.0.0.1"
+        start = time.perf_counter()
+        found = pii.base_spans(text)
+        pii.candidates(text[:200_000])
+        assert time.perf_counter() - start < 20, unit
+        assert any(k == "email" for k, _, _ in found)
+
+
+def test_personal_data_recall_and_precision_of_added_spans(spark):
+    """Loose forms planted beside base forms and beside numbers that are none."""
+    r = random.Random(11)
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    num = lambda n: "".join(r.choice("123456789") for _ in range(n))
+
+    def card(sep):
+        while True:
+            d = "4" + num(15)
+            if pii.luhn(d):
+                return sep.join(d[i:i + 4] for i in range(0, 16, 4))
+
+    ip = lambda sep: sep.join(str(r.randrange(20, 255)) for _ in range(4))
+    made, rows = {}, []
+    for i in range(600):
+        loose = {"email": f"{name()} (at) {name()} (dot) com", "ip": ip("[.]"), "card": card("."), "phone": f"({num(3)}) {num(3)}-{num(4)}"}
+        base = {"email": f"{name()}@{name()}.org", "ip": ip("."), "card": card(" "), "phone": f"+1 ({num(3)}) {num(3)}-{num(4)}"}
+        k = r.choice(list(loose))
+        lead = {"email": "mail", "ip": "server", "card": "card", "phone": "call"}[k]
+        given = (loose if i % 2 else base)[k]
+        text = f"{words(8, i)} {lead} {given} {words(5, i + 9000)} version {num(2)}.{num(1)} order {num(7)}"
+        made[i] = (k, text.index(given), text.index(given) + len(given), bool(i % 2))
+        rows.append((i, text))
+    got = {x.doc_id: x.pii_spans for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = [(i, s.kind, s.start, s.end) for i, spans in got.items() for s in spans if not s.base]
+    planted = {(i, k, s, e) for i, (k, s, e, loose) in made.items() if loose}
+    print("recall", len(planted & set(added)) / len(planted), "precision", len(planted & set(added)) / max(1, len(added)))
+    assert len(planted & set(added)) >= 0.9 * len(planted) and len(planted & set(added)) >= 0.9 * len(added)

@@ -171,17 +171,24 @@ def test_pipeline_equals_plain_version(spark, duck):
     kept = {r[0]: r for r in rows}
     times = Counter(r.doc_id for r in got)
     assert all(tuple(r[:5]) == kept[r.doc_id] for r in got)
-    for s in names:  # whole repetitions, then rows in seeded order within the rest, then the row that fits best
-        mine = sorted((hashlib.md5(f"mix\x01={i}".encode()).hexdigest(), i) for i, r in kept.items() if r[3] == s)
+    for s in names:  # whole repetitions, then rows in seeded order that fit into the rest, then the row that fits best
+        digest = lambda i: hashlib.md5(f"mix\x01={i}\x01={hashlib.md5(kept[i][1].encode()).hexdigest()}".encode()).hexdigest()
+        mine = sorted((digest(i), i) for i, r in kept.items() if r[3] == s)
         whole = min(3, int(target[s] // own[s])) if own[s] else 0
-        part, run, want = target[s] - whole * own[s], 0, {}
+        rest, want = target[s] - whole * own[s], {}
         for h, i in mine:
-            run += size[i]
-            want[i] = whole + (part > 0 and run <= part)
-        missing = part - max([0, *(n for n in np.cumsum([size[i] for _, i in mine]) if n <= part)])
-        fits = [(abs(size[i] - missing), h, i) for h, i in mine if want[i] == whole and abs(size[i] - missing) < missing]
-        if fits:
-            want[min(fits)[2]] += 1
+            fits = 0 < size[i] <= rest
+            rest -= size[i] if fits else 0
+            want[i] = whole + fits
+        out = [(h, i) for h, i in mine if want[i] == whole and size[i]]
+        took = [(h, i) for h, i in mine if want[i] > whole]
+        ways = [(abs(size[i] - rest), 0, size[i], 0, h, "", i, None) for h, i in out]
+        ways += [(abs(size[i] - size[j] - rest), 1, size[i], size[j], h, g, i, j) for h, i in out for g, j in took if size[j] < size[i]]
+        if ways and min(ways)[0] < rest:
+            *_, i, j = min(ways)
+            want[i] += 1
+            if j is not None:
+                want[j] -= 1
         assert {i: times[i] for _, i in mine} == want
     for r in got:
         u = lambda n: (int(hashlib.md5(f"rendezvous:{n}:={r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
