@@ -98,7 +98,8 @@ def test_key_checks_on_stored_tables_do_not_shuffle(spark):
         assert "Exchange" not in p and p.count("Bucketed: true") == 2 and "SortMergeJoin" in p
 
 
-def test_repaired_counts_take_one_join(spark):
+def test_repaired_counts_shuffle_only_the_counts(spark):
+    """The repair joins co-located buckets; no window gathers an ID."""
     t = driver_tables(spark, SF01)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -106,7 +107,7 @@ def test_repaired_counts_take_one_join(spark):
         p = _plan(X.country_currency_counts(t.project_info, t.pledge, repair=True))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert p.count("SortMergeJoin") == 1 and p.count("Bucketed: true") == 2 and p.count("Exchange ") == 1
+    assert p.count("SortMergeJoin") == 3 and p.count("Bucketed: true") == 4 and p.count("Exchange ") == 1 and "Window" not in p
 
 
 def test_placeholder_year_prunes_and_date_range_is_pushed(spark):
@@ -163,4 +164,5 @@ def test_project_pledge_join_is_colocated_without_broadcast(spark):
             break
         sub.append(line)
     smj = "\n".join(sub)
-    assert "Exchange" not in smj and smj.count("Bucketed: true") == 2
+    assert "Exchange" not in smj and "Window" not in smj
+    assert smj.count("Bucketed: true") == 4  # the two tables, and once more for projects without a country
