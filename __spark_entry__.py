@@ -18,6 +18,7 @@ from fundscope import oracle
 from fundscope.functions import columns as C
 from fundscope.operators import analysis as A
 from fundscope.operators import cleaning as CL
+from fundscope.operators import distinct as D
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
@@ -28,6 +29,7 @@ from fundscope.sources.country import save_country_dim
 from fundscope.sources.extract import read_extract, write_extract
 from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
 from fundscope.sources.loads import Loaded, load_checked, load_counts
+from fundscope.sources.published import publish, read_published, row_changes
 from fundscope.sources.stored import apply_changes
 from fundscope.streaming.cells import add_batch, stored_cells
 from fundscope.streaming.incremental import load_available
@@ -160,6 +162,36 @@ def _repair_country_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*loaded.columns)
 
 
+def _distinct_cells(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Distinct values per launch year, country code and currency after three arrivals, the second one delivered twice."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/distinct_{column}"
+    for batch in (0, 1, 2, 1):
+        D.add_batch(t.enriched.where(F.pmod("ID", F.lit(3)) == batch), batch, path, ["launch_year", "country_code", "currency"], column)
+    return D.stored_cells(spark, path)
+
+
+def _countries_per_currency_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-16 from stored cells: the country as loaded, per currency."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/distinct_country"
+    rows = t.pledge.select("ID", "currency").join(t.project_info.select("ID", "country"), "ID")
+    D.add_batch(rows, 0, path, ["currency"], "country")
+    return D.distinct_counts(D.stored_cells(spark, path), ["currency"], "countries_per_currency")
+
+
+def _extract_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the dashboard extract, published one after the other: without the projects whose ID is
+    divisible by three, then with all."""
+    t = _t(spark, sf_dir)
+    path, out = f"{t.root}/published", []
+    for rows in (t.enriched.where(F.pmod("ID", F.lit(3)) != 0), t.enriched):
+        df = V.success_rate_full(rows)
+        publish(df, path, ["country"])
+        out.append(read_published(spark, path, df.schema))
+    return out[0], out[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # -- set-up: load, scans, counts, keys, dates --------------------------------
@@ -239,6 +271,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "goal_vs_pledge_view": _view("goal_vs_pledge"),
         "success_rate_maintained": lambda s, d: V.success_rate_of_cells(_maintained(s, d)),
         "success_rate_full_maintained": lambda s, d: V.success_rate_full_of_cells(_maintained(s, d)),
+        # exact distinct counts rolled up from stored bitmaps, and the published extract
+        "projects_per_year_cells": lambda s, d: D.distinct_counts(_distinct_cells(s, d, "ID"), ["launch_year"], "project_count"),
+        "projects_per_country_cells": lambda s, d: D.distinct_counts(_distinct_cells(s, d, "ID"), ["country_code"], "project_count"),
+        "subcategory_count_cells": lambda s, d: D.distinct_counts(_distinct_cells(s, d, "category"), [], "subcategory_count"),
+        "countries_per_currency_cells": _countries_per_currency_cells,
+        "extract_published": lambda s, d: _extract_versions(s, d)[1],
+        "extract_changes": lambda s, d: row_changes(*_extract_versions(s, d), ["country", "year", "main_category", "state"]),
     }
     if llm is not None:
         q |= llm.queries()

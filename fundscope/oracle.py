@@ -145,6 +145,12 @@ def _q(body: str) -> str:
     return _BASE + body
 
 
+#: The workload without the projects whose ID is divisible by three.
+_PART = _BASE.replace("ON c.code = e.country_code),", "ON c.code = e.country_code WHERE e.ID % 3 <> 0),")
+_EXTRACT_KEY = "country, year, main_category, state"
+_EXTRACT_STATE = ("count(*) AS n, list(struct_pack(t := total_no, p := percentage, y := test) ORDER BY total_no, percentage, test) AS rows "
+                  f"FROM success_rate_full GROUP BY {_EXTRACT_KEY}")
+
 _REPAIR = _q(
     "SELECT i.ID, i.main_category, i.category, i.launched, i.deadline, "
     "CASE WHEN nullif(i.country, '\"N') IS NOT NULL THEN i.country "
@@ -305,4 +311,17 @@ def statements() -> dict[str, str]:
                                   "usd_pledged_real FROM en WHERE state_merged <> 'other'"),
         "success_rate_maintained": _q("SELECT * FROM v_success_rate"),
         "success_rate_full_maintained": _q("SELECT * FROM success_rate_full"),
+        "projects_per_year_cells": _q("SELECT launch_year, count(DISTINCT ID) AS project_count FROM en GROUP BY launch_year"),
+        "projects_per_country_cells": _q("SELECT country_code, count(DISTINCT ID) AS project_count FROM en GROUP BY country_code"),
+        "subcategory_count_cells": _q("SELECT count(DISTINCT category) AS subcategory_count FROM en"),
+        "countries_per_currency_cells": _q("SELECT currency, count(DISTINCT country) AS countries_per_currency "
+                                           "FROM pledge p JOIN project_info i ON p.ID = i.ID GROUP BY currency"),
+        "extract_published": _q("SELECT * FROM success_rate_full"),
+        "extract_changes": (
+            "SELECT coalesce(o.country, n.country) AS country, coalesce(o.year, n.year) AS year, coalesce(o.main_category, n.main_category) "
+            "AS main_category, coalesce(o.state, n.state) AS state, CASE WHEN o.n IS NULL THEN 'added' WHEN n.n IS NULL THEN 'removed' "
+            f"ELSE 'changed' END AS change FROM ({_PART} SELECT {_EXTRACT_KEY}, {_EXTRACT_STATE}) o "
+            f"FULL JOIN ({_BASE} SELECT {_EXTRACT_KEY}, {_EXTRACT_STATE}) n ON o.country IS NOT DISTINCT FROM n.country "
+            "AND o.year IS NOT DISTINCT FROM n.year AND o.main_category IS NOT DISTINCT FROM n.main_category AND o.state = n.state "
+            "WHERE o.n IS NULL OR n.n IS NULL OR o.rows <> n.rows"),
     }
