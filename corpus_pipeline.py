@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.number_slots(sharding.assign_shards(docs, ["doc_id"], SHARDS), ["doc_id"])
+    # numbered by id and text, so that rows of one repeated or null id are spread over the pieces of their shard
+    return sharding.number_slots(sharding.assign_shards(docs, ["doc_id"], SHARDS), ["doc_id", "text"])
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),
