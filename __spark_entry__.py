@@ -22,14 +22,15 @@ from fundscope.operators import distinct as D
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
-from fundscope.plans.workload import Tables, driver_database, driver_files, driver_tables
-from fundscope.schemas import PLEDGE_RAW
-from fundscope.sources.delimited import read_pledge, read_project_info, unreadable_numbers
+from fundscope.plans.workload import Tables, build, driver_database, driver_files, driver_tables
+from fundscope.schemas import PLEDGE_RAW, ignoring_case
+from fundscope.sources.delimited import read_pledge, read_project_info, unreadable_numbers, write_delimited
 from fundscope.sources.country import save_country_dim
 from fundscope.sources.extract import read_extract, write_extract
-from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE
+from fundscope.sources.fixtures import RAW_PROJECT_INFO_FILE, mixed_case
 from fundscope.sources.loads import Loaded, load_checked, load_counts
 from fundscope.sources.published import publish, read_published, row_changes
+from fundscope.sources.statistics import file_bounds, footer_session, write_with_bounds
 from fundscope.sources.stored import apply_changes
 from fundscope.streaming.cells import add_batch, stored_cells
 from fundscope.streaming.incremental import load_available
@@ -103,6 +104,60 @@ def _growth_rate_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {prefix}growth_rate('BUILDING/1', '1995', '2000') AS growth_rate")
 
 
+def _growth_table_function(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Names of the registered table function and of the enriched view under it."""
+    prefix, v = _views(spark, sf_dir)
+    A.register_growth_rates_table_function(spark, v["enriched"], name=f"{prefix}growth_rates")
+    return f"{prefix}growth_rates", v["enriched"]
+
+
+def _growth_rates_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, _ = _growth_table_function(spark, sf_dir)
+    return spark.sql(f"SELECT * FROM {name}('1995', '2000')")
+
+
+def _growth_rates_year_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function called laterally: growth from each launch year to the next."""
+    name, base = _growth_table_function(spark, sf_dir)
+    return spark.sql(f"SELECT y.launch_year AS start_year, g.* FROM (SELECT DISTINCT launch_year FROM {base} WHERE launch_year IS NOT NULL) y, "
+                     f"LATERAL {name}(CAST(y.launch_year AS STRING), CAST(y.launch_year + 1 AS STRING)) g")
+
+
+def _ignoring_case(spark: SparkSession, sf_dir: str) -> Tables:
+    """The workload over files with mixed-case texts, read with schemas that compare them without case."""
+    t = _t(spark, sf_dir)
+    root = f"{t.root}/mixed_case"
+    write_delimited(mixed_case(t.raw_project_info, ["main_category", "category"]), f"{root}/project_info")
+    write_delimited(mixed_case(t.pledge, ["state", "currency"]), f"{root}/pledge")
+    dates = ("launched", "deadline")
+    names = tuple(c for c in RAW_PROJECT_INFO_FILE.names if c not in dates)
+    return build(read_project_info(spark, f"{root}/project_info", schema=ignoring_case(RAW_PROJECT_INFO_FILE, names)),
+                 read_pledge(spark, f"{root}/pledge", schema=ignoring_case(PLEDGE_RAW)), CL.ignore_case(t.country))
+
+
+def _without_case(result: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: CL.fold_case(result(_ignoring_case(s, d)))
+
+
+def _bounds(spark: SparkSession, sf_dir: str, name: str, column: str) -> tuple[SparkSession, str]:
+    """One stored table with bounds of a column: the session that reads footers, and the path."""
+    t = _t(spark, sf_dir)
+    path = f"{t.root}/bounds/{name}"
+    write_with_bounds({"project_info": t.project_info, "pledge": t.pledge}[name], path, [column])
+    return footer_session(spark), path
+
+
+def _row_counts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, pledge = _bounds(spark, sf_dir, "pledge", "usd_goal_real")
+    _, project_info = _bounds(spark, sf_dir, "project_info", "launched")
+    one = [file_bounds(s, p).select(F.lit(n).alias("table_name"), "row_count") for n, p in (("pledge", pledge), ("project_info", project_info))]
+    return one[0].unionByName(one[1])
+
+
+def _bounds_of(name: str, column: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: file_bounds(*_bounds(s, d, name, column), [column])
+
+
 def _loads(spark: SparkSession, sf_dir: str) -> dict[str, Loaded]:
     """The checked loads of the raw files: one pass each, counts and quarantine included."""
     files, root = driver_files(spark, sf_dir), _t(spark, sf_dir).root
@@ -278,6 +333,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "countries_per_currency_cells": _countries_per_currency_cells,
         "extract_published": lambda s, d: _extract_versions(s, d)[1],
         "extract_changes": lambda s, d: row_changes(*_extract_versions(s, d), ["country", "year", "main_category", "state"]),
+        # growth as a table function: one pair of years, and laterally for a list of pairs
+        "growth_rates_table_function": _growth_rates_table_function,
+        "growth_rates_year_pairs": _growth_rates_year_pairs,
+        # texts compared without case in joins, groups and windows
+        "state_frequency_ignoring_case": _without_case(lambda t: X.value_frequency(t.pledge, "state", ordered=False)),
+        "top_categories_ignoring_case": _without_case(lambda t: A.top_categories_per_country(t.enriched, k=5)),
+        "success_rate_ignoring_case": _without_case(lambda t: V.success_rate(t.enriched, by_window=True)),
+        "growth_rates_ignoring_case": _without_case(lambda t: A.growth_rates(t.enriched, 1995, 2000)),
+        # counts and bounds from Parquet footers
+        "row_counts_from_files": _row_counts_from_files,
+        "date_range_from_files": _bounds_of("project_info", "launched"),
+        "goal_bounds_from_files": _bounds_of("pledge", "usd_goal_real"),
     }
     if llm is not None:
         q |= llm.queries()

@@ -101,7 +101,8 @@ def merged_state(state: str | Column = "state") -> Column:
 
 def country_or_null(country: str | Column = "country", sentinel: str = COUNTRY_SENTINEL) -> Column:
     """The corrupt sentinel value becomes NULL."""
-    return F.nullif(col(country), F.lit(sentinel))
+    c = col(country)
+    return F.when(c != F.lit(sentinel), c)
 
 
 def country_from_currency(currency: str | Column = "currency") -> Column:

@@ -125,6 +125,42 @@ def register_growth_rate_function(spark: SparkSession, view: str, name: str = "g
     """)
 
 
+def register_growth_rates_table_function(spark: SparkSession, view: str, name: str = "growth_rates") -> None:
+    """Table function ``growth_rates(start_year, end_year)`` over the enriched view ``view``: the rows of
+    ``growth_rates`` for two years, given as strings or numbers. A year without projects counts 0.
+
+    ``<name>_counts(year)`` is the map from main category to count of one year (as many entries as
+    categories), looked up by the year. Called with two literals, each year's partition is read and counted
+    once, and one row meets one row. Called laterally for a list of year pairs, the list is hash-joined to the
+    per-year maps, so the base is counted once for all pairs and no nested loop is planned. A NULL category is
+    a category (the map's keys are structs, which may hold a NULL).
+    """
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}_of(s BIGINT, e BIGINT)
+        RETURNS DECIMAL(10,2)
+        RETURN CASE WHEN s > 0 AND e > 0
+                    THEN CAST(ROUND(ROUND(CAST(e - s AS DECIMAL(20,0)) / s, 4), 2) AS DECIMAL(10,2))
+               END
+    """)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}_counts(p_year INT)
+        RETURNS MAP<STRUCT<main_category: STRING>, BIGINT>
+        RETURN (SELECT map_from_entries(collect_list(struct(struct(c.main_category), c.n)))
+                FROM (SELECT launch_year, main_category, count(1) AS n FROM {view}
+                      WHERE launch_year <> {C.PLACEHOLDER_YEAR} GROUP BY launch_year, main_category) c
+                WHERE c.launch_year = p_year)
+    """)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(p_start_year STRING, p_end_year STRING)
+        RETURNS TABLE(main_category STRING, start_no BIGINT, end_no BIGINT, growth_rate DECIMAL(10,2))
+        RETURN SELECT main_category, s, e, {name}_of(s, e) FROM (
+            SELECT k.main_category, coalesce(try_element_at(sm, k), 0L) AS s, coalesce(try_element_at(em, k), 0L) AS e
+            FROM (SELECT sm, em, explode(array_union(map_keys(sm), map_keys(em))) AS k
+                  FROM (SELECT coalesce({name}_counts(CAST(p_start_year AS INT)), map()) AS sm,
+                               coalesce({name}_counts(CAST(p_end_year AS INT)), map()) AS em)))
+    """)
+
+
 def avg_success_rate(full: DataFrame, state: str = C.SUCCESS) -> DataFrame:
     """Unweighted mean of the ``state`` percentage over all densified cells (6 decimals, exact)."""
     hundredths = F.round(F.col("percentage") * 100).cast("long")

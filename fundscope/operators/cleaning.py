@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..plans.joins import lookup_join
+from ..schemas import IGNORE_CASE, ignoring_case
 
 
 def parse_dates(project_info: DataFrame, launched: str = "launched", deadline: str = "deadline") -> DataFrame:
@@ -81,6 +83,19 @@ def repair_currencies(project_info: DataFrame, pledge: DataFrame, sentinel: str
     return pledge.select("ID", "currency").join(missing, "ID", "left_semi").groupBy("ID").agg(F.min("currency").alias("__currency"))
 
 
+def ignore_case(df: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``columns`` (default: all texts) compared without case from here on (see ``schemas.ignoring_case``)."""
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in ignoring_case(df.schema, columns).fields])
+
+
+def fold_case(df: DataFrame) -> DataFrame:
+    """Texts compared without case become plain lower-case texts. A group of spellings shows one of them, which
+    one depends on the order of the rows; folded, the result is the same on every run."""
+    return df.select(*[F.lower(f.name).cast("string").alias(f.name)
+                       if isinstance(f.dataType, T.StringType) and f.dataType.collation == IGNORE_CASE else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def merge_state(pledge: DataFrame) -> DataFrame:
     """Adds ``state_merged``: failed / other / successful (unlisted states kept as they are)."""
     return pledge.withColumn("state_merged", C.merged_state("state"))

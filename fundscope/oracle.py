@@ -316,6 +316,36 @@ def statements() -> dict[str, str]:
         "subcategory_count_cells": _q("SELECT count(DISTINCT category) AS subcategory_count FROM en"),
         "countries_per_currency_cells": _q("SELECT currency, count(DISTINCT country) AS countries_per_currency "
                                            "FROM pledge p JOIN project_info i ON p.ID = i.ID GROUP BY currency"),
+        "growth_rates_table_function": _q(
+            f"SELECT main_category, start_no, end_no, {_growth('start_no', 'end_no')} AS growth_rate FROM ("
+            f" SELECT main_category, {growth_counts} FROM en"
+            " WHERE launch_year IN (1995, 2000) AND launch_year <> 1970 GROUP BY main_category) g"),
+        "growth_rates_year_pairs": _q(
+            f"SELECT start_year, main_category, start_no, end_no, {_growth('start_no', 'end_no')} AS growth_rate FROM ("
+            " SELECT y.launch_year AS start_year, main_category, count(CASE WHEN en.launch_year = y.launch_year THEN 1 END) AS start_no, "
+            " count(CASE WHEN en.launch_year = y.launch_year + 1 THEN 1 END) AS end_no"
+            " FROM (SELECT DISTINCT launch_year FROM en WHERE launch_year IS NOT NULL) y"
+            " JOIN en ON en.launch_year IN (y.launch_year, y.launch_year + 1) AND en.launch_year <> 1970"
+            " GROUP BY y.launch_year, main_category) g"),
+        "state_frequency_ignoring_case": _q("SELECT lower(state) AS state, count(state) AS project_count FROM pledge GROUP BY lower(state)"),
+        "top_categories_ignoring_case": _q(
+            "SELECT country, main_category, no_of_projects, state_merged, top_no FROM ("
+            " SELECT country, main_category, no_of_projects, state_merged,"
+            "  CAST(dense_rank() OVER (PARTITION BY country ORDER BY no_of_projects DESC) AS INTEGER) AS top_no"
+            " FROM (SELECT lower(country) AS country, lower(main_category) AS main_category, state_merged, count(ID) AS no_of_projects"
+            "       FROM en WHERE state_merged = 'successful'"
+            "       GROUP BY lower(country_code), lower(country), lower(main_category), state_merged) c) r WHERE top_no <= 5"),
+        "success_rate_ignoring_case": _q("SELECT * REPLACE (lower(country) AS country, lower(main_category) AS main_category) FROM v_success_rate"),
+        "growth_rates_ignoring_case": _q(
+            f"SELECT main_category, start_no, end_no, {_growth('start_no', 'end_no')} AS growth_rate FROM ("
+            f" SELECT lower(main_category) AS main_category, {growth_counts} FROM en"
+            " WHERE launch_year IN (1995, 2000) AND launch_year <> 1970 GROUP BY lower(main_category)) g"),
+        "row_counts_from_files": _q("SELECT 'pledge' AS table_name, count(*) AS row_count FROM pledge "
+                                    "UNION ALL SELECT 'project_info', count(*) FROM project_info_raw"),
+        "date_range_from_files": _q("SELECT count(*) AS row_count, count(launched) AS count_launched, min(launched) AS min_launched, "
+                                    "max(launched) AS max_launched FROM project_info"),
+        "goal_bounds_from_files": _q("SELECT count(*) AS row_count, count(usd_goal_real) AS count_usd_goal_real, min(usd_goal_real) AS min_usd_goal_real, "
+                                     "max(usd_goal_real) AS max_usd_goal_real FROM pledge"),
         "extract_published": _q("SELECT * FROM success_rate_full"),
         "extract_changes": (
             "SELECT coalesce(o.country, n.country) AS country, coalesce(o.year, n.year) AS year, coalesce(o.main_category, n.main_category) "

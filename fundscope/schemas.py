@@ -33,3 +33,15 @@ COUNTRY = T.StructType([
     T.StructField("countryname", T.StringType(), False),
     T.StructField("code", T.StringType(), True),
 ])
+
+#: The collation of the usual SQL servers: texts that differ in case only are equal.
+IGNORE_CASE = "UTF8_LCASE"
+
+
+def ignoring_case(schema: T.StructType, columns: tuple[str, ...] | None = None) -> T.StructType:
+    """The schema with ``columns`` (default: all texts) as ``STRING COLLATE UTF8_LCASE``. Tables read with it
+    join, group, rank and filter on these columns without case, through every operator."""
+    return T.StructType([
+        T.StructField(f.name, T.StringType(IGNORE_CASE), f.nullable)
+        if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns) else f
+        for f in schema.fields])

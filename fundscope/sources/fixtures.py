@@ -43,6 +43,7 @@ NULL_PROJECT_EVERY, NULL_PLEDGE_EVERY = 401, 409  # -> one more row with a NULL
 DASHED_DATE_EVERY, EMPTY_DATE_EVERY, EMPTY_TEXT_EVERY = 131, 137, 139
 PART_CENT_EVERY, PART_CENT = 53, "0.004"  # goal with parts of a cent
 BAD_NUMBER_EVERY = 149      # in the dirty pledge file: the goal is no number
+MIXED_SPELLINGS = 3         # ID % 3 == 0 -> upper case, 1 -> lower case, in the mixed-case files
 EXTRA_FIELD_EVERY, CUT_LINE_EVERY, LINE_FEED_EVERY = 173, 179, 181  # in the file of broken lines
 # ---------------------------------------------------------------------------
 
@@ -171,3 +172,9 @@ def broken_lines(pledge: DataFrame) -> DataFrame:
     text = [F.coalesce(c.cast("string"), null) for c in (F.col("ID"), state, F.col("currency"), F.col("usd_goal_real"))]
     last = F.when(cut & ~extra, F.lit(None)).otherwise(F.coalesce(F.col("usd_pledged_real").cast("string"), null))
     return d.select(F.concat_ws(",", *text, last).alias("value"))
+
+
+def mixed_case(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``columns`` in the spelling their ID gives them: upper case, lower case or as they are."""
+    k = F.pmod("ID", F.lit(MIXED_SPELLINGS))
+    return df.withColumns({c: F.when(k == 0, F.upper(c)).when(k == 1, F.lower(c)).otherwise(F.col(c)) for c in columns})
