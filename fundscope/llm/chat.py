@@ -27,6 +27,7 @@ START, TURN, ROLE, ROLE_END = "<s>", "[TURN]", "[ROLE]", "[/ROLE]"
 #: role -> the strings before and after a block
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[OUT]", "</s>")}
 OTHER_END = "[END]"
+CHUNK = 128  # elements handled together in lists that may be long
 CONTROL = [START, TURN, ROLE, ROLE_END, OTHER_END, *(m for pair in MARKS.values() for m in pair)]
 
 _RESTS = {c: "|".join(re.escape(x[1:]) for x in CONTROL if x[0] == c) for c in "<["}
@@ -56,6 +57,31 @@ def _closing(role: Column) -> Column:
     return out
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(size: Column) -> Column:
+    """0, 1, ... for each ``CHUNK`` elements of an array of ``size``."""
+    return F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _before(numbers: Column) -> Column:
+    """For each number the sum of those before it. A fold copies its list at every step, so it runs inside
+    chunks, and once more over the sums of the chunks."""
+    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("list"))
+
+    def fold(values: Column, number) -> Column:
+        return F.aggregate(values, none, lambda acc, x: F.struct((acc["sum"] + number(x)).alias("sum"), F.array_append(acc["list"], acc["sum"]).alias("list")))
+
+    def spread(parts: Column) -> Column:
+        zipped = F.arrays_zip(parts.alias("part"), fold(parts, lambda x: x["sum"])["list"].alias("at"))
+        return F.flatten(F.transform(zipped, lambda z: F.transform(z["part"]["list"], lambda v: v + z["at"])))
+
+    return _let(numbers, lambda n: _let(F.transform(_chunks(F.size(n)), lambda k: fold(F.slice(n, k * CHUNK + 1, F.lit(CHUNK)), lambda x: x)), spread))
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
     """One row per conversation: ``conv_col``, ``formatted`` (string) and ``loss_spans``
@@ -83,20 +109,15 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     got = got.withColumn("p", F.transform("b", piece))
     formatted = F.concat(F.lit(START), F.array_join("p", ""))
 
-    zero = F.struct(F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def add_text(acc: Column, text: Column) -> Column:
-        span = F.struct(acc["at"].alias("start"), F.char_length(text).alias("length"))
-        return F.struct((acc["at"] + F.char_length(text) + len(TURN)).alias("at"),
-                        F.array_append(acc["spans"], span).alias("spans"))
-
-    def add_block(acc: Column, x: Column) -> Column:
-        b, p = x["b"], x["p"]
-        inner = F.aggregate(b["texts"], F.struct((acc["at"] + len(MARKS["assistant"][0])).alias("at"), acc["spans"].alias("spans")), add_text)
-        spans = F.when(b["role"] == "assistant", inner["spans"]).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.char_length(p)).alias("at"), spans.alias("spans"))
+    def block_spans(x: Column) -> Column:
+        first = x["at"] + (len(START) + len(MARKS["assistant"][0]))
+        sizes = F.transform(x["b"]["texts"], lambda text: F.char_length(text) + len(TURN))
+        return _let(sizes, lambda n: F.transform(F.arrays_zip(n.alias("n"), _before(n).alias("at")), lambda y: F.struct(
+            (first + y["at"]).alias("start"), (y["n"] - len(TURN)).alias("length"))))
 
-    spans = F.aggregate(F.arrays_zip("b", "p"), zero, add_block)["spans"]
+    at = _before(F.transform("p", F.char_length))
+    said = F.filter(F.arrays_zip(F.col("b"), at.alias("at")), lambda x: x["b"]["role"] == "assistant")
+    spans = F.flatten(F.transform(said, block_spans))
     return got.select(conv_col, formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -119,4 +140,16 @@ def read_back(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, span after span."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    def texts(k: Column) -> Column:
+        # a substring is found by counting from the front: the spans of a chunk are cut from a cut of the text
+        some = F.slice(spans, k * CHUNK + 1, F.lit(CHUNK))
+        return _let(some, lambda s: _let(_cut(formatted, s), lambda part: F.array_join(F.transform(
+            s, lambda x: unescape(F.substring(part, x["start"] - s[0]["start"] + 1, x["length"]))), "")))
+
+    return F.array_join(F.transform(_chunks(F.size(spans)), texts), "")
+
+
+def _cut(formatted: Column, spans: Column) -> Column:
+    """The text from the first to the last of some spans."""
+    last = F.element_at(spans, -1)
+    return F.substring(formatted, spans[0]["start"] + 1, last["start"] + last["length"] - spans[0]["start"])

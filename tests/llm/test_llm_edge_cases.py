@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,6 +287,43 @@ def test_chat_many_turns(spark):
     assert r.n == 3000 and r.l == "".join(f"t{i}" for i in range(3000) if i % 3)
 
 
+def test_chat_spans_across_chunks(spark):
+    """Long runs of one role, and of single turns, around the borders of the chunks that lists are handled in."""
+    c = chat.CHUNK
+    for n, role in ((c - 1, "x"), (c, "x"), (c + 1, "x"), (2 * c + 3, "x"), (2 * c + 3, "xy"), (4 * c, "xxy")):
+        names = {"x": "assistant", "y": "user"}
+        turns = [(1, i, names[role[i % len(role)]], "é" * (i % 5) + f"{i}</s>") for i in range(n)]
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        r = chat.format_chats(df).select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+        said = [x[3] for x in turns if x[2] == "assistant"]
+        assert r.l == "".join(said)
+        assert [r.formatted[s.start:s.start + s.length] for s in r.loss_spans] == [x.replace("</s>", "<\\/s>") for x in said]
+
+
+def test_toxicity_kernel_equals_enumerated_subsequences():
+    """The sparse product over triple slots against the sum over all pairs of equal subsequences."""
+
+    def brute(word):
+        w, out = f"\1{word}\2", Counter()
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i <= 4:  # at most two other characters in between
+                out[(w[i], w[j], w[k])] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def occurrences(word):
+        w = f"\1{word}\2"
+        return sum(toxicity.DECAY ** (2 * (k - i - 2)) for i, j, k in itertools.combinations(range(len(w)), 3) if k - i <= 4)
+
+    words = ["a", "id", "idiot", "idxiot", "idiots", "banana", "moron", "äöü", "x" * 24, "stupid"]
+    got = toxicity._kernel(words, words)
+    for a, x in enumerate(words):
+        for b, y in enumerate(words):
+            fx, fy = brute(x), brute(y)
+            want = sum(v * fy.get(s, 0) for s, v in fx.items()) / math.sqrt(occurrences(x) * occurrences(y))
+            assert abs(float(got[a, b]) - want) < 1e-4 * max(1, want), (x, y)
+    assert got[2, 3] > 0.4 > got[2, 6]  # an inserted letter leaves most of the insult, another word little
+
+
 def test_topk(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]),
