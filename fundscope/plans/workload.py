@@ -99,10 +99,11 @@ def materialize(spark: SparkSession, tables: Tables, root: str | None = None,
         pi = put(tables.project_info, "project_info")
         pl = put(tables.pledge, "pledge")
     co = put(tables.country, "country")
-    # the base is built from the stored tables, not from the load plans again; each task's
+    # the base is built from the stored tables, not from the load plans again; the join of the
+    # buckets is written where it is, a file per bucket and year at most. Each task's
     # rows are sorted by year, country and category (no shuffle), so Parquet row-group
     # statistics let country / category filters skip row groups inside a year
-    en = put(enrich(pi, pl, co).hint("rebalance", "launch_year").sortWithinPartitions("launch_year", "country_code", "main_category"),
+    en = put(enrich(pi, pl, co).sortWithinPartitions("launch_year", "country_code", "main_category"),
              "enriched", partition_by="launch_year")
     return Tables(pi, pl, co, en.select(*enrich_columns()), tables.raw_project_info, root)
 
@@ -214,10 +215,9 @@ def driver_tables(spark: SparkSession, sf_dir: str, stored: bool = True, refresh
         if hit is not None and not refresh:
             return hit
         root = f"{checkpoint_root(spark)}/fundscope-{uuid.uuid4().hex[:12]}"
-        # the mapping's joins run once; both fact tables are projections of this copy
-        # (rebalanced: adaptive execution sizes the files, whatever the join left)
-        (fixtures.order_facts(spark, sf_dir).hint("rebalance")
-         .write.mode("overwrite").parquet(f"{root}/order_facts"))
+        # the mapping's joins run once; both fact tables are projections of this copy, whose
+        # files are as the join leaves them (adaptive execution sizes its partitions)
+        fixtures.order_facts(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/order_facts")
         facts = spark.read.parquet(f"{root}/order_facts")
         raw = fixtures.raw_tables(spark, sf_dir, facts=facts)
         t = materialize(spark, build(raw.project_info, raw.pledge, raw.country), root)

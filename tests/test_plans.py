@@ -166,3 +166,19 @@ def test_project_pledge_join_is_colocated_without_broadcast(spark):
     smj = "\n".join(sub)
     assert "Exchange" not in smj and "Window" not in smj
     assert smj.count("Bucketed: true") == 4  # the two tables, and once more for projects without a country
+
+
+def _exchanges(df) -> int:
+    return _plan(df).count("Exchange hashpartitioning") + _plan(df).count("REBALANCE_PARTITIONS")
+
+
+def test_the_store_shuffles_no_finished_table_again(spark, monkeypatch):
+    """Order facts and the enriched base are written as their joins leave them."""
+    from pyspark.sql import DataFrame
+
+    hints = []
+    monkeypatch.setattr(DataFrame, "hint", lambda df, name, *cols, f=DataFrame.hint: (hints.append(name), f(df, name, *cols))[1])
+    t = driver_tables(spark, SF01, refresh=True)
+    assert "rebalance" not in hints
+    assert _exchanges(CL.enrich(t.project_info, t.pledge, t.country)) == 0
+    assert t.enriched.count() == CL.enrich(t.project_info, t.pledge, t.country).count()
