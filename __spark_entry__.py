@@ -22,7 +22,7 @@ from fundscope.operators import distinct as D
 from fundscope.operators import explore as X
 from fundscope.operators import integrity as I
 from fundscope.operators import views as V
-from fundscope.plans.workload import Tables, build, driver_database, driver_files, driver_tables
+from fundscope.plans.workload import Tables, driver_database, driver_files, driver_tables, stored
 from fundscope.schemas import PLEDGE_RAW, ignoring_case
 from fundscope.sources.delimited import read_pledge, read_project_info, unreadable_numbers, write_delimited
 from fundscope.sources.country import save_country_dim
@@ -131,8 +131,12 @@ def _ignoring_case(spark: SparkSession, sf_dir: str) -> Tables:
     write_delimited(mixed_case(t.pledge, ["state", "currency"]), f"{root}/pledge")
     dates = ("launched", "deadline")
     names = tuple(c for c in RAW_PROJECT_INFO_FILE.names if c not in dates)
-    return build(read_project_info(spark, f"{root}/project_info", schema=ignoring_case(RAW_PROJECT_INFO_FILE, names)),
-                 read_pledge(spark, f"{root}/pledge", schema=ignoring_case(PLEDGE_RAW)), CL.ignore_case(t.country))
+    raw = read_project_info(spark, f"{root}/project_info", schema=ignoring_case(RAW_PROJECT_INFO_FILE, names))
+    country = CL.ignore_case(t.country)
+    # lines and dates are read once: a filter over the lazy load would read each line again for each use of a date
+    pi = stored(CL.load_project_info(raw), f"{root}/loaded/project_info")
+    pledge = stored(read_pledge(spark, f"{root}/pledge", schema=ignoring_case(PLEDGE_RAW)), f"{root}/loaded/pledge")
+    return Tables(pi, pledge, country, CL.enrich(pi, pledge, country), raw)
 
 
 def _without_case(result: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -45,6 +45,12 @@ def build(raw_project_info: DataFrame, pledge: DataFrame, country: DataFrame) ->
     return Tables(pi, pledge, country, enrich(pi, pledge, country), raw_project_info)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` and read it with its own schema (collations too)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def use_database(spark: SparkSession, name: str, root: str | None = None) -> str:
     """``USE name``: create the database if absent (located in the shared folder) and make it current."""
     location = f"{root or checkpoint_root(spark)}/{name}.db"

@@ -182,3 +182,13 @@ def test_the_store_shuffles_no_finished_table_again(spark, monkeypatch):
     assert "rebalance" not in hints
     assert _exchanges(CL.enrich(t.project_info, t.pledge, t.country)) == 0
     assert t.enriched.count() == CL.enrich(t.project_info, t.pledge, t.country).count()
+
+
+def test_texts_without_case_are_parsed_once_not_in_filters(spark):
+    import __spark_entry__ as E
+
+    t = E._ignoring_case(spark, SF01)
+    p = _plan(A.growth_rates(t.enriched, 1995, 2000))
+    assert "FileScan text" not in p and "split(" not in p
+    assert t.project_info.count() == driver_tables(spark, SF01).project_info.count()
+    assert t.pledge.count() == driver_tables(spark, SF01).pledge.count()
