@@ -100,19 +100,19 @@ def mix(df: DataFrame, key_cols: Sequence[str], text_col: str = "text", source_c
     rounds = []
     while True:  # each round: rows behind the cut that are not longer than the rest, up to the first that doesn't fit
         fitting = rows.join(at, same("s")).where((F.col("h") > F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
-        sums = fitting.groupBy("source", "cell").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+        sums = fitting.groupBy("source", "cell").agg(F.sum("size").alias("size"), F.first("left").alias("left"), F.first("cut").alias("cut"))
         sums = sums.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        border = sums.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))).select(
-            F.col("source").alias("b_source"), F.col("cell").alias("b_cell"), F.col("before").alias("b_before"))
+        # a source has one border cell at most; without one all fitting rows are in
+        at_border = (F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))
+        every = sums.groupBy("source").agg(F.sum("size").alias("all"), F.first("left").alias("left"), F.first("cut").alias("cut"),
+                                           F.max(F.when(at_border, F.struct("cell", "before"))).alias("b"))
+        border = every.where("b is not null").select(F.col("source").alias("b_source"), F.col("b.cell").alias("b_cell"), F.col("b.before").alias("b_before"))
         inside = (fitting.join(border, same("b_source") & (F.col("cell") == F.col("b_cell"))).withColumn("upto", F.col("b_before") + F.sum("size").over(run))
                   .where(F.col("upto") <= F.col("left")).groupBy(F.col("source").alias("l_source")).agg(F.max("h").alias("h"), F.max("upto").alias("upto")))
-        # without a border all fitting rows are in; without a row of the border cell, all cells before it
-        every = sums.groupBy("source").agg(F.sum("size").alias("all"), F.first("left").alias("left"))
-        step = every.join(border, same("b_source"), "left").join(inside, same("l_source"), "left").select(
-            F.col("source").alias("s"), F.when(F.col("b_cell").isNull(), "~").otherwise(F.coalesce("h", "b_cell")).alias("to"),
-            (F.col("left") - F.when(F.col("b_cell").isNull(), F.col("all")).otherwise(F.coalesce("upto", "b_before"))).alias("rest"))
-        done = store(step.join(at.select(F.col("s").alias("a_s"), F.col("cut").alias("from"), "left"), F.col("s").eqNullSafe(F.col("a_s"))).select(
-            "s", "from", "to", "left", "rest"), "mix-round")
+        # without a row of the border cell, all cells before it are in
+        done = store(every.join(inside, same("l_source"), "left").select(
+            F.col("source").alias("s"), F.col("cut").alias("from"), F.when(F.col("b").isNull(), "~").otherwise(F.coalesce("h", "b.cell")).alias("to"), "left",
+            (F.col("left") - F.when(F.col("b").isNull(), F.col("all")).otherwise(F.coalesce("upto", "b.before"))).alias("rest")), "mix-round")
         if not done.limit(1).count():
             break
         rounds.append(done)
