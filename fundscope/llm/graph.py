@@ -1,49 +1,76 @@
-"""Connected components of links, by label propagation with pointer jumping on stored tables."""
+"""Connected components of links: each task roots the trees of its links; what does not fit one task goes
+on by label propagation with pointer jumping on stored tables."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fundscope.llm.common import store
 
+#: Links that meet in a task at most.
+AT_ONCE = 1 << 16
 
-def _forest(batches):
-    """The links of a task that join two of its components, in reading order."""
-    above: dict = {}
 
-    def root(x):
-        top = x
-        while above.get(top, top) != top:
-            top = above[top]
-        while above.get(x, x) != top:
-            above[x], x = top, above[x]
-        return top
+def _rooted(names: tuple[str, str], roots: bool):
+    """Each node of a task's links with the smallest node of its component there; ``roots``: these too."""
+    def run(batches):
+        above: dict = {}
+        kind = None
 
-    for b in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            x, y = root(x), root(y)
-            if x != y:
-                above[max(x, y)] = min(x, y)
-                keep.append(i)
-        yield b.take(pa.array(keep, pa.int64()))
+        def root(x):
+            top = x
+            while above[top] != top:
+                top = above[top]
+            while above[x] != top:
+                above[x], x = top, above[x]
+            return top
 
+        for b in batches:
+            kind = b.column(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                above.setdefault(x, x), above.setdefault(y, y)
+                x, y = root(x), root(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+        nodes = [x for x, y in above.items() if roots or x != y]
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(list(map(root, nodes)), kind)], names=list(names))
+    return run
 
-def thin(links: DataFrame, name: str, at_once: int = 1 << 16) -> DataFrame:
-    """Links with the same components: of about ``at_once`` that meet in a task, a forest is left."""
+
+def _in_tasks(links: DataFrame, names: tuple[str, str], roots: bool, tasks: int) -> DataFrame:
+    out = StructType([StructField(n, f.dataType) for n, f in zip(names, links.schema.fields)])
+    return links.repartition(tasks).mapInArrow(_rooted(names, roots), out)
+
+
+def thin(links: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame:
+    """Links with the same components: of about ``at_once`` that meet in a task, one is left for each node
+    but the smallest of its component, to that one. So paths don't outlive a task."""
     links = store(links.select("a", "b"), f"{name}-found")
-    return links.repartition(max(1, -(-links.count() // at_once))).mapInArrow(_forest, links.schema)
+    return _in_tasks(links, ("a", "b"), False, max(1, -(-links.count() // at_once)))
 
 
-def components(links: DataFrame, name: str) -> DataFrame:
+def components(links: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame:
     """``links``: a, b (any ordered type, not null). Returns node, comp: the smallest node of each
     node's component. Nodes without links are left out; no links give no rows.
 
-    Every round takes the smallest label of all neighbours (pre-aggregated), then the label of that
-    label, so paths shrink by more than half a round. Nothing is collected but one count a round.
+    Tasks root the links they get, about ``at_once`` each, as long as that halves them. If they fit one
+    task, its roots are the result. Else rounds follow: every one takes the smallest label of all neighbours
+    (pre-aggregated), then the label of that label, so paths shrink by more than half a round. Nothing is
+    collected but one count a round.
     """
+    links, left = links.select("a", "b"), links.count()
+    while True:
+        tasks, before = max(1, -(-left // at_once)), left
+        rooted = store(_in_tasks(links, ("node", "comp"), True, tasks), f"{name}-rooted")
+        if tasks == 1:
+            return rooted
+        links, left = rooted.select(F.col("node").alias("a"), F.col("comp").alias("b")), rooted.count()
+        if left > max(at_once, before // 2):
+            break
     ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # each node is its own neighbour too: the smallest label around it includes its own
     both = store(ends.unionAll(ends.select("a", F.col("a").alias("b"))).distinct(), f"{name}-links")
