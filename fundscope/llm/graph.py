@@ -1,5 +1,5 @@
 """Connected components of links: each task roots the trees of its links; what does not fit one task goes
-on by label propagation with pointer jumping on stored tables."""
+on by rounds of large and small stars on stored tables."""
 
 from __future__ import annotations
 
@@ -53,14 +53,20 @@ def thin(links: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame:
     return _in_tasks(links, ("a", "b"), False, max(1, -(-links.count() // at_once)))
 
 
+def _with_least(ends: DataFrame) -> DataFrame:
+    """``ends`` (a, b) with the smallest b of each a."""
+    least = ends.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("least"))
+    return ends.join(least, F.col("a") == F.col("__a")).drop("__a")
+
+
 def components(links: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame:
     """``links``: a, b (any ordered type, not null). Returns node, comp: the smallest node of each
     node's component. Nodes without links are left out; no links give no rows.
 
     Tasks root the links they get, about ``at_once`` each, as long as that halves them. If they fit one
-    task, its roots are the result. Else rounds follow: every one takes the smallest label of all neighbours
-    (pre-aggregated), then the label of that label, so paths shrink by more than half a round. Nothing is
-    collected but one count a round.
+    task, its roots are the result. Else rounds follow: all larger neighbours of a node are linked to the smallest
+    around it, then it and its smaller neighbours are (large and small stars), which shortens a path of any
+    numbering by a factor. Nothing is collected but two counts a round.
     """
     links, left = links.select("a", "b"), links.count()
     while True:
@@ -71,17 +77,15 @@ def components(links: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame
         links, left = rooted.select(F.col("node").alias("a"), F.col("comp").alias("b")), rooted.count()
         if left > max(at_once, before // 2):
             break
-    ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # each node is its own neighbour too: the smallest label around it includes its own
-    both = store(ends.unionAll(ends.select("a", F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{name}-labels")
+    links, nodes = links.where("a <> b"), store(rooted.select("node").distinct(), f"{name}-nodes")
     while True:
-        step = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(
-            F.min("comp").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old"))
-        jump = labels.select(F.col("node").alias("n"), F.col("comp").alias("next"))
-        fresh = store(step.join(jump, F.col("low") == F.col("n")).select(
-            F.col("a").alias("node"), "old", F.least("low", "next").alias("comp")), f"{name}-labels")
-        moved = fresh.where("comp <> old").limit(1).count()
-        labels = fresh.select("node", "comp")
-        if not moved:
-            return labels
+        ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = store(_with_least(ends).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct(), f"{name}-large")
+        small = _with_least(large)
+        links = store(small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionAll(
+            small.where("b = least").select("a", "b")).distinct(), f"{name}-small")
+        # done: one link for each node, and none leads on
+        twice = links.groupBy("a").agg(F.count("b").alias("n")).where("n > 1")
+        on = links.join(links.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi")
+        if not twice.limit(1).count() and not on.limit(1).count():
+            return store(nodes.join(links, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("comp")), f"{name}-labels")
